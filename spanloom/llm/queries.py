@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, language, secrets
+from spanloom.llm import bpe, decontaminate, language, repeats, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +22,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, language.train(docs), keep=["doc_id", "held_out"])
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), repeats.sentence_rule(), keep=["doc_id", "text"]).withColumnsRenamed({"n_units": "n_sentences"})
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), repeats.line_rule(), keep=["doc_id", "text"]).withColumnsRenamed({"n_units": "n_lines"})
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return bpe.encode_decode(_read(spark, sf_dir, "documents"), f.read(), keep=["doc_id"])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -31,9 +45,85 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+_LINES = """
+with parts as (
+  select d.doc_id, d.text, u.pos, u.part, trim(u.part, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) as key
+  from documents d, lateral (select unnest(string_split(d.text, chr(10))) as part, unnest(range(len(string_split(d.text, chr(10))))) as pos) u
+),
+units as (select *, row_number() over (partition by doc_id order by pos) as unit from parts where key <> ''),
+runs as (
+  select a.doc_id, a.unit as f, a.unit + 2 as l, a.key || chr(10) || b.key || chr(10) || c.key as body
+  from units a join units b on a.doc_id = b.doc_id and b.unit = a.unit + 1 join units c on a.doc_id = c.doc_id and c.unit = a.unit + 2
+),
+later as (select doc_id, f, l from (select *, row_number() over (partition by body order by doc_id, f) as k from runs) where k > 1),
+gone as (select distinct u.doc_id, u.pos from units u join later r on u.doc_id = r.doc_id and u.unit between r.f and r.l),
+kept as (select p.doc_id, string_agg(p.part, chr(10) order by p.pos) as text from parts p anti join gone g on p.doc_id = g.doc_id and p.pos = g.pos group by p.doc_id)
+select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text,
+  (select count(*) from units u where u.doc_id = d.doc_id) as n_lines, (select count(*) from gone g where g.doc_id = d.doc_id) as n_removed
+from documents d left join kept k on k.doc_id = d.doc_id
+"""
+
+_SENTENCES = """
+with parts as (
+  select d.doc_id, u.pos, u.part, trim(regexp_replace(case when u.part = chr(10) then '' else u.part end, '[ \\t\\r\\f\\v]+', ' ', 'g')) as key
+  from documents d, lateral (
+    select unnest(regexp_extract_all(d.text, '[^.!?\\n]*[.!?]+|[^.!?\\n]+|\\n')) as part, unnest(range(len(regexp_extract_all(d.text, '[^.!?\\n]*[.!?]+|[^.!?\\n]+|\\n')))) as pos) u
+),
+units as (
+  select *, row_number() over w as unit, sum(length(key) - length(replace(key, ' ', '')) + 1) over w as total
+  from parts where key <> '' window w as (partition by doc_id order by pos)
+),
+long_enough as (
+  select a.doc_id, a.unit as f, b.unit as l
+  from units a join units b on a.doc_id = b.doc_id and b.unit between a.unit + 1 and a.unit + 15
+  where b.total - a.total + length(a.key) - length(replace(a.key, ' ', '')) + 1 >= 16
+),
+runs as (select doc_id, f, min(l) as l from long_enough group by doc_id, f union select doc_id, max(f) as f, l from long_enough group by doc_id, l),
+bodies as (
+  select r.doc_id, r.f, r.l, string_agg(u.key, chr(10) order by u.unit) as body
+  from runs r join units u on u.doc_id = r.doc_id and u.unit between r.f and r.l group by r.doc_id, r.f, r.l
+),
+later as (select doc_id, f, l from (select *, row_number() over (partition by body order by doc_id, f, l) as k from bodies) where k > 1),
+gone as (select distinct u.doc_id, u.pos from units u join later r on u.doc_id = r.doc_id and u.unit between r.f and r.l),
+kept as (select p.doc_id, string_agg(p.part, '' order by p.pos) as text from parts p anti join gone g on p.doc_id = g.doc_id and p.pos = g.pos group by p.doc_id)
+select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text,
+  (select count(*) from units u where u.doc_id = d.doc_id) as n_sentences, (select count(*) from gone g where g.doc_id = d.doc_id) as n_removed
+from documents d left join kept k on k.doc_id = d.doc_id
+"""
+
+_WINDOWS = """
+with forms as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark
+),
+windows as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') as body
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as p from items where len(w) > 0)
+),
+sizes as (select distinct size from windows),
+places as (
+  select doc_id, p, size, array_to_string(w[p:p + size - 1], ' ') as body
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as p from forms, sizes)
+),
+found as (select doc_id, p, size, item_id from places join windows using (size, body)),
+hit as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(p, p + size)) as q from found) group by doc_id),
+who as (select doc_id, count(distinct item_id) as n, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from found group by doc_id)
+select f.doc_id, cast(len(f.w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(who.n, 0) as n_items, sha256(coalesce(who.ids, '')) as items_sha256, hit.n is not null as contaminated
+from forms f left join hit using (doc_id) left join who using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": _SENTENCES,
+    "op4_line_dedup": _LINES,
+    "op6_decontamination": _WINDOWS,
+}
