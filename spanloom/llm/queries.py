@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, language, repeats, secrets
+from spanloom.llm import bpe, decontaminate, html, language, repeats, secrets, topk, warc
+from spanloom.llm.common import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"), repeats.sentence_rule(), keep=["doc_id", "text"]).withColumnsRenamed({"n_units": "n_sentences"})
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"), repeats.line_rule(), keep=["doc_id", "text"]).withColumnsRenamed({"n_units": "n_lines"})
 
@@ -43,13 +48,25 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("redacted")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "archives").path("warc")
+    return warc.read_pages(spark, warc.write(_read(spark, sf_dir, "pages"), folder)).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_exact_topk": op3_exact_topk,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
+    "op8_html_text": op8_html_text,
+    "op10_warc": op10_warc,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -122,7 +139,35 @@ select f.doc_id, cast(len(f.w) as bigint) as n_words, coalesce(hit.n, 0) as n_hi
 from forms f left join hit using (doc_id) left join who using (doc_id)
 """
 
+_INNER = """
+with codes as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scores as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from codes q join codes c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 10
+"""
+
+_ARCHIVE = """
+with rows as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+digests as (
+  select page_id, html, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((cast('0x' || substr(hex, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as bigint), 1)), '') as payload_digest,
+    min(page_id) over (partition by html) as first
+  from rows
+)
+select page_id, octet_length(encode(html)) as payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id = first then null else first end as refers_to
+from digests
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_exact_topk": _INNER,
+    "op10_warc": _ARCHIVE,
     "op2_substring_dedup": _SENTENCES,
     "op4_line_dedup": _LINES,
     "op6_decontamination": _WINDOWS,
