@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, html, language, repeats, secrets, topk, warc
+from spanloom.llm import bpe, decontaminate, html, language, neardup, repeats, secrets, topk, warc
 from spanloom.llm.common import Scratch
 
 
@@ -52,6 +52,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "archives").path("warc")
     return warc.read_pages(spark, warc.write(_read(spark, sf_dir, "pages"), folder)).drop("url")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_html_text": op8_html_text,
+    "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
     "pipeline": corpus_pipeline.run,
 }
@@ -152,6 +157,22 @@ select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 10
 """
 
+_NEAR = """
+with recursive forms as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+),
+shingles as (
+  select distinct doc_id, array_to_string(w[p:p + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from forms where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+link as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join link l on r.b = l.a),
+least as (select a, min(b) as m from reach group by a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, l.m as component_id, d.doc_id = l.m as kept
+from documents d join least l on l.a = d.doc_id left join sizes s on s.doc_id = d.doc_id
+"""
+
 _ARCHIVE = """
 with rows as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
 digests as (
@@ -167,6 +188,7 @@ from digests
 
 ORACLES: dict[str, str] = {
     "op3_exact_topk": _INNER,
+    "op9_near_dedup": _NEAR,
     "op10_warc": _ARCHIVE,
     "op2_substring_dedup": _SENTENCES,
     "op4_line_dedup": _LINES,
