@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, language
-from spanloom.llm.common import Scratch
+from spanloom.llm import bpe, decontaminate, language, neardup, repeats
+from spanloom.llm.common import Scratch, text_key
 from spanloom.session import ship
 
-#: Language ID keeps a document from this score on: only texts without a language are to go.
+#: Language ID keeps a document from this score on: only texts without a language of their own are to go.
 LEAST_SCORE = 0.3
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no learned language: without letters, without text, or with no language ahead of the others."""
+    """Drops documents in no learned language: null or without letters, or with no language ahead of the others."""
     ship(spark)
     scored = language.identify(docs, language.train(docs))
     return scored.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes later occurrences of windows of three lines; a document of which nothing is left goes. n_chars follows the text."""
+    ship(spark)
+    clean = repeats.remove_repeats(docs, repeats.line_rule())
+    left = clean.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: the one with the smallest id."""
+    ship(spark)
+    tables = Scratch(spark, "near-dedup")
+    found = tables.table(neardup.near_duplicates(docs).where("kept").select("doc_id", "text_key", "component"), "kept")
+    # of rows that share the smallest id, whose texts differ, the one with the least hash; of equal rows any
+    one = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select(F.col("one.doc_id").alias("kept_id"), F.col("one.text_key").alias("kept_key"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("key"))
+    kept = row.join(one.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kept_id")) & F.col("key").eqNullSafe(F.col("kept_key")))
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+        kept = kept.groupBy("id", "key").agg(F.first("row").alias("row"))  # rows that repeat entirely
+    return kept.select("row.*")
+
+
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     ship(spark)
@@ -27,9 +50,19 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
+def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token ids: doc_id, lang, source, n_chars, n_tokens, ids_sha256, decoded_sha256, ids."""
+    ship(spark)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return bpe.encode_decode(docs, f.read(), keep=["doc_id", "lang", "source", "n_chars"], with_ids=True).drop("decoded")
+
+
 STAGES = [
     ("language ID", _language_id),
+    ("line dedup", _line_dedup),
+    ("near dedup", _near_dedup),
     ("benchmark decontamination", _decontaminate),
+    ("BPE", _bpe),
 ]
 
 #: Language ID is learned statistics and the encoding is a tokenizer's: SQL cannot express them.
@@ -42,4 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = tables.table(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            tables.drop(f"stage{k - 1}")
     return docs

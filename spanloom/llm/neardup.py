@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     found = tables.table(linked.unionByName(copied), "components")
     result = documents.select("id", "tk", "key", "n").join(found, "key", "left")
     least_id = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least"))
-    own = F.when(F.col("key").isNull(), F.concat(F.lit("-"), F.hex("id"))).otherwise(F.hex(F.coalesce("comp", "key")))
+    own = F.when(F.col("key").isNull(), F.concat_ws("-", F.lit(""), F.hex("id"), F.hex("tk"))).otherwise(F.hex(F.coalesce("comp", "key")))
     return result.select(F.col("id").alias(id_col), F.col("tk").alias("text_key"), F.col("n").alias("n_shingles"), least_id.alias("component_id"), F.col("id").eqNullSafe(least_id).alias("kept"), own.alias("component"))
 
 
