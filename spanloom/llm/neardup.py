@@ -285,7 +285,7 @@ def connected_components(edges: DataFrame, tables: Scratch) -> DataFrame:
 def _cut_large(members: DataFrame, tables: Scratch, region: int) -> DataFrame:
     """Regions too large for one task, cut at the least depth at which they are not; the last depth is cut by a hash."""
     done = None
-    rest = members
+    rest = members.select("p", "key", "deep")
     for step in range(DEPTH - BASE):
         last = step == DEPTH - BASE - 1
         deep = rest.withColumn("q", F.element_at("deep", step + 1))
