@@ -1,10 +1,4 @@
-"""The registered queries over the relational operators, with the SQL that states each result."""
+"""All registered queries over the relational operators, with the SQL that states each result."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from spanloom.plans import call_queries, cluster_queries, depth_queries, read_queries, sequence_queries  # noqa: F401
+from spanloom.plans.registry import ORACLES, QUERIES  # noqa: F401
