@@ -31,6 +31,8 @@ PERCENT = 85
 TREES, DEPTH, BASE = 20, 6, 4
 #: Classes of a region that one task compares.
 REGION = 256
+#: Regions' worth of classes in a block: each class of a large region goes to as many tasks as the region has blocks.
+BLOCK = 4
 
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -350,7 +352,7 @@ def _across_blocks(large: DataFrame, sets: DataFrame, labels: DataFrame, tables:
     known = large.select("p", "key", "m").join(labels.withColumnRenamed("node", "key"), "key", "left").select("p", "key", "m", F.coalesce("comp", "key").alias("comp"))
     known = tables.table(known, "known")
     mixed = known.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("p")
-    blocks = F.ceil(F.col("m") / F.lit(region // 2)).cast("int")
+    blocks = F.ceil(F.col("m") / F.lit(region * BLOCK)).cast("int")
     rows = known.join(mixed, "p").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     dealt = rows.select("p", "key", "comp", "block", F.explode(pairs).alias("of")).select("p", "key", "comp", "block", "of.i", "of.j")
