@@ -16,16 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Scratch, slices, text_key
+from spanloom.llm.common import KeyFilter, Scratch, slices, text_key
 
 #: At most so many words, of at most so many characters each, are sent to every task.
 HOT_WORDS, HOT_LENGTH = 1 << 18, 48
-#: The words that a task counts before it sends them on.
-_HELD_WORDS = 400_000
+#: Bytes of text whose words a task counts before it sends them on.
+_COUNTED_BYTES = 8 << 20
 #: The letters, numbers and spaces below U+0250, in which the pattern that splits text for this family of
 #: tokenizers is spelt out here.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -73,12 +75,11 @@ class Vocabulary:
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian 32-bit numbers."""
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def decode(self, ids: bytes) -> str:
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
     def digest(self, ids: bytes) -> tuple[int, str, str]:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.decode(ids).encode("utf-8")).hexdigest()
@@ -95,42 +96,72 @@ def _vocabulary(source: Broadcast) -> Vocabulary:
     return _CACHE[key]
 
 
-def word_table(docs: DataFrame, source: Broadcast, text: str = "text") -> DataFrame:
-    """word, n and codes: each distinct word of the texts, how often it occurs, and its ids."""
+def word_table(docs: DataFrame, source: Broadcast) -> DataFrame:
+    """docs: t, id, tk. word, n and codes: each distinct word of the texts, how often it occurs, and its ids; and id, tk and pos,
+    the place of a word that occurs once (for others they mean nothing)."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held = _vocabulary(source), Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+        vocabulary = _vocabulary(source)
         for whole in batches:
-            for batch in slices(whole, 0):
-                for t in batch.column(0).to_pylist():
-                    held.update(vocabulary.words(t))
-                if len(held) > _HELD_WORDS:
-                    yield flush()
-                    held.clear()
-        yield flush()
+            for batch in slices(whole, 0, _COUNTED_BYTES):
+                words = [vocabulary.words(t) for t in batch.column(0).to_pylist()]
+                held = Counter()
+                for w in words:
+                    held.update(w)
+                rows, places = dict.fromkeys(held), dict.fromkeys(held)
+                for row, w in enumerate(words):
+                    for place, x in enumerate(w):
+                        if held[x] == 1:
+                            rows[x], places[x] = row, place
+                at = pa.array(rows.values(), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64()), batch.column(1).take(at), batch.column(2).take(at), pa.array(places.values(), pa.int32())], names=["word", "n", "id", "tk", "pos"]
+                )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(source)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vocabulary.encode(batch.column(0).to_pylist()), pa.binary())], names=["word", "n", "codes"])
+            codes = pa.array(vocabulary.encode(batch.column(0).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, "codes"])
 
-    words = docs.where(F.length(text) > 0).select(F.col(text).alias("t")).mapInArrow(count, "word string, n long")
-    return words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(encode, "word string, n long, codes binary")
+    schema = f"word string, n long, id {id_type}, tk long, pos int"
+    words = docs.where(F.length("t") > 0).select("t", "id", "tk").mapInArrow(count, schema).groupBy("word")
+    return words.agg(F.sum("n").alias("n"), F.max("id").alias("id"), F.max("tk").alias("tk"), F.max("pos").alias("pos")).mapInArrow(encode, f"{schema}, codes binary")
 
 
-def _hot(table: DataFrame, most: int) -> DataFrame:
-    """The most frequent words: all from the least frequency class on with which they are not more than `most`."""
-    rank = F.floor(F.log2("n") * 4).cast("int")
-    short = table.where(F.length("word") <= HOT_LENGTH).withColumn("rank", rank)
-    sizes = {r["rank"]: r["c"] for r in short.groupBy("rank").agg(F.count("*").alias("c")).collect()}  # a few hundred rows at most
+def _hot(table: DataFrame, most: int) -> Column:
+    """Which words are hot: all short ones from the least frequency class on with which they are not more than `most`."""
+    rank, short = F.floor(F.log2("n") * 4).cast("int"), F.length("word") <= HOT_LENGTH
+    sizes = {r["rank"]: r["c"] for r in table.where(short).groupBy(rank.alias("rank")).agg(F.count("*").alias("c")).collect()}  # a few hundred rows at most
     total, least = 0, None
     for r in sorted(sizes, reverse=True):
         total += sizes[r]
         if total > most:
             break
         least = r
-    return short.where(F.lit(False) if least is None else F.col("rank") >= least)
+    return F.lit(False) if least is None else short & (rank >= least)
+
+
+def _pack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, array<struct<pos, codes>>, as compressed numbers: how many, the places, the codes' sizes, the codes."""
+    squeeze = zstandard.ZstdCompressor().compress
+    for batch in batches:
+        out = []
+        for entries in batch.column(2).to_pylist():
+            codes = [e["codes"] for e in entries]
+            heads = np.array([len(entries), *[e["pos"] for e in entries], *map(len, codes)], dtype="<u4")
+            out.append(squeeze(heads.tobytes() + b"".join(codes)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "tk", "rare"])
+
+
+def _unpack_places(data: bytes) -> Iterator[tuple[int, bytes]]:
+    n = int.from_bytes(data[:4], "little")
+    heads = np.frombuffer(data, dtype="<u4", count=1 + 2 * n)[1:].tolist()
+    at = 4 + 8 * n
+    for place, size in zip(heads[:n], heads[n:], strict=True):
+        yield place, data[at : at + size]
+        at += size
 
 
 def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, hot_words: int = HOT_WORDS, with_ids: bool = False) -> DataFrame:
@@ -140,11 +171,16 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", id_c
     document and get the same result. Columns other than `keep`, the id and the text are not read.
     """
     keep = docs.columns if keep is None else keep
-    spark, tables = docs.sparkSession, Scratch(docs.sparkSession, "bpe")
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession, "bpe", thorough=True)
     source = spark.sparkContext.broadcast(tokenizer_json)
-    table = tables.table(word_table(docs, source, text), "words")
-    hot = spark.sparkContext.broadcast({r["word"]: bytes(r["codes"]) for r in _hot(table, hot_words).select("word", "codes").toLocalIterator(prefetchPartitions=True)})
     rows = docs.select(F.col(text).alias("t"), F.col(id_col).alias("id"), text_key(text).alias("tk"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    table = tables.table(word_table(rows, source), "words")
+    is_hot = _hot(table, hot_words)
+    found = table.where(is_hot).select("word", "codes").toArrow()
+    hot = spark.sparkContext.broadcast(dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)))
+    once = table.where(~is_hot & (F.col("n") == 1)).select("id", "tk", "pos", "codes")
+    again = table.where(~is_hot & (F.col("n") > 1)).select("word", "codes", F.xxhash64("word").alias("h"))
+    repeats = spark.sparkContext.broadcast(KeyFilter.build(again, "h", 21))
     row_type, id_type = rows.schema["row"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
     result_arrow = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary()), ("decoded", pa.string())]
@@ -154,7 +190,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", id_c
         return [pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(result_arrow)]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = _vocabulary(source), hot.value
+        vocabulary, known, repeated = _vocabulary(source), hot.value, repeats.value
         for whole in batches:
             for batch in slices(whole, 0):
                 codes: list[bytes | None] = []
@@ -166,25 +202,43 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", id_c
                         rare.append(None)
                     except KeyError:
                         codes.append(None)
-                        rare.append([{"pos": i, "word": w} for i, w in enumerate(words) if w not in known])
+                        left = [(i, w) for i, w in enumerate(words) if w not in known]
+                        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for _, w in left], dtype=np.uint64)
+                        rare.append([{"pos": i, "word": w} for (i, w), r in zip(left, repeated.has(hashes.view(np.int64)).tolist(), strict=True) if r])
                 rare_type = pa.list_(pa.struct([("pos", pa.int32()), ("word", pa.string())]))
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), *results(vocabulary, codes), pa.array(rare, rare_type)], names=["id", "tk", "row", *[n for n, _ in result_arrow], "rare"])
 
     done = tables.table(rows.mapInArrow(first, f"id {id_type}, tk long, row {row_type}, {result}, rare array<struct<pos:int,word:string>>"), "done")
-    places = done.where("rare is not null").select("id", "tk", F.explode("rare").alias("r")).select("id", "tk", "r.pos", "r.word").distinct()
-    back = places.join(table.select("word", "codes"), "word").groupBy("id", "tk").agg(F.collect_list(F.struct("pos", "codes")).alias("rare"))
-    back = tables.table(back.withColumnsRenamed({"id": "rid", "tk": "rtk"}), "back")
-    rest = rows.join(back.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rid")) & F.col("tk").eqNullSafe(F.col("rtk")))
+    places = done.where("rare is not null").select("id", "tk", F.explode("rare").alias("r")).select("id", "tk", "r.pos", "r.word")
+    # a word that occurs once has its place in the table; dealt by document first, as a partial collection would only make rows larger
+    found = places.join(again.drop("h"), "word").select("id", "tk", "pos", "codes").unionByName(once)
+    found = found.repartition("id", "tk")
+    back = found.groupBy("id", "tk").agg(F.collect_set(F.struct("pos", "codes")).alias("rare"))
+    back = tables.table(back.mapInArrow(_pack_places, f"id {id_type}, tk long, rare binary").withColumnsRenamed({"id": "rid", "tk": "rtk"}), "back")
+    del places, found
+    late_keys = spark.sparkContext.broadcast(KeyFilter.build(back.select(F.xxhash64("rid", "rtk").alias("h")), "h", 21))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that may have rare words, their texts compressed for the shuffle."""
+        squeeze = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            batch = batch.filter(pa.array(late_keys.value.has(np.asarray(batch.column(4)))))
+            texts = [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *[batch.column(i) for i in (1, 2, 3)]], names=["t", "id", "tk", "row"])
+
+    tables.drop("words")
+    rest = rows.withColumn("h", F.xxhash64("id", "tk")).mapInArrow(pack, f"t binary, id {id_type}, tk long, row {row_type}")
+    rest = rest.join(back.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rid")) & F.col("tk").eqNullSafe(F.col("rtk")))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = _vocabulary(source), hot.value
+        vocabulary, known, expand = _vocabulary(source), hot.value, zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for batch in slices(whole, 0):
                 codes = []
                 for t, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    parts = [known.get(w) for w in vocabulary.words(t)]
-                    for r in rare:
-                        parts[r["pos"]] = r["codes"]
+                    parts = [known.get(w) for w in vocabulary.words(expand(t).decode("utf-8", "surrogatepass"))]
+                    for place, found_codes in _unpack_places(expand(rare)):
+                        parts[place] = found_codes
                     codes.append(b"".join(parts))
                 yield pa.RecordBatch.from_arrays([batch.column(2), *results(vocabulary, codes)], names=["row", *[n for n, _ in result_arrow]])
 

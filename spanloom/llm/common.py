@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -29,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    A table lives until drop() or, as results are lazy and may read it late, the end of the process.
+    A table lives until drop() or, as results are lazy and may read it late, the end of the process. thorough: waits for
+    Spark to drop old shuffle files before the next table is written, for operators that need the disk.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, thorough: bool = False):
+        self.spark, self.rounds = spark, 2 if thorough else 1
         self.root = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._close)
 
@@ -42,11 +46,20 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self._release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _release(self) -> None:
+        """Lets Spark's cleaner drop shuffle files that no plan refers to any more; it acts on the driver's collection of garbage."""
+        for _ in range(self.rounds):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2 * (self.rounds - 1))
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self.path(name))
+        self._release()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -56,6 +69,8 @@ class Scratch:
     def _close(self) -> None:
         if self.spark.sparkContext._jsc is not None:
             self._delete(self.root)
+        elif self.root.startswith("file:"):  # the session has ended before
+            shutil.rmtree(self.root.removeprefix("file:").replace("///", "/"), ignore_errors=True)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -91,9 +106,9 @@ class KeyFilter:
         """Collects one row per word of the filter at most."""
         c = F.col(column)
         mask = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int)) | shiftleft(1L, cast(shiftright(`{column}`, 6) & 63 as int))")
-        found = keys.where(c.isNotNull()).groupBy(F.shiftrightunsigned(c, 64 - bits).alias("w")).agg(F.bit_or(mask).alias("m")).toPandas()
+        found = keys.where(c.isNotNull()).groupBy(F.shiftrightunsigned(c, 64 - bits).alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()
         words = np.zeros(1 << bits, dtype=np.uint64)
-        words[found["w"].to_numpy(dtype=np.int64)] = found["m"].to_numpy(dtype=np.int64).view(np.uint64)
+        words[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
         return KeyFilter(words)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
