@@ -61,12 +61,12 @@ _LEAST_BASE = 1.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "holds_main", "has_h1", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "holds_main", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[_Node | str] = []
-        self.dropped = self.holds_main = self.has_h1 = False
+        self.dropped = self.holds_main = False
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool, bool]:
@@ -180,7 +180,6 @@ def _settle(root: _Node) -> list[_Node]:
         stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
     for node in reversed(order):
         holds = any(c.holds_main and not c.dropped for c in node.children if isinstance(c, _Node))
-        node.has_h1 = node.tag == "h1" or any(c.has_h1 for c in node.children if isinstance(c, _Node))
         if holds:
             node.holds_main = True
             if node.tag not in _DROPPED:

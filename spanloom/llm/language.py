@@ -25,6 +25,8 @@ from spanloom.llm.common import slices
 ORDER = 4
 #: Labelled texts that are fitted for each language, on average (they are chosen by a hash of their ids): the bound on the fit.
 SAMPLE_PER_LANGUAGE = 600
+#: Values of the label that are learned at most, the most frequent ones; with SAMPLE_PER_LANGUAGE it bounds the model.
+MOST_LANGUAGES = 200
 #: A context of order 2 or more needs so many occurrences in its language to stay in the tree.
 LEAST_COUNT = 2
 #: Score: the posterior with evidence limited to so many bytes, so that it does not saturate on long texts.
@@ -180,10 +182,12 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits on about `sample` whole texts of each language, chosen by a hash of their ids among the rows that are not held out."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Fits on about `sample` whole texts of each language, chosen by a hash of their ids among the rows that are not held out.
+
+    The most frequent `most_languages` values count as languages; without labelled texts there are none."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()}
     if not sizes:
         return Model([], [], [])
     unit = 1 << 30
@@ -208,7 +212,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
                         yield pa.RecordBatch.from_arrays([pa.array([l] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model.fit(counts.toPandas())
+    return Model.fit(counts.toArrow().to_pandas())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
