@@ -27,7 +27,7 @@ from spanloom.llm.common import KeyFilter, Scratch, slices, text_key
 #: At most so many words, of at most so many characters each, are sent to every task.
 HOT_WORDS, HOT_LENGTH = 1 << 18, 48
 #: Bytes of text whose words a task counts before it sends them on.
-_COUNTED_BYTES = 8 << 20
+_COUNTED_BYTES = 4 << 20
 #: The letters, numbers and spaces below U+0250, in which the pattern that splits text for this family of
 #: tokenizers is spelt out here.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -148,7 +148,8 @@ def _pack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor().compress
     for batch in batches:
         out = []
-        for entries in batch.column(2).to_pylist():
+        for value in batch.column(2):  # one document's entries at a time
+            entries = value.as_py()
             codes = [e["codes"] for e in entries]
             heads = np.array([len(entries), *[e["pos"] for e in entries], *map(len, codes)], dtype="<u4")
             out.append(squeeze(heads.tobytes() + b"".join(codes)))
@@ -192,7 +193,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", id_c
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known, repeated = _vocabulary(source), hot.value, repeats.value
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, 1 << 20):
                 codes: list[bytes | None] = []
                 rare: list[list[dict] | None] = []
                 for t in batch.column(0).to_pylist():
@@ -221,10 +222,10 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", id_c
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows that may have rare words, their texts compressed for the shuffle."""
         squeeze = zstandard.ZstdCompressor(level=6).compress
-        for batch in batches:
-            batch = batch.filter(pa.array(late_keys.value.has(np.asarray(batch.column(4)))))
-            texts = [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *[batch.column(i) for i in (1, 2, 3)]], names=["t", "id", "tk", "row"])
+        for whole in batches:
+            for batch in slices(whole.filter(pa.array(late_keys.value.has(np.asarray(whole.column(4))))), 0, 1 << 20):
+                texts = [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *[batch.column(i) for i in (1, 2, 3)]], names=["t", "id", "tk", "row"])
 
     tables.drop("words")
     rest = rows.withColumn("h", F.xxhash64("id", "tk")).mapInArrow(pack, f"t binary, id {id_type}, tk long, row {row_type}")
@@ -233,7 +234,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", id_c
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known, expand = _vocabulary(source), hot.value, zstandard.ZstdDecompressor().decompress
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, 1 << 20):
                 codes = []
                 for t, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     parts = [known.get(w) for w in vocabulary.words(expand(t).decode("utf-8", "surrogatepass"))]
