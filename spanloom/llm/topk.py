@@ -62,13 +62,14 @@ def quantise(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class _Panel:
-    """Queries by length of their vectors, and for each the interval [low, low + width * bins) that holds its kth score."""
+    """Queries by length of their vectors, and for each the values from low to top, in bins of a width, that hold its kth score."""
 
     def __init__(self, queries: list[tuple[int, int, bytes]], k: int, bins: int, norms: dict[int, float]):
         self.k, self.bins = k, bins
         self.ids = np.array([q[0] for q in queries], dtype=np.int64)
         self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.low = np.zeros(len(queries), dtype=np.int64)
+        self.top = np.full(len(queries), (1 << 63) - 1, dtype=np.int64)  # rows beyond it are counted already
         self.width = np.ones(len(queries), dtype=np.int64)
         self.need = np.full(len(queries), k, dtype=np.int64)
         self.open = np.ones(len(queries), dtype=bool)
@@ -84,6 +85,7 @@ class _Panel:
         """found: query, bin with the kth score, rows in better bins and in this one, for the open queries that have k rows or more."""
         for q, b, _, _ in found:
             self.low[q] = min(int(self.low[q]) + b * int(self.width[q]), (1 << 63) - 1)
+            self.top[q] = min(int(self.low[q]) + int(self.width[q]) - 1, int(self.top[q]))
         held = {q: (better, n) for q, _, better, n in found}
         for q in np.flatnonzero(self.open).tolist():
             if q not in held:  # fewer than k candidates: all of them are wanted
@@ -120,10 +122,11 @@ def _histogram(codes: DataFrame, panel: _Panel) -> list[tuple[int, int, int, int
             for at, ids, scores in _scores(batch, p):
                 live = p.open[at]
                 at, scores = at[live], scores[:, live]
-                inside = (scores >= p.low[at]) & (ids[:, None] != p.ids[at])
+                inside = (scores >= p.low[at]) & (scores <= p.top[at]) & (ids[:, None] != p.ids[at])
                 above = np.ascontiguousarray(scores).view(np.uint64) - p.low[at].view(np.uint64)  # right also where a signed difference overflows
-                inside &= above < p.width[at].view(np.uint64) * np.uint64(p.bins)
-                bin_ = np.where(inside, above // p.width[at].view(np.uint64), 0).astype(np.int64)
+                bin_ = above // p.width[at].view(np.uint64)
+                inside &= bin_ < np.uint64(p.bins)
+                bin_ = np.where(inside, bin_, 0).astype(np.int64)
                 row = np.broadcast_to(at, scores.shape)
                 counts += np.bincount((row[inside] * p.bins + bin_[inside]), minlength=counts.size).reshape(counts.shape)
         best = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # rows in this bin or better ones

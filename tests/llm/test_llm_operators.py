@@ -295,6 +295,17 @@ def test_top_k_equals_brute_force(spark, bins, panel, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_with_scores_dense_around_a_bin_bound(spark):
+    """6 rows lie within 1023 above a bin of 2050 values and 300 rows in it; the refined histogram would span 3072 values."""
+    reach = int((1 << 20) * 1.0001) + 1
+    width = -(-2 * reach // topk.BINS) + 1
+    bound = 700 * width - reach
+    scores = [bound + 30 + i for i in range(6)] + [bound - 1 - 6 * i for i in range(300)] + [-(1 << 20)]
+    df = spark.createDataFrame([(0, [1.0])] + [(i + 1, [float(s)]) for i, s in enumerate(scores)], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.col("vec_id") == 0, scale=1).orderBy("rank").collect()
+    assert [r["score"] for r in found] == sorted(scores, reverse=True)[:10]
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------------
 
 
