@@ -24,14 +24,23 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, so the same as the runs of any length that reach 32
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
-#: Looser contexts, judged by guess cost alone.
+#: Looser contexts, judged by guess cost alone. `base` are the words of ASSIGN, for values that it misses or covers in part.
 CONTEXT = re.compile(
-    r"""(?:passphrase|passcode|pass|pwd|pin|credentials?|auth(?:orization)?|access_?key(?:_?id)?|private_?key|client_?key|signing_?key|encryption_?key|auth_?key|session_?id|bearer)["']?(?:\x20*[:=]\x20*|\x20+(?:is\x20+)?)["']?([^\s"'<>,;]{6,})""",
+    r"""(?:(?P<base>password|passwd|secret(?:[_-]?(?:access[_-]?)?key)?|token|api[_-]?key)|"""
+    r"""passphrase|passcode|pass|pwd|pin|credentials?|auth(?:orization)?|access_?key(?:_?id)?|private_?key|client_?key|signing_?key|encryption_?key|auth_?key|session_?id|bearer)"""
+    r"""["']?(?:\x20*(?P<sign>[:=])\x20*|\x20+(?:is\x20+)?)["']?(?:(?:basic|bearer|digest|negotiate|token|apikey)\x20+)?(?P<value>[^\s"'<>,;]{6,})""",
     re.I | re.A,
 )
-_HINTS = ("pass", "pwd", "pin", "cred", "auth", "key", "session", "bearer")
-#: log2 of the guesses from which a value in a looser context is a secret.
-LEAST_BITS = 36.0
+_HINTS = ("pass", "pwd", "pin", "cred", "auth", "key", "session", "bearer", "secret", "token")
+#: No context word with its sign and quotes is longer.
+_LONGEST_CONTEXT = 32
+#: Words, also joined or in brackets, as running text has them: whatever holds no digit.
+_PROSE = re.compile(r"\D+")
+#: What follows a value without being a part of it: the next parameter of a query string, a closing mark.
+_NEXT = re.compile(r"&[a-z_][\w.-]*=|[`*]+$", re.I | re.A)
+#: log2 of the guesses from which a value in a looser context is a secret; words after a blank are one from the second on, as
+#: those of running text cost less.
+LEAST_BITS, LEAST_PROSE_BITS = 36.0, 80.0
 KINDS = ("assign", "access", "hex", "guess")
 
 #: Frequent words of passwords, most frequent first.
@@ -132,6 +141,11 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+def _least(m: re.Match[str], value: str) -> float:
+    prose = not m["sign"] and (_PROSE.fullmatch(value) if m["base"] else value.isalpha())
+    return LEAST_PROSE_BITS if prose and all(w in (w.lower(), w.upper(), w.capitalize()) for w in re.findall(r"[^\W\d_]+", value)) else LEAST_BITS
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """The spans as (start, end, kind) in code points, by start, then by kind as in KINDS."""
     if not text:
@@ -145,12 +159,20 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(h in low for h in _HINTS):
         taken = [(a, b) for a, b, _ in found]
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            value = m[1].rstrip(".)]}!?:")
+        m = CONTEXT.search(text)
+        while m:
+            a, whole = m.span("value")
+            value = m["value"].rstrip(".)]}!?:")
             b = a + len(value)
-            if len(value) >= 6 and any(c.isdigit() or not c.isalpha() for c in value) and not any(x < b and a < y for x, y in taken) and guess_bits(value) >= LEAST_BITS:
+            held = max([a, *(y for x, y in taken if x <= a < y)])  # a fixed format covers the value up to here
+            if held >= b or held > a and _NEXT.match(text, held, b):
+                at = max(held, a + 1)
+            elif len(value) >= 6 and guess_bits(value) >= _least(m, value):
                 found.append((a, b, "guess"))
+                at = b
+            else:  # no part of a cheap value is dear, but its end may be a context of what follows
+                at = max(a, whole - _LONGEST_CONTEXT)
+            m = CONTEXT.search(text, at)
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
