@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A quote opens a value only after the equals sign; one that is never closed is a part of an unquoted value.
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+", re.A)
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE.replace('([', '(?:[')})?+)*+)(?:>|\Z)", re.S | re.A
+)
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: The void elements, and the elements whose content is not markup.
@@ -84,8 +88,8 @@ def _names(attributes: str) -> tuple[set[str], str, bool, bool]:
             body = body or value.strip().lower() == "articlebody"
         elif name == "aria-hidden":
             hidden = hidden or value.strip().lower() == "true"
-        else:
-            hidden = hidden or name == "hidden" and attributes[m.start() - 1 : m.start()] in (" ", "\t", "\n")
+        elif name == "hidden":
+            hidden = True
     return parts, role, hidden, body
 
 

@@ -258,6 +258,20 @@ def test_html(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p><a title=don't href=/x>First</a> sentence kept.</p><p>It isn't lost.</p>", "First sentence kept.\nIt isn't lost."),
+        ("<p class=\"a\"\">One</p><p id='b' '>Two</p>", "One\nTwo"),
+        ("<p title='a > b' data-x=\"c > d\">One</p><p title = \"it's\">Two</p>", "One\nTwo"),
+        ("<p title=\"never closed>One</p><p>Two</p>", "One\nTwo"),
+        ("<p title='class=ad' data-id=ad>One</p><p alt=don't hidden>Two</p>", "One"),
+    ],
+)
+def test_html_quotes_open_values_only(page, text):
+    assert html.extract(page) == text
+
+
 def test_html_without_article_takes_the_dense_part():
     body = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
     page = f"<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div><div>{body}</div></div><div class='cookie-notice'>We use cookies</div></body>"
