@@ -1,7 +1,8 @@
 """Main-text extraction from web pages by composite text density.
 
-A page becomes a DOM; parts that by their tag, role or class names are menus, forms, adverts, comments and the like are left
-out. For every remaining node the composite text density is computed: characters per tag, adjusted for links against the
+A page becomes a DOM; parts that by their tag or role are menus, scripts and the like are left out. Class names, ids and the
+form tag speak against a part, which is left out too unless it holds a main element or most of the page's text outside links.
+For every remaining node the composite text density is computed: characters per tag, adjusted for links against the
 page's overall share of link text. A node's density sum is the sum of its children's densities; the subtree with the
 largest sum is the main text, together with those others whose nodes reach the threshold, the least density on the path
 from that subtree to the body. Where the chosen subtree lies in an article or main element, that element is the main text.
@@ -47,8 +48,8 @@ _ENDS = {
 }
 _P_SCOPE = frozenset("applet button caption html marquee object table td th template".split())
 #: Elements and roles that are never main text.
-_DROPPED = frozenset("head nav aside footer form script style noscript template iframe object embed svg math canvas audio video button select option datalist textarea input label dialog menu map noembed noframes applet".split())
-_DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status tablist".split())
+_DROPPED = frozenset("head nav aside footer script style noscript template iframe object embed svg math canvas audio video button select option datalist textarea input label dialog menu map noembed noframes applet".split())
+_DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar status tablist".split())
 #: Parts of class names and ids that name what is not main text.
 _DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner sidebar "
@@ -58,6 +59,13 @@ _DROPPED_NAMES = frozenset(
 )
 _COMMENTS = frozenset("comment comments commentlist discussion disqus respond replies reply".split())
 _MAIN = frozenset(["article", "main"])
+#: First and last parts of names that tell the state of a part that is something else (has-sidebar, comments-open),
+#: and first parts of page builders' names, whose widgets are containers of any content.
+_STATES, _STATES_AFTER = frozenset("has no not non with without".split()), frozenset("open opened closed off enabled disabled".split())
+_BUILDERS = frozenset("elementor et wp fl vc siteorigin so panel wpb fusion avia brxe".split())
+#: Shares of the page's text outside links from which a part stays that its name or the form tag speaks against: of the text
+#: outside comments, and of all of it for comments and for parts outside the page's main elements.
+_MOST, _NEARLY_ALL = 0.5, 0.9
 
 
 #: The density is a logarithm to a base that tends to 1 on pages without links; it is kept off 1.
@@ -65,12 +73,12 @@ _LEAST_BASE = 1.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "holds_main", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubt", "comments", "main", "holds_main", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[_Node | str] = []
-        self.dropped = self.holds_main = False
+        self.dropped = self.doubt = self.comments = self.main = self.holds_main = False
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool, bool]:
@@ -81,7 +89,12 @@ def _names(attributes: str) -> tuple[set[str], str, bool, bool]:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             for word in value.split():
-                parts.update(x.lower() for x in _NAME_PART.findall(word))
+                own = [x.lower() for x in _NAME_PART.findall(word)]
+                if len(own) > 1 and (own[0] in _STATES or own[-1] in _STATES_AFTER):
+                    continue
+                if len(own) > 1 and own[0] in _BUILDERS:
+                    own = [x for x in own if x not in ("widget", "widgets")]
+                parts.update(own)
         elif name == "role":
             role = value.strip().lower()
         elif name == "itemprop":
@@ -163,20 +176,22 @@ def _up(node: _Node | None, tag: str) -> Iterator[_Node]:
 
 
 def _judge(node: _Node, attributes: str) -> None:
-    """Marks the node as dropped for what it is called; parts that hold the main element are taken back in _settle."""
+    """Marks the node as dropped for its tag or role, or as doubtful for its names or as a form; _settle decides on those."""
     names, role, hidden, body = _names(attributes) if attributes.strip() else (set(), "", False, False)
     main = node.tag in _MAIN or role in ("main", "article") or body
-    if main and not names & _COMMENTS:
-        node.holds_main = True
+    node.comments = bool(names & _COMMENTS)
+    if main and not node.comments:
+        node.main = node.holds_main = True
     node.dropped = node.tag in _DROPPED or hidden or role in _DROPPED_ROLES
     if not node.dropped and node.tag not in ("html", "body") and not node.holds_main:
-        node.dropped = bool(names & _DROPPED_NAMES)
+        node.doubt = node.tag == "form" or role == "form" or bool(names & _DROPPED_NAMES)
     if node.tag == "header" and not node.dropped:
-        node.dropped = not any(True for t in _MAIN for _ in _up(node.parent, t))
+        node.doubt = node.doubt or not any(True for t in _MAIN for _ in _up(node.parent, t))
 
 
 def _settle(root: _Node) -> list[_Node]:
-    """The nodes in document order; elements of which only the class names speak against them stay if they hold a main element."""
+    """The nodes in document order. Elements stay that hold a main element, unless their tag is dropped, and doubtful ones that
+    hold most of the page's text outside links."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -186,11 +201,35 @@ def _settle(root: _Node) -> list[_Node]:
         holds = any(c.holds_main and not c.dropped for c in node.children if isinstance(c, _Node))
         if holds:
             node.holds_main = True
+            node.doubt = False
             if node.tag not in _DROPPED:
                 node.dropped = False
+    if not any(n.doubt for n in order):
+        return order
+    everything, in_comments = _plain(order)
+    within: set[int] = set()  # the nodes inside main elements
+    for node in order:  # an outer part first; what it keeps may hold others that go
+        if node.parent is not None and (node.parent.main or id(node.parent) in within):
+            within.add(id(node))
+        if node.doubt:
+            apart = root.holds_main and id(node) not in within
+            most, whole = (_NEARLY_ALL, everything) if node.comments or apart else (_MOST, everything - in_comments)
+            node.dropped = not 0 < most * whole < node.plain
     return order
 
 
+def _plain(order: list[_Node]) -> tuple[int, int]:
+    """Sets each node's characters outside links and dropped parts, without those of doubtful comments inside it; the page's, and
+    those in doubtful comments."""
+    in_comments = 0
+    for node in reversed(order):
+        n = sum(len(" ".join(c.split())) if isinstance(c, str) else 0 if c.doubt and c.comments else c.plain for c in node.children)
+        node.plain = 0 if node.dropped or node.tag == "a" else n
+        if node.comments and node.doubt:
+            in_comments += node.plain
+    return order[0].plain + in_comments, in_comments
+
+
 def _measure(order: list[_Node], body: _Node) -> None:
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0

@@ -272,6 +272,28 @@ def test_html_quotes_open_values_only(page, text):
     assert html.extract(page) == text
 
 
+LONG = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'>{}</div>",
+        "<div class='post no-comments'>{}</div>",
+        "<div class='content-sidebar-wrap'><div class=content>{}</div><div class=sidebar>side</div></div>",
+        "<div class='elementor-widget elementor-widget-theme-post-content'>{}</div>",
+        "<main><div class='elementor-widget elementor-widget-theme-post-content'>{}</div></main>",
+        "<form action=x><div class=menu><a href=1>one</a></div><div>{}</div><input name=q></form>",
+        "<form action=x><main>{}</main></form>",
+        "<div class='post comments-open'>{}</div><div id=comments>" + "<p>me too, I say</p>" * 300 + "</div>",
+        "<div class=content-sidebar-wrap>{}</div><div class=sidebar>side</div><div id=comments>" + "<p>me too, I say</p>" * 300 + "</div>",
+    ],
+)
+def test_html_keeps_an_article_whatever_its_names(page):
+    page = f"<body><div><a href=1>one</a> <a href=2>two</a></div>{page.format(LONG)}<div class='cookie-notice'>We use cookies</div></body>"
+    assert html.extract(page).split("\n") == [f"{'word ' * 40}{i}" for i in range(5)]
+
+
 def test_html_without_article_takes_the_dense_part():
     body = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
     page = f"<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div><div>{body}</div></div><div class='cookie-notice'>We use cookies</div></body>"
