@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 BASES = "ACGT"
 
+_CIGAR_OP = re.compile(r"(\d+)([MIDNSHP=X])")
+
 
 def column_votes(reads: DataFrame, keys: list[str], seq: str, offset: str, qual: str | None = None) -> DataFrame:
     """For each cluster and column the base with most votes: keys, col, base, votes.
@@ -49,14 +52,30 @@ def mismatches(seq: str, consensus: str, offset: int, low: int = 0, high: int |
     return sum(seq[i].upper() != consensus[offset + i] for i in range(low, high))
 
 
+def indel_shift(cigar: str, n: int) -> int:
+    """Inserted less deleted bases within the first n bases along the reference (as functions.cigar.indels_in_first has them)."""
+    at = shift = 0
+    for size, op in ((int(a), b) for a, b in _CIGAR_OP.findall(cigar)):
+        if at >= n:
+            break
+        if op == "I":
+            shift += size
+        elif op == "D":
+            shift -= min(size, n - at)
+        if op in "MDN=XS":
+            at += size
+    return shift
+
+
 def clip_consensus(reads: pd.DataFrame, side: str, error: float) -> dict | None:
     """The consensus of one cluster of clipped reads; None if fewer than three agree.
 
-    reads: start, end, ustart, uend (unclipped), lclip, rclip, reverse, seq, qual, offset_ins and offset_dels (insertions and
-    deletions between the cluster's first base and the read's, for laying it out), all with Python values."""
+    reads: qname, start, end, ustart, uend (unclipped), lclip, rclip, reverse, seq, qual and, for laying reads out behind the
+    insertions and deletions of the first one, cigar, all with Python values."""
 
     def laid_out(rows: list[dict]) -> list[int]:
-        return [max(0, r["ustart"] - rows[0]["ustart"] + r.get("shift", 0)) for r in rows]
+        steps = [r["ustart"] - rows[0]["ustart"] for r in rows]
+        return [max(0, n + indel_shift(rows[0].get("cigar") or "", n)) for n in steps]
 
     rows = sorted(reads.to_dict("records"), key=lambda r: (r["ustart"], r["qname"]))
     if len(rows) < 3:

@@ -17,6 +17,7 @@ from spanloom.functions import align
 from spanloom.functions import cigar as C
 from spanloom.functions import flags as P
 from spanloom.functions.vcf import record_line
+from spanloom.operators.annotate import flank_depths
 from spanloom.operators.calls import insertion_filters, keep_first, sequential_ids
 from spanloom.operators.clustering import anchored_clusters
 from spanloom.operators.consensus import clip_consensus
@@ -121,11 +122,17 @@ def small_insertions(reads: DataFrame, reference: DataFrame, config: Config, chu
     return sequential_ids(once.drop("product"), ["contig", "start", "end", "seq"], "S_INS_")
 
 
-def annotate_filters(calls: DataFrame, config: Config, depth: tuple[int, int] = (0, 1 << 30)) -> DataFrame:
-    """Adds `filter` to small calls. depth: the least and largest usual depth."""
+def annotate_filters(calls: DataFrame, config: Config, depth: tuple[int, int] = (0, 1 << 30), reads: DataFrame | None = None) -> DataFrame:
+    """Adds `filter` to small calls, and with `reads` left_depth and right_depth too (see flank_depths).
+
+    depth: the least and largest usual depth. Without reads depths are not known and ANOMALOUS_DEPTH is not judged."""
     zero = F.lit(0)
+    left, right = F.lit(depth[0]), F.lit(depth[0])
+    if reads is not None:  # an anchor that no read covers has depth 0
+        calls = flank_depths(calls, reads).fillna(0, ["left_depth", "right_depth"])
+        left, right = F.col("left_depth"), F.col("right_depth")
     c = {
-        "length": F.length("seq"), "start": F.col("start"), "end": F.col("end"), "seq": F.col("seq"), "left_depth": F.lit(depth[0]), "right_depth": F.lit(depth[0]), "min_depth": F.lit(depth[0]), "max_depth": F.lit(depth[1]),
+        "length": F.length("seq"), "start": F.col("start"), "end": F.col("end"), "seq": F.col("seq"), "left_depth": left, "right_depth": right, "min_depth": F.lit(depth[0]), "max_depth": F.lit(depth[1]),
         "left_split": F.col("r_fwd_clipped") + F.col("r_rev_clipped"), "right_split": F.col("l_fwd_clipped") + F.col("l_rev_clipped"), "global_max_depth": F.lit(depth[1]), "left_disc": zero, "right_disc": zero,
     }
     return calls.withColumn("filter", insertion_filters("S", c, config.min_insertion_size, config.read_len))

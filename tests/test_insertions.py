@@ -4,9 +4,11 @@ import random
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import consensus
 from spanloom.plans import insertions
 from spanloom.plans.config import Config
 from spanloom.sources import sam, text
@@ -112,5 +114,29 @@ def test_planted_insertion_is_called(spark, tmp_path, planted):
     assert none.count() == 0
 
 
+def test_filters_judge_the_depth_of_the_flanks(spark, tmp_path, planted):
+    ref, _, _, reads = planted
+    (tmp_path / "a.sam").write_text(sam_text(ref, reads))
+    chunks = spark.createDataFrame([("c", i, ref[i * 500 : (i + 1) * 500]) for i in range(8)], "contig string, chunk_id long, chunk string")
+    config = Config(min_insertion_size=50, read_len=100)
+    rows = sam.read_sam(spark, str(tmp_path / "a.sam"))
+    calls = insertions.small_insertions(rows, chunks, config, 500).cache()
+    for depth, filters in (((1, 1000), ["PASS"]), ((100, 1000), ["ANOMALOUS_DEPTH"]), ((0, 2), ["ANOMALOUS_DEPTH", "ANOMALOUS_SC_NUMBER"])):
+        (call,) = insertions.annotate_filters(calls, config, depth, rows).collect()
+        assert sorted(call["filter"]) == filters and 2 < call["left_depth"] < 100 and 2 < call["right_depth"] < 100
+
+
+def test_reads_are_laid_out_behind_indels_of_the_first():
+    assert [consensus.indel_shift("10S20M5I20M10D30M", n) for n in (0, 30, 31, 50, 55, 60, 99)] == [0, 0, 5, 5, 0, -5, -5]
+    draw = random.Random(12)
+    donor = "".join(draw.choice("ACGT") for _ in range(200))
+    shape = {"lclip": 0, "rclip": 20, "reverse": False, "qual": "I" * 100}
+    # 5 bases of the donor from its place 30 on are inserted; later reads start behind them
+    rows = [{"qname": "a", "start": 0, "ustart": 0, "end": 75, "uend": 95, "cigar": "30M5I45M20S", "seq": donor[:100], **shape}]
+    rows += [{"qname": f"b{i}", "start": s - 5, "ustart": s - 5, "end": s + 75, "uend": s + 95, "cigar": "80M20S", "seq": donor[s : s + 100], **shape} for i, s in enumerate((40, 42, 44, 46))]
+    found = consensus.clip_consensus(pd.DataFrame(rows), "R", 0.04)
+    assert found is not None and found["fwd_clipped"] == 5 and found["seq"] == donor[42:142]
+
+
 def test_config():
     assert Config.parse("seed 3\nmax_is 700\nmax_is 900\nper_contig_stats 1\nother x\n") == Config(seed=3, max_is=900, per_contig_stats=True)
