@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,38 @@ def test_bpe_equals_the_library(spark, tokenizer, hot):
         assert (found[i]["decoded"], found[i]["decoded_sha256"]) == (plain, hashlib.sha256(plain.encode()).hexdigest())
 
 
+def test_bpe_words_equal_the_tokenizers(tokenizer, monkeypatch):
+    """Texts of every kind of character, in pieces of any size, with special tokens."""
+    v, draw = bpe.Vocabulary(tokenizer), random.Random(5)
+    parts = ["a", "B", "é", "ß", "1", "²", "٣", "Ⅷ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "'", "'s", "'re", "'ve", "'ll", "'d", "'S", "!", "-", "日", "😀", "\u0301", "\x00", "\x1c", "\x85", "<|endoftext|>", "'l", "'r"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 40))) for _ in range(3000)] + [None, ""]
+    for size in (100, 1 << 20):
+        monkeypatch.setattr(bpe, "_CUT_BYTES", size)
+        words, first = v.splitter.split(pa.array(texts))
+        words = words.to_pylist()
+        assert [words[a:b] for a, b in zip(first, first[1:], strict=False)] == [v.splitter._words(t or "") for t in texts]
+    monkeypatch.setattr(bpe, "_CUT_BYTES", 1000)
+    long = "".join(t or "" for t in texts).replace("<|endoftext|>", "")
+    assert v.splitter.split(pa.array([long]))[0].to_pylist() == v.splitter._plain(long)
+
+
+def test_bpe_decodes_any_ids(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    t, draw = Tokenizer.from_str(tokenizer), random.Random(6)
+    ids = [[draw.randrange(50257) for _ in range(draw.randint(0, 9))] for _ in range(50)]
+    rows = [(i, np.array(x, dtype="<u4").tobytes(), "i") for i, x in enumerate(ids)] + [(50, None, "i")]
+    found = {r["n"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "n int, ids binary, i string"), tokenizer).collect()}
+    assert found == {i: t.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)} | {50: None}
+
+
+def test_bpe_refuses_other_tokenizers(spark):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        bpe.encode_decode(frame(spark, ["a"]), f.read())
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------
 
 
