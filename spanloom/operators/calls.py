@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.shared import Scratch
+
 #: A filtered pair's share of positive evidence below which it scores low, and the longest microhomology.
 LEAST_SCORE, MOST_MICROHOMOLOGY = 0.25, 100
 
@@ -18,16 +20,18 @@ def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
 def sequential_ids(df: DataFrame, order: list[str], prefix: str, name: str = "id") -> DataFrame:
     """Adds prefix0, prefix1, … in this order, which should be total.
 
-    Rows are sorted by range into partitions; each partition's rows are numbered on their own and shifted by the sizes of
-    those before, of which there is one number a partition. Ties at partition bounds need the order to be total."""
+    Rows are sorted by range into partitions, which are written to the shared folder once, as a plan with two such exchanges may
+    sample two different sets of bounds; each partition's rows are numbered on their own and shifted by the sizes of those
+    before, of which there is one number a partition. Ties at partition bounds need the order to be total."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__part": F.shiftright("__m", 33).cast("int"), "__row": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = ranged.withColumns({"__part": F.shiftright("__m", 33).cast("int"), "__row": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__m")
+    ranged = Scratch(spark, "ids").table(ranged, "ranged")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__c"))
     before = sizes.select(F.col("__part").alias("__p"), (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__b"))
     joined = ranged.join(F.broadcast(before), F.col("__part") == F.col("__p"))  # a row for each partition
-    return joined.withColumn(name, F.concat(F.lit(prefix), (F.col("__row") + F.col("__b")).cast("string"))).drop("__m", "__part", "__row", "__c", "__p", "__b")
+    return joined.withColumn(name, F.concat(F.lit(prefix), (F.col("__row") + F.col("__b")).cast("string"))).drop("__part", "__row", "__p", "__b")
 
 
 def support(positive: list[Column], negative: Column) -> tuple[Column, Column]:

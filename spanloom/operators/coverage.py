@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.intervals import overlapping
-from spanloom.operators.running import order_statistics
+from spanloom.operators.running import next_place, order_statistics, running_total
 
 
 def median_covered(targets: DataFrame, reads: DataFrame, keys: list[str], target_id: list[str], low: str, high: str, start: str, end: str, width: int) -> DataFrame:
     """For each target [low, high) the depths of its positions in falling order, at the place (number of covered ones) div 2:
     target_id, covered, median. A target that nothing covers gets 0.
 
-    Every read becomes +1 and -1 inside the target, positions with equal depth one row with a weight, so that neither reads
-    nor positions are multiplied out."""
-    pairs = overlapping(targets.select(*keys, *target_id, F.col(low).alias("__l"), F.col(high).alias("__h")), reads.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e")), keys, "__l", "__h", "__s", "__e", width)
+    Depth is a running total of +1 at starts and -1 at ends along the keys; between two such places it is one segment, whatever
+    the number of reads, and targets are joined with segments. Positions with equal depth are one row with a weight, so that
+    neither reads nor positions are multiplied out."""
     one = F.lit(1).cast("long")
-    steps = pairs.select(*target_id, "__h", F.greatest("__l", "__s").alias("__at"), one.alias("__d")).unionByName(pairs.select(*target_id, "__h", F.least("__h", "__e").alias("__at"), (-one).alias("__d")))
-    steps = steps.groupBy(*target_id, "__h", "__at").agg(F.sum("__d").alias("__d"))
-    w = Window.partitionBy(*target_id).orderBy("__at")
-    runs = steps.withColumn("__depth", F.sum("__d").over(w)).withColumn("__n", F.coalesce(F.lead("__at").over(w), F.col("__h")) - F.col("__at"))
-    runs = runs.where("__depth > 0 and __n > 0").groupBy(*target_id, "__depth").agg(F.sum("__n").alias("__n"))
+    solid = reads.where(F.col(end) > F.col(start))
+    ends = solid.select(*keys, F.col(start).alias("__s"), one.alias("__d")).unionByName(solid.select(*keys, F.col(end).alias("__s"), (-one).alias("__d")))
+    depths = running_total(ends.groupBy(*keys, "__s").agg(F.sum("__d").alias("__d")), keys, "__s", "__d", "__depth")
+    # a bin's last place goes on to the first of the key's next bin that has one: both are known from the bins' bounds
+    depths = next_place(depths.select(*keys, "__s", "__depth"), keys, "__s", "__e").where("__depth > 0")
+    wanted = targets.select(*keys, *target_id, F.col(low).alias("__l"), F.col(high).alias("__h"))
+    pairs = overlapping(wanted, depths, keys, "__l", "__h", "__s", "__e", width)
+    runs = pairs.select(*target_id, "__depth", (F.least("__h", "__e") - F.greatest("__l", "__s")).alias("__n"))
+    runs = runs.groupBy(*target_id, "__depth").agg(F.sum("__n").alias("__n"))
     down = Window.partitionBy(*target_id).orderBy(F.desc("__depth"))
     upto = runs.withColumn("__to", F.sum("__n").over(down)).withColumn("covered", F.sum("__n").over(Window.partitionBy(*target_id)))
     # the covered positions come first in falling order, so the place lies among them

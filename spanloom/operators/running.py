@@ -27,6 +27,21 @@ def running_total(df: DataFrame, keys: list[str], at: str, value: str, name: str
     return joined.withColumn(name, F.sum(value).over(inside) + F.col("__rp")).drop("__rb", "__rp", *[f"__k_{k}" for k in [*keys, "__rb"]])
 
 
+def next_place(df: DataFrame, keys: list[str], at: str, name: str, width: int = BIN) -> DataFrame:
+    """Adds the next larger `at` (a long) of the same keys, null for the last; rows are distinct in keys and `at`. In two levels,
+    like running_total: rows within a bin, and the bins' first places along a key."""
+    binned = df.withColumn("__nb", F.floor((F.col(at) - F.pmod(F.col(at), F.lit(width))) / width).cast("long"))
+    heads = binned.groupBy(*keys, "__nb").agg(F.min(at).alias("__nf"))
+    heads = heads.withColumn("__nn", F.lead("__nf").over(Window.partitionBy(*keys).orderBy("__nb"))).drop("__nf")
+    heads = heads.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__nb"]})
+    same = F.lit(True)
+    for k in [*keys, "__nb"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    inside = Window.partitionBy(*keys, "__nb").orderBy(at)
+    joined = binned.join(heads, same).withColumn(name, F.coalesce(F.lead(at).over(inside), F.col("__nn")))
+    return joined.drop("__nb", "__nn", *[f"__k_{k}" for k in [*keys, "__nb"]])
+
+
 def depth_at(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, name: str = "depth") -> DataFrame:
     """Adds to each point the number of intervals [start, end) of its keys that cover it.
 
@@ -41,15 +56,15 @@ def depth_at(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     return points.join(depths, [*keys, at], "left").fillna(0, [name])
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], weight: str | None = None) -> DataFrame:
     """For each key n and the values at the given 0-based ranks of the sorted values (integers); `ranks` are expressions over n.
 
     Values are counted first, so that repeats cost nothing, and ranks are found in running counts of distinct values. Ranks
-    beyond the last value give the last one."""
+    beyond the last value give the last one. weight: how often a row counts."""
     whole = not keys
     if whole:
         df, keys = df.withColumn("__all", F.lit(True)), ["__all"]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("long").alias("__v")).agg(F.count("*").alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("long").alias("__v")).agg((F.count("*") if weight is None else F.sum(weight)).alias("__c"))
     upto = running_total(counts, keys, "__v", "__c", "__to")
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("n"))
     picks = []

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.intervals import points_in_intervals
 from spanloom.operators.running import order_statistics
 
 #: Bases for each sampled position; what is kept off at both ends of a contig.
@@ -43,8 +44,6 @@ def whole_contigs(lengths: dict[str, int]) -> list[Region]:
 def offsets_to_regions(offsets: DataFrame, regions: DataFrame, at: str, order: str, length: str, region_id: str, width: int) -> DataFrame:
     """Adds to each offset into the regions laid end to end its region and the place in it: a join on the running total of
     lengths. Offsets beyond the total are left out."""
-    from spanloom.operators.intervals import points_in_intervals
-
     upto = Window.orderBy(order)  # regions are few: a row for each contig or listed region
     laid = regions.select(F.col(region_id), F.col(length).cast("long").alias("__n"), F.sum(F.col(length).cast("long")).over(upto).alias("__e"))
     laid = laid.select(region_id, (F.col("__e") - F.col("__n")).alias("__s"), "__e")
@@ -74,22 +73,37 @@ def limit_per_window(df: DataFrame, window: list[str], order: list, most: int) -
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
-def pairs_by_size(crossing: DataFrame, position: str, size: str, largest: int) -> DataFrame:
+def crossing_counts(points: DataFrame, pairs: DataFrame, keys: list[str], at: str, start: str, end: str, largest: int, width: int) -> DataFrame:
+    """For each distinct position and each distance up to `largest`: how many pairs with start <= at < end end that far beyond it
+    (keys, at, size, pairs).
+
+    Pairs with one end are counted by their starts, and a running count of these is one segment between two starts; so a
+    position meets at most `largest` segments, whatever the number of pairs around it."""
+    near = pairs.select(*keys, F.greatest(F.col(start), F.col(end) - largest).alias("__a"), F.col(end).alias("__b")).where("__b > __a")
+    counts = near.groupBy(*keys, "__b", "__a").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys, "__b").orderBy("__a")
+    runs = counts.withColumns({"pairs": F.sum("__c").over(w), "__z": F.coalesce(F.lead("__a").over(w), F.col("__b"))}).drop("__c")
+    found = points_in_intervals(points.select(*keys, at).distinct(), runs, keys, at, "__a", "__z", width)
+    return found.select(*keys, at, (F.col("__b") - F.col(at)).alias("size"), "pairs")
+
+
+def pairs_by_size(crossing: DataFrame, position: list[str], size: str, count: str, weights: DataFrame, largest: int) -> DataFrame:
     """For each size 0..largest the count, over positions with a pair, of pairs up to that size, at rank n div 200.
 
-    crossing: a row for each position and pair with the pair's distance. The counts are laid out over all sizes by spreading
-    each position's steps: only sizes at which it changes are rows, and the dense grid is positions times sizes, which the
-    sampled positions bound."""
-    kept = crossing.where(F.col(size).between(0, largest)).groupBy(position, F.col(size).cast("long").alias("size")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(position).orderBy("size")
+    crossing: a row for each position and distance with the number of pairs; weights: position and `weight`, how often it counts.
+    Only sizes at which a position's count changes are rows at first; the dense grid is positions times sizes, which the sampled
+    positions bound."""
+    kept = crossing.where(F.col(size).between(0, largest)).groupBy(*position, F.col(size).cast("long").alias("size")).agg(F.sum(count).alias("c"))
+    w = Window.partitionBy(*position).orderBy("size")
     steps = kept.withColumn("upto", F.sum("c").over(w)).withColumn("next", F.coalesce(F.lead("size").over(w), F.lit(largest + 1).cast("long")))
-    first = kept.groupBy(position).agg(F.min("size").alias("f")).where("f > 0").select(position, F.explode(F.sequence(F.lit(0).cast("long"), F.col("f") - 1)).alias("size"), F.lit(0).cast("long").alias("upto"))
-    grid = steps.select(position, F.explode(F.sequence(F.col("size"), F.col("next") - 1)).alias("size"), "upto").unionByName(first)
-    return order_statistics(grid, ["size"], "upto", {"min_pairs": F.expr("n div 200")}).select("size", "min_pairs")
+    first = kept.groupBy(*position).agg(F.min("size").alias("f")).where("f > 0").select(*position, F.explode(F.sequence(F.lit(0).cast("long"), F.col("f") - 1)).alias("size"), F.lit(0).cast("long").alias("upto"))
+    grid = steps.select(*position, F.explode(F.sequence(F.col("size"), F.col("next") - 1)).alias("size"), "upto").unionByName(first)
+    weighted = grid.join(weights, position)
+    return order_statistics(weighted, ["size"], "upto", {"min_pairs": F.expr("n div 200")}, weight="weight").select("size", "min_pairs")
 
 
 def default_lookup(stats: DataFrame, wanted: DataFrame, contig: str, default: str = ".") -> DataFrame:
-    """Adds `value` of the contig's own row, or of the default's where it has none. stats: contig (once each), value."""
+    """Adds `value` of the contig's own row, or of the default's where it has none; null without either. stats: contig (once each), value."""
     own = stats.select(F.col("contig").alias("__c"), F.col("value").alias("__own"))
-    rest = stats.where(F.col("contig") == default).select(F.col("value").alias("__rest"))
+    rest = stats.where(F.col("contig") == default).agg(F.max("value").alias("__rest"))  # one row, also without a default
     return wanted.join(own, F.col(contig) == F.col("__c"), "left").join(F.broadcast(rest)).withColumn("value", F.coalesce("__own", "__rest")).drop("__c", "__own", "__rest")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.coverage import median_covered, quality_percentile, spanning_pairs
-from spanloom.operators.intervals import points_in_intervals
 from spanloom.operators.running import depth_at, order_statistics
-from spanloom.operators.sampling import default_lookup, insert_size_model, limit_per_window, offsets_to_regions, pairs_by_size
+from spanloom.operators.sampling import crossing_counts, default_lookup, insert_size_model, limit_per_window, offsets_to_regions, pairs_by_size
 from spanloom.plans.registry import pairs, points, query, reads, table
 
 _DEPTHS = """{READS}, {POINTS},
@@ -90,9 +89,10 @@ select size, list_sort(list(c))[count(*) // 200 + 1] as min_pairs from upto grou
 )
 def min_pairs_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each size the number of crossing pairs up to it that all but half a percent of positions reach."""
-    near = pairs(spark, sf_dir).withColumn("a", F.greatest(F.col("lo") + 5, F.col("hi") - 65)).withColumn("b", F.col("hi") - 5)
-    crossing = points_in_intervals(points(spark, sf_dir), near.select("contig", "a", "b", "hi"), ["contig"], "p", "a", "b", 64).select("pid", (F.col("hi") - 5 - F.col("p")).alias("dist"))
-    return pairs_by_size(crossing, "pid", "dist", 60)
+    inner = pairs(spark, sf_dir).select("contig", (F.col("lo") + 5).alias("a"), (F.col("hi") - 5).alias("b"))
+    places = points(spark, sf_dir)
+    crossing = crossing_counts(places, inner, ["contig"], "p", "a", "b", 60, 64)
+    return pairs_by_size(crossing, ["contig", "p"], "size", "pairs", places.groupBy("contig", "p").agg(F.count("*").alias("weight")), 60)
 
 
 @query(

@@ -11,24 +11,39 @@ from spanloom.functions.vcf import info_map
 CHUNK = 65_536
 
 
+#: Long lines are cut into pieces of so many letters before they are dealt to chunks.
+_PIECE = 8192
+
+
 def read_fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """contig, chunk_id, chunk: sequences with their case, cut into chunks, so that no cell holds a whole chromosome.
 
-    Lines are numbered as they stand; each belongs to the last header before it. The headers are
-    few, a row for each contig, and lines meet them in a broadcast join on ranges of line numbers."""
-    from spanloom.operators.running import running_total
-
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"))
-    heads = lines.where(F.col("line").startswith(">")).select(F.col("at").alias("lo"), F.split_part(F.substring("line", 2, 1 << 20), F.lit(" "), F.lit(1)).alias("contig"))
-    heads = heads.withColumn("hi", F.coalesce(F.lead("lo").over(Window.orderBy("lo")), F.lit((1 << 62))))
-    body = lines.where(~F.col("line").startswith(">") & (F.col("line") != "")).withColumn("part", F.shiftright("at", 33)).withColumn("n", F.length("line").cast("long"))
-    spans = heads.select("contig", "lo", "hi")
-    placed = body.join(F.broadcast(spans), (F.col("at") > F.col("lo")) & (F.col("at") < F.col("hi")))  # a row for each contig
-    laid = running_total(placed, ["contig"], "at", "n", "end", 1 << 20).withColumn("start", F.col("end") - F.col("n"))
-    first, last = F.expr(f"start div {chunk}"), F.expr(f"(end - 1) div {chunk}")
-    parts = laid.select("contig", "start", "end", "line", F.explode(F.sequence(first, last)).alias("chunk_id"))
+    Lines are keyed by file, start of the split and order within it, as Spark does not read splits in file order. A line belongs
+    to the last header before it in its split, or, where there is none, to the last one of the splits before it in its file;
+    only one row for each split crosses splits. A name that stands in several places goes on where it left off."""
+    place = ["file", "block"]
+    name = F.split_part(F.substring("line", 2, 1 << 20), F.lit(" "), F.lit(1))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"))
+    lines = lines.where("line <> ''").withColumn("head", F.col("line").startswith(">"))
+    inside = Window.partitionBy(*place).orderBy("at")
+    runs = lines.withColumns({"run": F.sum(F.col("head").cast("long")).over(inside), "own": F.last(F.when(F.col("head"), name), ignorenulls=True).over(inside)})
+    runs = runs.where("not head").withColumn("n", F.length("line").cast("long"))
+    runs = runs.withColumn("upto", F.sum("n").over(Window.partitionBy(*place, "run").orderBy("at")))
+    # one row for each run of a split: its name and length; headers without sequence count as well
+    headed = lines.where("head").groupBy(*place).agg(F.count("*").alias("heads"), F.max_by(name, "at").alias("last"))
+    sizes = runs.groupBy(*place, "run").agg(F.max("upto").alias("size"), F.first("own").alias("own"))
+    along = Window.partitionBy("file").orderBy("block")
+    splits = sizes.select(*place).unionByName(headed.select(*place)).distinct().join(headed, place, "left")
+    splits = splits.withColumn("carried", F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))).select(*place, "carried")
+    named = sizes.join(splits, place).withColumn("contig", F.coalesce("own", "carried")).where("contig is not null")
+    before = Window.partitionBy("contig").orderBy("file", "block", "run").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).select(*place, "run", "contig", "base")
+    laid = runs.join(named, [*place, "run"]).select("contig", (F.col("base") + F.col("upto") - F.col("n")).alias("start"), "line")
+    pieces = laid.select("contig", "start", F.posexplode(F.regexp_extract_all("line", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))).alias("k", "s"))
+    pieces = pieces.select("contig", (F.col("start") + F.col("k") * _PIECE).alias("start"), "s").withColumn("end", F.col("start") + F.length("s"))
+    parts = pieces.select("contig", "start", "end", "s", F.explode(F.sequence(F.expr(f"start div {chunk}"), F.expr(f"(end - 1) div {chunk}"))).alias("chunk_id"))
     low, high = F.greatest(F.col("start"), F.col("chunk_id") * chunk), F.least(F.col("end"), (F.col("chunk_id") + 1) * chunk)
-    piece = F.col("line").substr((low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    piece = F.col("s").substr((low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
     grouped = parts.select("contig", "chunk_id", F.struct(low.alias("at"), piece.alias("s")).alias("p")).groupBy("contig", "chunk_id")
     return grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("chunk"))
 
