@@ -3,39 +3,92 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.grouped import fold_groups
+from spanloom.operators.grouped import fold_columns, fold_groups
+from spanloom.operators.running import next_place, running_total
 
 
-def islands(df: DataFrame, keys: list[str], at: str, gap: int, order: list[str] | None = None, name: str = "island") -> DataFrame:
-    """Numbers the runs of rows of a key in which neighbours in order of `at` are at most `gap` apart."""
-    w = Window.partitionBy(*keys).orderBy(at, *(order or []))
-    starts = F.when(F.col(at) - F.lag(at).over(w) <= gap, 0).otherwise(1)
-    return df.withColumn("__start", starts).withColumn(name, F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
+def islands(df: DataFrame, keys: list[str], at: str, gap: int, name: str = "island") -> DataFrame:
+    """Numbers the runs of rows of a key in which neighbours in order of `at` (longs) are at most `gap` apart.
+
+    Distinct places are looked at, in two levels: a place's neighbour within its bin or the bins' bounds, and a running count
+    of gaps; so a key with very many rows is spread over tasks."""
+    places = next_place(df.select(*keys, at).distinct(), keys, at, "__next")
+    after = places.where(F.col("__next") - F.col(at) > gap).select(*keys, F.col("__next").alias("__after"), F.lit(1).cast("long").alias("__gap"))
+    joined = places.select(*keys, at).join(after.withColumnsRenamed({k: f"__{k}" for k in keys}), _same(keys) & (F.col(at) == F.col("__after")), "left")
+    marked = joined.select(*keys, at, F.coalesce("__gap", F.lit(0).cast("long")).alias("__gap"))
+    numbers = running_total(marked, keys, at, "__gap", "__n").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(at).alias("__at"), (F.col("__n") + 1).alias(name))
+    return df.join(numbers, _same(keys) & (F.col(at) == F.col("__at"))).drop("__at", *[f"__{k}" for k in keys])
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return out
+
+
+#: Places for each bin of anchored clustering; a larger distance takes larger bins.
+_ANCHOR_BIN = 1 << 16
 
 
 def anchored_clusters(df: DataFrame, keys: list[str], at: str, tie: str, distance: int, name: str = "anchor") -> DataFrame:
     """Adds each row's anchor: the position of its cluster's first member. In order of (at, tie) a row further than
     `distance` from the anchor begins a new cluster, so unlike a session window a chain of near rows does not go on for ever.
 
-    A gap over `distance` always begins a cluster, so islands are folded independently; each fold is over distinct positions."""
-    places = islands(df.select(*keys, at).distinct(), keys, at, distance, name="__island")
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(at)),
-        F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<at:bigint,anchor:bigint>>").alias("out")),
-        lambda s, p: F.struct(
-            F.when(s["anchor"].isNull() | (p - s["anchor"] > distance), p).otherwise(s["anchor"]).alias("anchor"),
-            F.concat(s["out"], F.array(F.struct(p.alias("at"), F.when(s["anchor"].isNull() | (p - s["anchor"] > distance), p).otherwise(s["anchor"]).alias("anchor")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    found = places.withColumn(at, F.col(at).cast("long")).groupBy(*keys, "__island").agg(fold.alias("__out")).select(*keys, F.explode("__out").alias("__o"))
-    found = found.select(*keys, F.col("__o.at").alias(at), F.col("__o.anchor").alias(name))
-    return df.join(found, [*keys, at])
+    What a bin of positions does to the anchor that reaches it from the left is a small table: for each place that may be its
+    first anchor (those within `distance` of the bin's start and the next one) the last anchor that follows from it. Bins make
+    their tables on their own, one pass along the key's tables, a fraction of the data, hands the anchor from bin to bin, and
+    then bins place their rows on their own. So no task holds a key, however dense it is."""
+    width = max(_ANCHOR_BIN, 16 * distance)
+    place = F.col(at).cast("long")
+    places = df.select(*keys, place.alias("at"), F.floor((place - F.pmod(place, F.lit(width))) / width).cast("long").alias("bin")).where("at is not null").distinct()
+    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def table(part: pa.Table) -> dict:
+        p, edge = part.column("at").to_numpy(), part.column("bin")[0].as_py() * width + distance
+        follow = np.searchsorted(p, p + distance, "right")
+        last = np.arange(len(p))
+        for i in np.flatnonzero(follow < len(p))[::-1].tolist():
+            last[i] = last[follow[i]]
+        n = min(len(p), int(np.searchsorted(p, edge, "left")) + 1)
+        return {"first": p[:n], "last": p[last[:n]]}
+
+    def enter(part: pa.Table) -> dict:
+        """The anchor that reaches each bin, in order; a bin's table is passed over up to its first fitting row."""
+        bins, first, last = (part.column(c).to_numpy() for c in ("bin", "first", "last"))
+        starts = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+        out, anchor = [], None
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bins)], strict=True):
+            out.append(anchor)
+            i = a if anchor is None else a + int(np.searchsorted(first[a:b], anchor + distance, "right"))
+            anchor = int(last[i]) if i < b else anchor
+        return {"bin": bins[starts], "entry": out}
+
+    def settle(part: pa.Table) -> dict:
+        p, anchor = part.column("at").to_numpy(), part.column("entry")[0].as_py()
+        out, i = np.empty(len(p), dtype=np.int64), 0
+        while i < len(p):
+            j = 0 if anchor is None else int(np.searchsorted(p, anchor + distance, "right"))
+            out[i:j] = anchor or 0
+            if (i := max(i, j)) < len(p):
+                anchor = int(p[i])
+                out[i] = anchor
+                i += 1
+        return {"at": p, "anchor": out}
+
+    tables = fold_columns(places, [*keys, "bin"], ["at"], table, f"{schema}bin long, first long, last long")
+    entries = fold_columns(tables, keys, ["bin", "first"], enter, f"{schema}bin long, entry long").withColumnsRenamed({k: f"__{k}" for k in keys} | {"bin": "__bin"})
+    known = places.join(entries, _same(keys) & (F.col("bin") == F.col("__bin"))).select(*keys, "bin", "at", "entry")
+    found = fold_columns(known, [*keys, "bin"], ["at"], settle, f"{schema}at long, anchor long").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("at").alias("__at"), F.col("anchor").alias(name))
+    return df.join(found, _same(keys) & (place == F.col("__at"))).drop("__at", *[f"__{k}" for k in keys])
 
 
 def merge_equal_intervals(df: DataFrame, keys: list[str], start: str, end: str, sums: list[str]) -> DataFrame:
@@ -49,33 +102,32 @@ def agglomerate(spans: list[tuple[int, int]], most: int) -> list[int]:
     The two clusters whose union spans least are merged again and again, as long as it spans at most `most`; of equal spans
     the pair with the smaller indices goes first. Pairs that come up after a merge count with twice their span, so that
     initial pairs go before them."""
-    n = len(spans)
+    n, starts = len(spans), [a for a, _ in spans]
     box = [list(s) for s in spans]
     up = list(range(n))
-    heap: list[tuple[int, int, int]] = []
+    heap: list[tuple[int, int, int, int, int]] = []  # span, two clusters, and how often each had been merged
     reach = lambda a, b: max(box[a][1], box[b][1]) - min(box[a][0], box[b][0])
     for i in range(n):
         for j in range(i + 1, n):
             if box[j][0] - box[i][0] > most:
                 break
             if reach(i, j) <= most:
-                heap.append((reach(i, j), i, j))
+                heap.append((reach(i, j), i, j, 0, 0))
     heapq.heapify(heap)
     version = [0] * n
     alive = [True] * n
-    stamps = {(i, j): (0, 0) for _, i, j in heap}
     while heap:
-        _, i, j = heapq.heappop(heap)
-        if not (alive[i] and alive[j]) or stamps.get((i, j)) != (version[i], version[j]):
+        _, i, j, *then = heapq.heappop(heap)
+        if not (alive[i] and alive[j]) or then != [version[i], version[j]]:
             continue
         box[i] = [min(box[i][0], box[j][0]), max(box[i][1], box[j][1])]
         alive[j], up[j] = False, i
         version[i] += 1
-        for k in range(n):
+        # a cluster begins where its first member does, so those within reach are neighbours in order
+        for k in range(bisect_left(starts, starts[i] - most), bisect_right(starts, starts[i] + most)):
             if k != i and alive[k] and reach(i, k) <= most:
                 a, b = min(i, k), max(i, k)
-                stamps[a, b] = (version[a], version[b])
-                heapq.heappush(heap, (2 * reach(i, k), a, b))
+                heapq.heappush(heap, (2 * reach(i, k), a, b, version[a], version[b]))
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -90,7 +142,7 @@ def agglomerative_clusters(df: DataFrame, keys: list[str], start: str, end: str,
 
     Equal intervals are merged first. As a cluster's span is at least the difference of its starts, nothing merges across a
     gap between starts of more than `most`: each island is one group of a grouped map."""
-    distinct = islands(merge_equal_intervals(df, keys, start, end, []), keys, start, most, [end]).select(*keys, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end), "island")
+    distinct = islands(merge_equal_intervals(df, keys, start, end, []), keys, start, most).select(*keys, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end), "island")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
 
     def fold(rows: list[dict]) -> list[tuple]:
@@ -120,7 +172,7 @@ def greedy_matching(candidates: DataFrame, keys: list[str], a: str, b: str, weig
 
     `at` is a place of the candidate's a such that candidates that share a side lie within `reach`; candidates beyond a gap
     cannot compete, so each island of places is matched on its own."""
-    cut = islands(candidates, keys, at, reach, [a, b])
+    cut = islands(candidates, keys, at, reach)
     rows = cut.select(*keys, "island", a, b, weight)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*keys).schema)
 

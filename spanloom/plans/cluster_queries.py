@@ -98,7 +98,7 @@ def top1_range_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_matching")
 def greedy_matching_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Right and left clusters matched one to one, heaviest pairs first. Sequential, so tests hold it against brute force."""
+    """Right and left clusters matched one to one, heaviest pairs first. Sequential, so tests hold it against the rule worked out on all candidates."""
     return greedy_matching(_near(spark, sf_dir), ["contig"], "r", "l", "w", "rpos", 600).select("contig", "r", "l")
 
 
@@ -109,7 +109,7 @@ def equal_interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agglomerative_clusters")
 def agglomerative_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each order merged into clusters that span 60 days at most. Sequential, so tests hold it against brute force."""
+    """Lines of each order merged into clusters that span 60 days at most. Sequential, so tests hold it against the rule worked out on all pairs."""
     found = agglomerative_clusters(reads(spark, sf_dir), ["okey", "contig"], "s", "e", 60)
     return found.groupBy("okey", "contig", "cluster_start", "cluster_end").agg(F.count("*").alias("n"))
 

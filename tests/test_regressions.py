@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from spanloom.operators import clustering
 from spanloom.operators.calls import sequential_ids
 from spanloom.operators.sampling import default_lookup
 from spanloom.sources.text import read_fasta
@@ -46,3 +47,89 @@ def test_default_lookup_without_a_default(spark):
     assert {tuple(r) for r in default_lookup(stats, wanted, "contig").collect()} == {("a", 5), ("b", None)}
     with_default = stats.unionByName(spark.createDataFrame([(".", 7)], stats.schema))
     assert {tuple(r) for r in default_lookup(with_default, wanted, "contig").collect()} == {("a", 5), ("b", 7)}
+
+
+def test_anchored_clusters_of_a_dense_contig(spark):
+    """A million places without a gap, over several bins."""
+    rows = spark.range(0, 1_000_000, 1, 4).select(F.lit("c").alias("k"), (F.col("id") - 300_000).alias("p"), "id")
+    found = clustering.anchored_clusters(rows, ["k"], "p", "id", 240)
+    wrong = found.where(F.col("anchor") != F.col("p") - F.pmod(F.col("p") + 300_000, F.lit(241))).count()
+    assert (found.count(), wrong) == (1_000_000, 0)
+
+
+def test_anchored_clusters_over_small_bins(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "_ANCHOR_BIN", 1)
+    draw = random.Random(11)
+    data = [(draw.choice(["a", "b", None]), draw.choice([draw.randint(-900, 2000), draw.randint(0, 40_000)]), i) for i in range(1500)]
+    for distance in (0, 3, 40):
+        found = {r["i"]: r["anchor"] for r in clustering.anchored_clusters(spark.createDataFrame(data, "k string, p long, i long"), ["k"], "p", "i", distance).collect()}
+        want, anchor = {}, {}
+        for k, p, i in sorted(data, key=lambda r: (str(r[0]), r[1])):
+            if k not in anchor or p - anchor[k] > distance:
+                anchor[k] = p
+            want[i] = anchor[k]
+        assert found == want
+
+
+def test_islands_are_numbered_along_a_key(spark):
+    draw = random.Random(12)
+    data = [(draw.choice("ab"), draw.randint(0, 60_000)) for _ in range(900)]
+    found = {(r["k"], r["p"]): r["island"] for r in clustering.islands(spark.createDataFrame(data, "k string, p long"), ["k"], "p", 70).collect()}
+    want = {}
+    for k in "ab":
+        places, n = sorted({p for x, p in data if x == k}), 0
+        for i, p in enumerate(places):
+            n += i == 0 or p - places[i - 1] > 70
+            want[k, p] = n
+    assert found == want
+
+
+def _merge_nearest(spans, most):
+    """Clusters by the rule as it is stated: among all pairs the one that spans least is merged, as long as it spans at most `most`.
+    Pairs of first intervals count with their span, pairs that a merge made with twice theirs; of equals those of the earlier."""
+    clusters = {i: (s, e, 0) for i, (s, e) in enumerate(spans)}
+    members, fresh = {i: [i] for i in clusters}, set()
+    while True:
+        pairs = []
+        for i in clusters:
+            for j in clusters:
+                if i < j:
+                    span = max(clusters[i][1], clusters[j][1]) - min(clusters[i][0], clusters[j][0])
+                    if span <= most:
+                        pairs.append(((2 if i in fresh or j in fresh else 1) * span, i, j))
+        if not pairs:
+            return sorted(sorted(spans[x] for x in m) for m in members.values())
+        _, i, j = min(pairs)
+        clusters[i] = (min(clusters[i][0], clusters[j][0]), max(clusters[i][1], clusters[j][1]), 0)
+        members[i] += members.pop(j)
+        del clusters[j]
+        fresh.add(i)
+
+
+def test_agglomerative_clusters_equal_the_stated_rule(spark):
+    for seed in range(25):
+        draw = random.Random(seed)
+        spans = sorted({(s := draw.randint(0, 400), s + draw.randint(1, 20)) for _ in range(40)})
+        found = clustering.agglomerative_clusters(spark.createDataFrame([("x", *d) for d in spans], "k string, s long, e long"), ["k"], "s", "e", 45) if seed < 2 else None
+        groups = {}
+        for i, root in enumerate(clustering.agglomerate(spans, 45)):
+            groups.setdefault(root, []).append(spans[i])
+        assert sorted(sorted(g) for g in groups.values()) == _merge_nearest(spans, 45)
+        if found is not None:
+            got = {}
+            for r in found.collect():
+                got.setdefault((r["island"], r["cluster"]), []).append((r["s"], r["e"]))
+            assert sorted(sorted(g) for g in got.values()) == _merge_nearest(spans, 45)
+
+
+def test_greedy_matching_equals_the_stated_rule(spark):
+    """The heaviest candidate whose sides are both free is taken, again and again."""
+    draw = random.Random(13)
+    rows = [("k", a, b, draw.randint(1, 9), 50 * (a // 4)) for a in range(40) for b in {100 + a // 4 * 10 + draw.randint(0, 6) for _ in range(3)}]
+    left, want = [(w, a, b) for _, a, b, w, _ in rows], []
+    while left:
+        w, a, b = max(left, key=lambda r: (r[0], -r[1], -r[2]))
+        want.append((a, b))
+        left = [r for r in left if r[1] != a and r[2] != b]
+    found = clustering.greedy_matching(spark.createDataFrame(rows, "k string, a long, b long, w long, at long"), ["k"], "a", "b", "w", "at", 10)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(want)
