@@ -1,76 +1,21 @@
-"""Shared folders, fixed-size membership filters and batch slicing for the corpus operators."""
+"""Membership filters and batch slicing for the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step handles; longer single texts form a step of their own.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from spanloom.shared import Scratch, shared_dir
 
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors.
+__all__ = ["KeyFilter", "Scratch", "shared_dir", "slices", "text_key"]
 
-    A table lives until drop() or, as results are lazy and may read it late, the end of the process. thorough: waits for
-    Spark to drop old shuffle files before the next table is written, for operators that need the disk.
-    """
-
-    def __init__(self, spark: SparkSession, name: str, thorough: bool = False):
-        self.spark, self.rounds = spark, 2 if thorough else 1
-        self.root = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._close)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        self._release()
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def _release(self) -> None:
-        """Lets Spark's cleaner drop shuffle files that no plan refers to any more; it acts on the driver's collection of garbage."""
-        for _ in range(self.rounds):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2 * (self.rounds - 1))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(self.path(name))
-        self._release()
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-    def _close(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.root)
-        elif self.root.startswith("file:"):  # the session has ended before
-            shutil.rmtree(self.root.removeprefix("file:").replace("///", "/"), ignore_errors=True)
+#: Bytes of text that one vectorised step handles; longer single texts form a step of their own.
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -11,22 +11,23 @@ a text is a few vectorised lookups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices
+from spanloom.llm.common import Scratch, slices
 
 ORDER = 4
 #: Labelled texts that are fitted for each language, on average (they are chosen by a hash of their ids): the bound on the fit.
 SAMPLE_PER_LANGUAGE = 600
-#: Values of the label that are learned at most, the most frequent ones; with SAMPLE_PER_LANGUAGE it bounds the model.
-MOST_LANGUAGES = 200
+#: Languages of one model. Further ones are learned in further models, and a text goes to the best language of all of them.
+PANEL = 200
 #: A context of order 2 or more needs so many occurrences in its language to stay in the tree.
 LEAST_COUNT = 2
 #: Score: the posterior with evidence limited to so many bytes, so that it does not saturate on long texts.
@@ -34,6 +35,8 @@ EVIDENCE_BYTES = 48
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
 _LENGTH_SHIFT = np.uint64(48)
+#: Code lengths that are held at a time: positions of texts times languages.
+_HELD = 1 << 24
 
 
 def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +131,7 @@ class Model:
         return model
 
     _tables: list[tuple[_Lookup, _Lookup]] | None = None
+    more: list[Model] = field(default_factory=list)
 
     def tables(self) -> list[tuple[_Lookup, _Lookup]]:
         if self._tables is None or len(self._tables) != len(self.grams):
@@ -155,26 +159,39 @@ class Model:
         return out
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Code length of each text in each language; and the texts' bytes. Texts must not be empty."""
+        """Code length of each text in each language; and the texts' bytes. Texts must not be empty. Bytes are coded a stretch
+        at a time, with their contexts, so that a long text takes no more memory than a short one but for itself."""
         data, starts, ends = _buffer(texts)
-        cost = self._resolve(ORDER, _grams(data, ORDER + 1))
-        bounds = np.stack([starts, ends], axis=1).ravel()
-        bounds[-1] = len(data) - 1  # reduceat needs indices inside; the last byte is added below
-        sums = np.add.reduceat(cost, bounds, axis=0, dtype=np.float64)[::2]
-        sums[-1] = cost[starts[-1] :].sum(axis=0, dtype=np.float64)
+        sums, step = np.zeros((len(texts), len(self.languages))), max(4096, _HELD // len(self.languages))
+        for a in range(0, len(data), step):
+            b, lo = min(a + step, len(data)), max(0, a - ORDER)
+            i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+            if i == j:
+                continue
+            cost = self._resolve(ORDER, _grams(data[lo:b], ORDER + 1)[a - lo :])
+            bounds = np.stack([np.maximum(starts[i:j], a), np.minimum(ends[i:j], b)], axis=1).ravel() - a
+            sums[i:j] += np.add.reduceat(cost, bounds[:-1] if bounds[-1] == b - a else bounds, axis=0, dtype=np.float64)[::2]
         return sums, ends - starts
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray]:
+        """For each text the least code length, its language, the posterior mass of all languages relative to it, and the share of
+        the evidence that counts. Without letters or languages: infinity, None, 0, 1."""
+        least, mass, share = np.full(len(texts), np.inf), np.zeros(len(texts)), np.ones(len(texts))
+        labels: list[str | None] = [None] * len(texts)
         rows = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
         if rows and self.languages:
             sums, lengths = self.bits([texts[i] for i in rows])
-            best = sums.argmin(axis=1)
-            gaps = (sums - sums.min(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE_BYTES / lengths)[:, None]
-            scores[rows] = 1.0 / np.exp2(-np.minimum(gaps, 1000.0)).sum(axis=1)
-            for i, b in zip(rows, best.tolist(), strict=True):
+            least[rows], share[rows] = sums.min(axis=1), np.minimum(1.0, EVIDENCE_BYTES / lengths)
+            mass[rows] = np.exp2(-np.minimum((sums - least[rows][:, None]) * share[rows][:, None], 1000.0)).sum(axis=1)
+            for i, b in zip(rows, sums.argmin(axis=1).tolist(), strict=True):
                 labels[i] = self.languages[b]
-        return labels, scores
+        return least, labels, mass, share
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """By this model's languages alone."""
+        _, labels, mass, _ = self.evidence(texts)
+        with np.errstate(divide="ignore"):
+            return [UNKNOWN if x is None else x for x in labels], np.where(mass > 0, 1.0 / mass, 0.0)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -182,14 +199,23 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, panel: int = PANEL) -> Model:
     """Fits on about `sample` whole texts of each language, chosen by a hash of their ids among the rows that are not held out.
 
-    The most frequent `most_languages` values count as languages; without labelled texts there are none."""
+    Every value of the label counts as a language; without labelled texts there are none. The driver holds the names of all
+    languages, and counts `panel` of them at a time, in order of their names; a model beyond the first follows in `more`."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()}
-    if not sizes:
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    names = sorted(sizes)
+    models = [_fit(rows, {l: sizes[l] for l in names[k : k + panel]}, sample) for k in range(0, len(names), panel)]
+    if not models:
         return Model([], [], [])
+    models[0].more = models[1:]
+    return models[0]
+
+
+def _fit(rows: DataFrame, sizes: dict[str, int], sample: int) -> Model:
+    """rows: i, t, l. The model of the languages of `sizes`, which has their numbers of texts."""
     unit = 1 << 30
     share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(unit, -(-unit * sample // n)))])
     chosen = rows.where(F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(unit)) < share[F.col("l")]).select("t", "l")
@@ -223,14 +249,31 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = f"_text string, _row {rows.schema['_row'].dataType.simpleString()}, _least double, _label string, _mass double"
+    panels = [model, *model.more]
+    for k, part in enumerate(panels):
+        if k:  # one panel's model at a time in a task
+            rows = Scratch(docs.sparkSession, "language").table(rows, f"panel{k}")
+        rows = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(replace(part, more=[])), k == len(panels) - 1), schema)
+    score = F.when(F.col("_mass") > 0, 1 / F.col("_mass")).otherwise(0.0)
+    return rows.select("_row.*", F.coalesce("_label", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
+
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+def _score(shared: Broadcast, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds _least, _label and _mass, or improves on those of the panels before. After the last panel the text is not needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted: Model = shared.value
         for whole in batches:
             for batch in slices(whole, 0, 1 << 20):
-                labels, scores = fitted.predict(batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(labels, pa.string()), pa.array(scores)], names=["_row", "lang_pred", "score"])
-
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(score, schema).select("_row.*", "lang_pred", "score")
+                least, labels, mass, share = fitted.evidence(batch.column(0).to_pylist())
+                if batch.num_columns > 2:
+                    old, names, weight = np.asarray(batch.column(2)), batch.column(3).to_pylist(), np.asarray(batch.column(4))
+                    best = np.minimum(old, least)
+                    part = lambda bits, m: np.where(np.isfinite(bits), m * np.exp2(-np.minimum((bits - np.where(np.isfinite(best), best, 0)) * share, 1000.0)), 0.0)  # noqa: B023, E731
+                    labels = [a if x <= y else b for a, b, x, y in zip(names, labels, old.tolist(), least.tolist(), strict=True)]
+                    least, mass = best, part(old, weight) + part(least, mass)
+                texts = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(0)
+                yield pa.RecordBatch.from_arrays([texts, batch.column(1), pa.array(least), pa.array(labels, pa.string()), pa.array(mass)], names=["_text", "_row", "_least", "_label", "_mass"])
+
+    return run
