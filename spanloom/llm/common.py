@@ -16,6 +16,8 @@ __all__ = ["KeyFilter", "Scratch", "shared_dir", "slices", "text_key"]
 
 #: Bytes of text that one vectorised step handles; longer single texts form a step of their own.
 SLICE_BYTES = 4 << 20
+#: The largest filter has 2**24 words, 128 MB; a word takes so many keys before the next size.
+_MOST_BITS, _KEYS_PER_WORD = 24, 8
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -35,12 +37,14 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.col(text), F.lit("row"))
 
 
-# --- membership filters of fixed size -------------------------------------------------------------------------------
+# --- membership filters of bounded size -----------------------------------------------------------------------------
+
 
 class KeyFilter:
-    """A blocked Bloom filter over well-mixed long keys, of 2**`bits` 64-bit words whatever the number of keys.
+    """A blocked Bloom filter over well-mixed long keys, of 2**`bits` 64-bit words.
 
-    It lets every member through and a few others, so an exact join must follow; too many keys only weaken it.
+    It lets every member through and a few others, so an exact join must follow. Its size follows the number of keys, between
+    `bits` and _MOST_BITS; beyond that more keys only weaken it.
     """
 
     def __init__(self, words: np.ndarray):
@@ -48,7 +52,8 @@ class KeyFilter:
 
     @staticmethod
     def build(keys: DataFrame, column: str, bits: int = 20) -> KeyFilter:
-        """Collects one row per word of the filter at most."""
+        """Counts the keys, then collects one row per word of the filter at most."""
+        bits = min(_MOST_BITS, max(bits, (keys.count() // _KEYS_PER_WORD).bit_length()))
         c = F.col(column)
         mask = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int)) | shiftleft(1L, cast(shiftright(`{column}`, 6) & 63 as int))")
         found = keys.where(c.isNotNull()).groupBy(F.shiftrightunsigned(c, 64 - bits).alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()

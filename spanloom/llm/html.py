@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,6 +47,9 @@ _ENDS = {
     "tbody": ("tbody thead tfoot tr td th", frozenset(["table"])), "tfoot": ("tbody thead tr td th", frozenset(["table"])), "thead": ("tbody", frozenset(["table"])),
     "option": ("option", frozenset("select datalist".split())), "optgroup": ("option optgroup", frozenset(["select"])),
 }
+_MARKS = frozenset(t for ended, bound in _ENDS.values() for t in (*ended.split(), *bound))
+_ENDS = {t: (frozenset(ended.split()), bound) for t, (ended, bound) in _ENDS.items()}
+_CELLS, _TABLE_PARTS = frozenset("td th table caption".split()), frozenset("table tr tbody thead tfoot body html".split())
 _P_SCOPE = frozenset("applet button caption html marquee object table td th template".split())
 #: Elements and roles that are never main text.
 _DROPPED = frozenset("head nav aside footer script style noscript template iframe object embed svg math canvas audio video button select option datalist textarea input label dialog menu map noembed noframes applet".split())
@@ -106,65 +110,104 @@ def _names(attributes: str) -> tuple[set[str], str, bool, bool]:
     return parts, role, hidden, body
 
 
+class _Open:
+    """The open elements: the innermost one, and how many there are of each tag, over all and within the current table cell.
+
+    An element is entered and left once, and the counts say whether a search upward will find anything, so a page takes time
+    in proportion to its length, however deep it is."""
+
+    def __init__(self, root: _Node):
+        self.here = root
+        self.count: Counter = Counter()
+        self.cells: list[Counter] = [Counter()]
+        self.paragraphs: list[_Node | None] = [None]  # for each open element the paragraph that a block would end
+        self.marks: list[_Node] = []  # open elements that the rules of _ENDS look at
+
+    def enter(self, node: _Node) -> None:
+        self.here, tag = node, node.tag
+        self.count[tag] += 1
+        if tag in _CELLS:
+            self.cells.append(Counter())
+        self.cells[-1][tag] += 1
+        self.paragraphs.append(node if tag == "p" else None if tag in _P_SCOPE else self.paragraphs[-1])
+        if tag in _MARKS:
+            self.marks.append(node)
+
+    def leave(self, node: _Node) -> None:
+        """Leaves the open elements up to and with this one."""
+        while True:
+            here = self.here
+            self.count[here.tag] -= 1
+            self.cells[-1][here.tag] -= 1
+            if here.tag in _CELLS:
+                self.cells.pop()
+            self.paragraphs.pop()
+            if here.tag in _MARKS:
+                self.marks.pop()
+            self.here = here.parent
+            if here is node:
+                return
+
+    def innermost(self, tag: str) -> _Node:
+        node = self.here
+        while node.tag != tag:
+            node = node.parent
+        return node
+
+    def end(self, tag: str) -> None:
+        """An end tag; it does not reach out of a table cell but for the table's own parts."""
+        if (self.count if tag in _TABLE_PARTS else self.cells[-1])[tag]:
+            self.leave(self.innermost(tag))
+
+    def start(self, tag: str) -> None:
+        """What the start of an element ends."""
+        if (tag in _ENDS_P or tag in _ENDS) and self.paragraphs[-1] is not None:
+            self.leave(self.paragraphs[-1])
+        if tag in _ENDS:
+            ended, bound = _ENDS[tag]
+            last = None
+            for node in reversed(self.marks):
+                if node.tag in bound:
+                    break
+                if node.tag in ended:
+                    last = node
+            if last is not None:
+                self.leave(last)
+        if tag == "body" and self.count["head"]:  # whatever is open in the head ends
+            self.leave(self.innermost("head"))
+
+
 def parse(html: str) -> _Node:
     """The DOM under a root node. Text nodes are decoded strings; comments, declarations and raw-text elements are left out."""
-    root = here = _Node("#root", None)
+    root = _Node("#root", None)
+    opened = _Open(root)
     at, size = 0, len(html)
     find = _TOKEN.search
     while at < size:
         m = find(html, at)
         if m is None:
-            here.children.append(unescape(html[at:]))
+            opened.here.children.append(unescape(html[at:]))
             break
         if m.start() > at:
-            here.children.append(unescape(html[at : m.start()]))
+            opened.here.children.append(unescape(html[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                if node.tag in ("td", "th", "table", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    node = None  # an end tag does not reach out of a table cell
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            opened.end(tag)
             continue
-        if tag in _ENDS_P or tag in _ENDS:
-            node = here
-            while node.parent is not None and node.tag not in _P_SCOPE:
-                if node.tag == "p":
-                    here = node.parent
-                    break
-                node = node.parent
-        if tag in _ENDS:
-            ended, bound = _ENDS[tag]
-            node, last = here, None
-            while node.parent is not None and node.tag not in bound:
-                if node.tag in ended.split():
-                    last = node
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        if tag in ("body", "html") and any(True for _ in _up(here, tag)):
+        if tag in ("body", "html") and opened.count[tag]:
             continue
-        if tag == "body":  # whatever is open in the head ends
-            node = here
-            while node.parent is not None:
-                if node.tag == "head":
-                    here = node.parent
-                    break
-                node = node.parent
-        child = _Node(tag, here)
-        here.children.append(child)
-        _judge(child, m[3])
+        opened.start(tag)
+        child = _Node(tag, opened.here)
+        opened.here.children.append(child)
+        _judge(child, m[3], any(opened.count[t] for t in _MAIN))
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(html, at)
             at = end.end()
         elif tag not in _VOID and not (tag in _FOREIGN and m[3].rstrip().endswith("/")):  # a slash does not close an HTML element
-            here = child
+            opened.enter(child)
     return root
 
 
@@ -175,7 +218,7 @@ def _up(node: _Node | None, tag: str) -> Iterator[_Node]:
         node = node.parent
 
 
-def _judge(node: _Node, attributes: str) -> None:
+def _judge(node: _Node, attributes: str, in_main: bool) -> None:
     """Marks the node as dropped for its tag or role, or as doubtful for its names or as a form; _settle decides on those."""
     names, role, hidden, body = _names(attributes) if attributes.strip() else (set(), "", False, False)
     main = node.tag in _MAIN or role in ("main", "article") or body
@@ -186,7 +229,7 @@ def _judge(node: _Node, attributes: str) -> None:
     if not node.dropped and node.tag not in ("html", "body") and not node.holds_main:
         node.doubt = node.tag == "form" or role == "form" or bool(names & _DROPPED_NAMES)
     if node.tag == "header" and not node.dropped:
-        node.doubt = node.doubt or not any(True for t in _MAIN for _ in _up(node.parent, t))
+        node.doubt = node.doubt or not in_main
 
 
 def _settle(root: _Node) -> list[_Node]:
@@ -257,15 +300,16 @@ def _measure(order: list[_Node], body: _Node) -> None:
 def _select(body: _Node) -> list[_Node]:
     """The nodes of the main text, in document order, none inside another."""
 
-    def inside(node: _Node) -> Iterator[_Node]:
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if not x.dropped or x is node:
-                yield x
-                stack.extend(c for c in reversed(x.children) if isinstance(c, _Node))
-
-    best = max(inside(body), key=lambda x: x.total)
+    order, stack = [], [body]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(c for c in reversed(x.children) if isinstance(c, _Node) and not c.dropped)
+    top_of: dict[int, _Node] = {}  # for each node the one with the largest sum in its subtree, the first of equals
+    for x in reversed(order):
+        below = [top_of[id(c)] for c in x.children if isinstance(c, _Node) and not c.dropped]
+        top_of[id(x)] = max([x, *below], key=lambda y: y.total)
+    best = top_of[id(body)]
     node = best
     while node is not None and node is not body:
         if node.tag in _MAIN:
@@ -280,14 +324,9 @@ def _select(body: _Node) -> list[_Node]:
         node = node.parent
         threshold = min(threshold, node.density)
     chosen: set[int] = {id(best)}
-    stack = [body]
-    while stack:
-        x = stack.pop()
-        if x.dropped and x is not body:
-            continue
+    for x in order:
         if x is not body and x.density >= threshold and x.chars:
-            chosen.add(id(max(inside(x), key=lambda y: y.total)))
-        stack.extend(c for c in x.children if isinstance(c, _Node))
+            chosen.add(id(top_of[id(x)]))
     found, stack = [], [body]
     while stack:
         x = stack.pop()

@@ -12,6 +12,7 @@ Queries are taken in panels of bounded size, which go to every task.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from spanloom.llm.common import Scratch
 
 K, SCALE = 10, 1024
 BINS = 1024
-#: Queries for each panel, on average (they are dealt out by a hash of their ids).
+#: Queries for each panel, on average (they are dealt out by a hash of ids and vectors).
 PANEL = 2048
 #: A query's bin is not refined further once no more rows than so many times k reach it.
 FEW = 16
@@ -33,10 +34,10 @@ _EXACT = 1 << 53
 
 
 def quantise(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """rows: id, v (array of float or double), q. Keeps id, d (length), v (floor(scale * x) as packed 64-bit numbers) and q.
+    """rows: id, v (array of float or double), q. Keeps id, d (length), v (floor(scale * x), whole numbers packed as doubles) and q.
 
-    Rows whose id or vector is null, whose vector is empty or holds a null or non-finite component or one that after scaling
-    does not fit 64 bits, take no part.
+    Rows whose id or vector is null, or whose vector holds a null or non-finite component (or one that scaling makes so), take
+    no part. An empty vector does, with other empty ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,13 +48,13 @@ def quantise(rows: DataFrame, scale: int = SCALE) -> DataFrame:
             flat = vectors.flatten()
             nulls = np.asarray(pc.is_null(flat))
             data = np.floor(np.asarray(pc.fill_null(flat, float("nan")).cast(pa.float64())) * float(scale))
-            bad = np.concatenate([[0], np.cumsum(nulls | ~np.isfinite(data) | (np.abs(data) >= 2.0**63))])
+            bad = np.concatenate([[0], np.cumsum(nulls | ~np.isfinite(data))])
             ends = np.cumsum(lengths)
-            id_null = np.asarray(pc.is_null(ids))
+            none = np.asarray(pc.or_(pc.is_null(ids), pc.is_null(vectors)))
             for i, (end, n) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True)):
-                if n and not id_null[i] and bad[end] == bad[end - n]:
+                if not none[i] and bad[end] == bad[end - n]:
                     keep.append(i)
-                    packed.append(data[end - n : end].astype("<i8").tobytes())
+                    packed.append(data[end - n : end].astype("<f8").tobytes())
                     sizes.append(n)
             rows_ = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([ids.take(rows_), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), wanted.take(rows_)], names=["id", "d", "v", "q"])
@@ -75,9 +76,10 @@ class _Panel:
         self.open = np.ones(len(queries), dtype=bool)
         for d in sorted({q[1] for q in queries}):
             at = np.array([i for i, q in enumerate(queries) if q[1] == d])
-            self.groups[d] = (at, np.stack([np.frombuffer(queries[i][2], dtype="<i8") for i in at]))
+            self.groups[d] = (at, np.stack([np.frombuffer(queries[i][2], dtype="<f8") for i in at]))
             for i, row in zip(at, self.groups[d][1], strict=True):
-                reach = min(int(np.sqrt((row.astype(float) ** 2).sum()) * norms.get(d, 0.0) * 1.0001) + 1, (1 << 63) - 1)
+                reach = int(min(_norm(row) * norms.get(d, 0.0) * 1.0001, 2.0**62)) + 1 if d else 1
+                reach = (1 << 63) - 1 if reach > 1 << 62 else reach
                 self.low[i] = -reach
                 self.width[i] = max(1, -(-2 * reach // bins) + 1)
 
@@ -105,10 +107,22 @@ def _scores(batch: pa.RecordBatch, panel: _Panel) -> Iterator[tuple[np.ndarray,
         mine = np.flatnonzero(sizes == d)
         for start in range(0, len(mine), _ROWS):
             part = mine[start : start + _ROWS]
-            x = np.frombuffer(b"".join([packed[i] for i in part]), dtype="<i8").reshape(-1, d)
-            small = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(matrix.astype(float)).max(initial=0)) * d < _EXACT
-            scores = (x.astype(np.float64) @ matrix.T.astype(np.float64)).astype(np.int64) if small else x @ matrix.T
-            yield at, ids[part], scores
+            x = np.frombuffer(b"".join([packed[i] for i in part]), dtype="<f8").reshape(len(part), d)
+            yield at, ids[part], _products(x, matrix)
+
+
+def _products(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers; those beyond 64 bits count as the nearest 64-bit number."""
+    if float(np.abs(x).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * x.shape[1] < _EXACT:
+        return (x @ matrix.T).astype(np.int64)
+    exact = [[sum(map(operator.mul, a, b)) for b in matrix_rows] for matrix_rows in [[list(map(int, r)) for r in matrix.tolist()]] for a in [list(map(int, r)) for r in x.tolist()]]
+    return np.array([[max(-(1 << 63), min((1 << 63) - 1, v)) for v in row] for row in exact], dtype=np.int64).reshape(len(x), len(matrix))
+
+
+def _norm(x: np.ndarray) -> float:
+    """The Euclidean norm, infinite where squares overflow."""
+    with np.errstate(over="ignore"):
+        return float(np.sqrt((x * x).sum()))
 
 
 def _histogram(codes: DataFrame, panel: _Panel) -> list[tuple[int, int, int, int]]:
@@ -194,7 +208,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     norms = _norms(codes)
     results = []
     for number in range(panels):
-        mine = [(r["id"], r["d"], bytes(r["v"])) for r in queries.where(F.pmod(F.xxhash64("id"), F.lit(panels)) == number).collect()]
+        mine = [(r["id"], r["d"], bytes(r["v"])) for r in queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(panels)) == number).collect()]
         if not mine:
             continue
         panel = _Panel(sorted(mine), k, bins, norms)
@@ -216,8 +230,7 @@ def _norms(codes: DataFrame) -> dict[int, float]:
         most: dict[int, float] = {}
         for batch in batches:
             for d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(v, dtype="<i8").astype(float)
-                most[d] = max(most.get(d, 0.0), float(np.sqrt((x * x).sum())))
+                most[d] = max(most.get(d, 0.0), _norm(np.frombuffer(v, dtype="<f8")))
         yield pa.RecordBatch.from_arrays([pa.array(most.keys(), pa.int32()), pa.array(most.values(), pa.float64())], names=["d", "m"])
 
     return {r["d"]: r["m"] for r in codes.select("d", "v").mapInArrow(run, "d int, m double").groupBy("d").agg(F.max("m").alias("m")).collect()}

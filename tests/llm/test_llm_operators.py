@@ -327,6 +327,40 @@ def test_html_keeps_an_article_whatever_its_names(page):
     assert html.extract(page).split("\n") == [f"{'word ' * 40}{i}" for i in range(5)]
 
 
+def test_html_of_any_depth_takes_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 100_000 + "text", "<span>" * 20_000 + "<p>" * 20_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<b><table><td>" + "<div>" * 20_000 + "</b>" * 20_000, "<div>" * 50_000 + "<p>words</p>" * 20_000):
+        start = time.process_time()
+        html.extract(page)
+        assert time.process_time() - start < 10, page[:20]
+
+
+def test_html_sums_densities():
+    """The chosen part is the one whose children's densities, worked out as defined, sum to the most."""
+    import math
+
+    def density(c, t, lc, lt, share):
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        return c / max(1, t) * math.log(max(c / max(1, lc) * (max(1, t) / max(1, lt)), 1.0)) / math.log(max(base, 1.5)) if c else 0.0
+
+    draw = random.Random(2)
+    for _ in range(40):
+        parts = [[(" ".join(draw.choice(WORDS) for _ in range(draw.randint(1, 40))), draw.random() < 0.3) for _ in range(draw.randint(1, 5))] for _ in range(4)]
+        page = "<body>" + "".join("<div>" + "".join(f"<p><a>{t}</a></p>" if link else f"<p>{t}</p>" for t, link in part) + "</div>" for part in parts) + "</body>"
+        total = sum(len(t) for part in parts for t, _ in part)
+        share = sum(len(t) for part in parts for t, link in part if link) / total
+        p = lambda t, link: density(len(t), 1 if link else 0, len(t) if link else 0, 1 if link else 0, share)  # noqa: B023, E731
+        sums = [sum(p(*x) for x in part) for part in parts]
+        own = [density(sum(len(t) for t, _ in part), sum(1 + link for _, link in part), sum(len(t) for t, link in part if link), sum(link for _, link in part), share) for part in parts]
+        body = html.parse(page).children[0]
+        order = html._settle(body)
+        html._measure(order, body)
+        assert [round(d.total, 6) for d in body.children] == [round(x, 6) for x in sums] and round(body.total, 6) == round(sum(own), 6)
+        best = max([body, *order], key=lambda n: n.total)
+        assert all(t in html.extract(page) for t, _ in (parts[body.children.index(best)] if best in body.children else []))
+
+
 def test_html_without_article_takes_the_dense_part():
     body = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
     page = f"<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div><div>{body}</div></div><div class='cookie-notice'>We use cookies</div></body>"
@@ -387,6 +421,19 @@ def test_top_k_equals_brute_force(spark, bins, panel, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_empty_and_huge_vectors(spark):
+    """Empty vectors score 0 with each other; products beyond 64 bits are exact before they are cut to the nearest number."""
+    rows = [(100, []), (1, []), (2, []), (200, [2.0**50, -1.0]), (3, [2.0**50, 7.0]), (4, [2.0**50, 1.0]), (5, [-(2.0**50), 0.0]), (300, [1.0, 3.0]), (6, [float("nan"), 1.0]), (7, None), (8, [None, 1.0])]
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()}
+    q = 1 << 10
+    want = {(100, 1): (1, 0), (100, 2): (2, 0)}
+    vectors = {i: [int(x * q) for x in v] for i, v in rows if v and None not in v and i != 6}
+    for a in (200, 300):
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(vectors[a], v, strict=True)))), i) for i, v in vectors.items() if i != a)
+        want |= {(a, n + 1): (i, -s) for n, (s, i) in enumerate(scores)}
+    assert found == want
+
+
 def test_top_k_with_scores_dense_around_a_bin_bound(spark):
     """6 rows lie within 1023 above a bin of 2050 values and 300 rows in it; the refined histogram would span 3072 values."""
     reach = int((1 << 20) * 1.0001) + 1
