@@ -28,7 +28,7 @@ from spanloom.llm.common import KeyFilter, Scratch, slices, text_key
 #: At most so many words, of at most so many characters each, are sent to every task.
 HOT_WORDS, HOT_LENGTH = 1 << 18, 48
 #: Bytes of text whose words a task counts before it sends them on, whose ids it makes at a time, and which it cuts at a time.
-_COUNTED_BYTES, _CODED_BYTES, _CUT_BYTES = 8 << 20, 4 << 20, 1 << 20
+_COUNTED_BYTES, _CODED_BYTES, _CUT_BYTES = 4 << 20, 2 << 20, 1 << 19
 #: The pre-tokenizer whose rule `Splitter` follows. Files with another one are cut by the library.
 _RULE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = range(5)
