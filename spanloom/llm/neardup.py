@@ -1,10 +1,11 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures, with links confirmed on full shingle sets.
 
 Documents with equal shingle sets form a class; all further work is on classes. A class's signature is cut into the labels of
-several trees: in each tree classes are ordered by their labels, and those that share a prefix are candidates. The depth of
-the prefix adapts to the region: it starts at `BASE` values, and a region with too many classes for one task is cut at
-deeper prefixes, so that neighbours with the longest common prefixes meet first. Regions that are the same in several trees
-are looked at once. Inside a region all pairs are compared exactly, and a spanning set of the links leaves the task.
+several trees. Each tree is a sorted order of the labels; neighbours in it are candidates as far as their longest common
+prefix reaches. The depth of that prefix adapts to the region: it starts at `BASE` values, and where more classes share so
+much than one task compares, the order is cut at longer common prefixes, so that the nearest neighbours meet first. Regions
+that are the same in several trees are looked at once. Inside a region all pairs are compared exactly, and a spanning set of
+the links leaves the task.
 
 What a deeper cut may miss is made up for: after components are known, large regions that still hold several of them are
 compared in pairs of blocks, of which only pairs across components matter. So every pair that shares a prefix of `BASE`
@@ -18,7 +19,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import KeyFilter, Scratch, slices, text_key
@@ -29,8 +31,8 @@ PERCENT = 85
 #: Trees, values in each label, values of the shortest prefix that makes candidates. A pair at the threshold of 0.85 shares
 #: such a prefix in some tree with probability 1 - (1 - 0.85**4)**20 = 0.9999996.
 TREES, DEPTH, BASE = 20, 6, 4
-#: Classes of a region that one task compares.
-REGION = 256
+#: What of a region one task compares, in classes; a class with a large set counts as one for each SET_UNIT shingles begun.
+REGION, SET_UNIT = 256, 4096
 #: Regions' worth of classes in a block: each class of a large region goes to as many tasks as the region has blocks.
 BLOCK = 4
 
@@ -143,7 +145,8 @@ def _regions(classes: DataFrame) -> DataFrame:
 
 
 def _members(classes: DataFrame, shared_by_many: KeyFilter) -> DataFrame:
-    """classes: key, sig. p, key and deep (longer prefixes from BASE + 1 on) where the prefix passes the filter."""
+    """classes: key, sig, n. A row for each tree in which the class's shortest prefix passes the filter: label (the tree, then its
+    values, in bytes that sort as they do), key and weight."""
     shared = classes.sparkSession.sparkContext.broadcast(shared_by_many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +156,86 @@ def _members(classes: DataFrame, shared_by_many: KeyFilter) -> DataFrame:
             sig = _signature_rows(batch, 1)
             p = _prefixes(sig, BASE)
             row, tree = np.nonzero(shared.value.has(p.ravel()).reshape(p.shape))
-            deep = np.stack([_prefixes(sig, d)[row, tree] for d in range(BASE + 1, DEPTH + 1)], axis=1)
-            values = pa.FixedSizeListArray.from_arrays(pa.array(deep.ravel()), deep.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(p[row, tree]), batch.column(0).take(pa.array(row)), values], names=["p", "key", "deep"])
+            labels = np.empty((len(row), DEPTH + 1), dtype=">u4")
+            labels[:, 0], labels[:, 1:] = tree, sig.reshape(len(sig), TREES, DEPTH)[row, tree]
+            label = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_LABEL), len(row), [None, pa.py_buffer(labels.tobytes())]).cast(pa.binary())
+            weight = -(-np.asarray(batch.column(2))[row] // SET_UNIT)
+            yield pa.RecordBatch.from_arrays([label, batch.column(0).take(pa.array(row)), pa.array(weight)], names=["label", "key", "weight"])
 
-    return classes.select("key", "sig").mapInArrow(run, "p long, key binary, deep array<long>")
+    return classes.select("key", "sig", "n").mapInArrow(run, "label binary, key binary, weight long")
+
+
+_LABEL = 4 * (DEPTH + 1)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values labels have in common from the first on, not counting the tree; -1 for labels of different trees."""
+    return np.cumprod(a == b, axis=1).sum(axis=1) - 1
+
+
+def _order(members: DataFrame) -> DataFrame:
+    """The trees' sorted orders, cut by range into even parts: part, row, label, key, weight, before (the weight of the part's rows
+    before this one) and common (values in common with the row before; null for a part's first row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, total, last = TaskContext.get().partitionId(), 0, 0, None
+        for batch in batches:
+            if not (n := batch.num_rows):
+                continue
+            labels = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u4").reshape(n, DEPTH + 1)
+            weight = np.asarray(batch.column(2))
+            common = _common(labels, np.concatenate([labels[:1] if last is None else last, labels[:-1]]))
+            mask = np.arange(n) == 0 if last is None else np.zeros(n, dtype=bool)
+            before = total + np.cumsum(weight) - weight
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part, pa.int32()), n), pa.array(rows + np.arange(n)), *batch.columns, pa.array(before), pa.array(common.astype(np.int32), mask=mask)], names=["part", "row", "label", "key", "weight", "before", "common"])
+            rows, total, last = rows + n, total + int(weight.sum()), labels[-1:]
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = members.repartitionByRange(parts, "label", "key").sortWithinPartitions("label", "key")
+    return sorted_.mapInArrow(run, "part int, row long, label binary, key binary, weight long, before long, common int")
+
+
+def _forest(members: DataFrame, tables: Scratch, region: int) -> DataFrame:
+    """key, p and m (the region of the shortest prefix and its weight) and q, the region of the least depth at which one task can
+    compare it; where even the last depth is too heavy, a share of that region by a hash. Classes without a neighbour are left out.
+
+    A region is a run of the order in which neighbours have `depth` values in common, so it is known from where it begins and
+    the next one does. Within a part these are a running maximum and minimum; beyond a part's bounds they come from one row
+    for each part."""
+    order = tables.table(_order(members), "order")
+    depths = range(BASE, DEPTH + 1)
+    begins = {d: F.when(F.col("common") < d, F.col("before")) for d in depths}
+    bounds = order.groupBy("part").agg(
+        F.sum("weight").alias("weight"), F.min_by("label", "row").alias("head"), F.max_by("label", "row").alias("tail"),
+        *[F.min(b).alias(f"first{d}") for d, b in begins.items()], *[F.max(b).alias(f"last{d}") for d, b in begins.items()],
+    )
+    found = sorted((r.asDict() for r in bounds.collect()), key=lambda r: r["part"])
+    base, tail = 0, None
+    for r in found:
+        r["base"], base = base, base + r["weight"]
+        pair = [np.frombuffer(bytes(x), dtype=">u4").reshape(1, -1) for x in (tail, r["head"])] if tail is not None else None
+        r["common"], tail = -1 if pair is None else int(_common(*pair)[0]), r["tail"]
+    for d in depths:
+        at = 0
+        for r in found:
+            r[f"entry{d}"] = at
+            at = next((r["base"] + x for x in (r[f"last{d}"], 0 if r["common"] < d else None) if x is not None), at)
+        at = base
+        for r in reversed(found):
+            r[f"exit{d}"] = at
+            at = next((r["base"] + x for x in (0 if r["common"] < d else None, r[f"first{d}"]) if x is not None), at)
+    names = ["base", "common", *[f"{x}{d}" for d in depths for x in ("entry", "exit")]]
+    known = order.sparkSession.createDataFrame([(r["part"], *[r[n] for n in names]) for r in found], "part int, " + ", ".join(f"_{n} long" for n in names))
+    inside = Window.partitionBy("part").orderBy("row")
+    to_here, after = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(1, Window.unboundedFollowing)
+    rows = order.join(F.broadcast(known), "part").withColumns({"at": F.col("_base") + F.col("before"), "shared": F.coalesce("common", "_common")})  # a row for each part
+    starts = {d: F.when(F.col("shared") < d, F.col("at")) for d in depths}
+    rows = rows.withColumns({f"start{d}": F.coalesce(F.max(s).over(to_here), F.col(f"_entry{d}")) for d, s in starts.items()} | {f"end{d}": F.coalesce(F.min(s).over(after), F.col(f"_exit{d}")) for d, s in starts.items()})
+    size = {d: F.col(f"end{d}") - F.col(f"start{d}") for d in depths}
+    q = F.xxhash64(F.lit(DEPTH), f"start{DEPTH}", F.pmod(F.xxhash64("key"), F.ceil(size[DEPTH] / F.lit(region)).cast("long")))
+    for d in reversed(depths):
+        q = F.when(size[d] <= region, F.xxhash64(F.lit(d), f"start{d}")).otherwise(q)
+    return tables.table(rows.where(size[BASE] > F.col("weight")).select("key", F.col(f"start{BASE}").alias("p"), size[BASE].alias("m"), q.alias("q")), "forest")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -284,25 +362,6 @@ def connected_components(edges: DataFrame, tables: Scratch) -> DataFrame:
             return labels
 
 
-def _cut_large(members: DataFrame, tables: Scratch, region: int) -> DataFrame:
-    """Regions too large for one task, cut at the least depth at which they are not; the last depth is cut by a hash."""
-    done = None
-    rest = members.select("p", "key", "deep")
-    for step in range(DEPTH - BASE):
-        last = step == DEPTH - BASE - 1
-        deep = rest.withColumn("q", F.element_at("deep", step + 1))
-        sizes = deep.groupBy("q").agg(F.count("*").alias("m"))
-        deep = tables.table(deep.join(sizes, "q"), f"depth{step}")
-        if last:
-            part = F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / F.lit(region)).cast("long"))
-            small = deep.select(F.xxhash64("q", part).alias("p"), "key")
-        else:
-            small = deep.where(F.col("m") <= region).select(F.col("q").alias("p"), "key")
-            rest = deep.where(F.col("m") > region).select("p", "key", "deep")
-        done = small if done is None else done.unionByName(small)
-    return done
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", region: int = REGION) -> DataFrame:
     """For each row id_col, text_key, n_shingles, component_id, kept and component.
 
@@ -314,27 +373,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     tables = Scratch(docs.sparkSession, "neardup")
     rows = docs.select(F.col(text).alias("t"), F.col(id_col).alias("id"), text_key(text).alias("tk"))
     documents = tables.table(_documents(rows), "documents")
-    classes = tables.table(documents.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
+    classes = tables.table(documents.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
     sizes = tables.table(_regions(classes).groupBy("p").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    members = tables.table(_members(classes, KeyFilter.build(sizes, "p")).join(sizes, "p"), "members")
-    sets = tables.table(_sets(rows, members.select("key").distinct().join(classes.select("key", "rep"), "key")), "sets")
-
-    small = members.where(F.col("m") <= region)
-    same = small.groupBy("p").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key"), 24)).alias("s"), F.count("*").alias("m"))
-    once = same.groupBy("x", "s", "m").agg(F.min("p").alias("p")).select("p")
-    groups = small.select("p", "key").join(once, "p")
-    large = members.where(F.col("m") > region)
+    forest = _forest(_members(classes, KeyFilter.build(sizes, "p")), tables, region)
+    tables.drop("sizes", "order")
+    sets = tables.table(_sets(rows, forest.select("key").distinct().join(classes.select("key", "rep"), "key")), "sets")
+
+    small = forest.where(F.col("m") <= region)
+    same = small.groupBy("q").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key"), 24)).alias("s"), F.count("*").alias("m"))
+    once = same.groupBy("x", "s", "m").agg(F.min("q").alias("q")).select("q")
+    groups = small.select("q", "key").join(once, "q")
+    large = forest.where(F.col("m") > region)
     any_large = large.limit(1).count() > 0
     if any_large:
-        groups = groups.unionByName(_cut_large(large, tables, region))
-    edges = tables.table(_in_groups(groups.join(sets, "key").select("p", "key", "set"), ["p"], _compare_region).distinct(), "links")
+        groups = groups.unionByName(large.select("q", "key"))
+    edges = tables.table(_in_groups(groups.join(sets, "key").select("q", "key", "set"), ["q"], _compare_region).distinct(), "links")
     labels = connected_components(edges, tables)
     if any_large:
         more = _across_blocks(large, sets, labels, tables, region)
         if more.limit(1).count():
             labels = connected_components(edges.unionByName(more), tables)
-    tables.drop("sets", "members", "sizes")
+    tables.drop("sets", "forest")
 
     reps = classes.select("key", "rep", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = reps.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("least"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +57,13 @@ WORDS = (
 ).split()
 #: Rows of a keyboard and the key pad.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "789", "456", "123")
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST_WORD = max(map(len, WORDS))
+#: Frequent words of the corpus itself that join the dictionary, after WORDS.
+DICTIONARY = 1 << 14
 _LEET = str.maketrans("4@8301!57$", "aabeoiists")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-#: Longest keyboard walk and longest block whose repeats count as one span; longer ones take several spans.
-_SPAN = 48
+#: The longest block whose repeats count as one span. Runs and walks of any length do; those that end at a place and begin before
+#: it are tried with each of so many lengths, and whole.
+_SPAN = 256
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -91,8 +93,18 @@ def _alphabet(c: str) -> float:
     return math.log2(33) if c.isascii() else math.log2(256)
 
 
-@lru_cache(maxsize=4096)
-def guess_bits(value: str) -> float:
+class Guesser:
+    """Guess costs with a ranked dictionary: WORDS, then `words`."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*WORDS, *words):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self.bits = lru_cache(maxsize=4096)(lambda value: _bits(value, self.rank, self.longest))
+
+
+def _bits(value: str, ranks: dict[str, int], longest: int) -> float:
     """log2 of the guesses for the cheapest segmentation of the value; 0 for an empty one."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
@@ -123,15 +135,15 @@ def guess_bits(value: str) -> float:
             for length in {*range(3, min(run[end], _SPAN) + 1), run[end]}:
                 cheapest = min(cheapest, best[end - length] + 1.0 + _alphabet(c) + math.log2(length))
         if walk[end] >= 4:
-            for length in range(4, min(walk[end], _SPAN) + 1):
+            for length in {*range(4, min(walk[end], _SPAN) + 1), walk[end]}:
                 cheapest = min(cheapest, best[end - length] + 1.0 + math.log2(len(_NEAR) * length) + 2.0 * (turns[end] + 1))
         for size in range(2, min(_SPAN, end - 1) + 1):  # a block repeated
             again[size] = again[size] + 1 if c == low[end - 1 - size] else 0
             if (times := again[size] // size + 1) >= 2:
                 cheapest = min(cheapest, best[end - times * size] + 1.0 + sum(map(_alphabet, value[end - size : end])) + math.log2(times))
-        for size in range(3, min(_LONGEST_WORD, end) + 1):
+        for size in range(3, min(longest, end) + 1):
             for word, extra in ((low[end - size : end], 0.0), (plain[end - size : end], 2.0), (low[end - size : end][::-1], 1.0)):
-                if (rank := _RANK.get(word)) is not None:
+                if (rank := ranks.get(word)) is not None:
                     own = value[end - size : end]
                     case = 0.0 if own == own.lower() else 1.0 if own in (own.upper(), own.capitalize()) else float(size) / 2
                     cheapest = min(cheapest, best[end - size] + 1.0 + math.log2(rank + 1) + extra + case)
@@ -141,12 +153,16 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+_PLAIN = Guesser()
+guess_bits = _PLAIN.bits
+
+
 def _least(m: re.Match[str], value: str) -> float:
     prose = not m["sign"] and (_PROSE.fullmatch(value) if m["base"] else value.isalpha())
     return LEAST_PROSE_BITS if prose and all(w in (w.lower(), w.upper(), w.capitalize()) for w in re.findall(r"[^\W\d_]+", value)) else LEAST_BITS
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
+def find(text: str | None, guesser: Guesser = _PLAIN) -> list[tuple[int, int, str]]:
     """The spans as (start, end, kind) in code points, by start, then by kind as in KINDS."""
     if not text:
         return []
@@ -167,7 +183,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             held = max([a, *(y for x, y in taken if x <= a < y)])  # a fixed format covers the value up to here
             if held >= b or held > a and _NEXT.match(text, held, b):
                 at = max(held, a + 1)
-            elif len(value) >= 6 and guess_bits(value) >= _least(m, value):
+            elif len(value) >= 6 and guesser.bits(value) >= _least(m, value):
                 found.append((a, b, "guess"))
                 at = b
             else:  # no part of a cheap value is dear, but its end may be a context of what follows
@@ -180,40 +196,61 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def redact(text: str | None, mark: str = "[secret]") -> str | None:
-    """The text with each maximal union of overlapping spans replaced by the mark."""
+def redact(text: str | None, spans: list[tuple[int, int, str]] | None = None, mark: str = "[secret]") -> str | None:
+    """The text with each maximal union of overlapping spans replaced by the mark. spans: as find() gives them, where they are known."""
     if not text:
         return text
+    spans = find(text) if spans is None else spans
     out, at, last = [], 0, -1
-    for a, b, _ in find(text):
+    for a, b, _ in spans:
         if a >= last:
             out += [text[at:a], mark]
         at = last = max(last, b)
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` with n_assign, n_access, n_hex, base_sha256, spans and redacted (the text without its secrets).
+def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> list[str]:
+    """The most frequent words (3 to 24 letters a-z, case aside) of all whole texts, most frequent first, ties in order: what a
+    guesser of this corpus would try. Words of one occurrence are left out; `most` words reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                words = pc.split_pattern_regex(pc.ascii_lower(batch.column(0)), "[^a-z]+").flatten()
+                sizes = pc.binary_length(words)
+                found = words.filter(pc.and_(pc.greater_equal(sizes, 3), pc.less_equal(sizes, 24))).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["w", "n"])
+
+    counts = docs.select(F.col(text).alias("t")).where("t is not null").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r["w"] for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: list[str] | None = None, redacted: bool = True) -> DataFrame:
+    """The columns `keep` with n_assign, n_access, n_hex, base_sha256, spans and, if asked for, redacted (the text without its secrets).
 
-    A null text counts as empty for the counts and spans and stays null in `redacted`. Each row stands alone, so repeated
-    rows, ties and empty tables need no rule; columns other than `keep` and the text are not read.
+    words: a ranked dictionary beside WORDS, of bounded size, as frequent_words makes it. A null text counts as empty for the
+    counts and spans and stays null in `redacted`. Each row stands alone, so repeated rows, ties and empty tables need no rule;
+    columns other than `keep` and the text are not read.
     """
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
+    shared = docs.sparkSession.sparkContext.broadcast(words or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(shared.value)
         for whole in batches:
             for batch in slices(whole, 0):
                 texts = batch.column(0).to_pylist()
-                spans = [find(t) for t in texts]
+                spans = [find(t, guesser) for t in texts]
                 base = [[s for s in x if s[2] != "guess"] for x in spans]
                 count = lambda kind: pa.array([sum(s[2] == kind for s in x) for x in base], pa.int64())  # noqa: B023, E731
                 digest = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
-                clean = [redact(t) if x else t for t, x in zip(texts, spans, strict=True)]
+                clean = [redact(t, x) if x else t for t, x in zip(texts, spans, strict=True)] if redacted else [None] * len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1), count("assign"), count("access"), count("hex"), pa.array(digest, pa.string()), pa.array(map(joined, spans), pa.string()), pa.array(clean, pa.string())],
                     names=["_row", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"],
                 )
 
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
-    return rows.mapInArrow(run, schema).select("_row.*", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted")
+    found = rows.mapInArrow(run, schema)
+    return found.select("_row.*", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *["redacted"] * redacted)

@@ -272,6 +272,56 @@ def test_guess_cost():
         assert 0 < cost(v) <= 1 + sum(secrets._alphabet(c) for c in v)
 
 
+def _segment_costs(v, whole_start):
+    """Every reading of v as one segment, with its cost without the 1 that a segment pays for its place."""
+    import math
+
+    low = v.lower()
+    out = [sum(map(secrets._alphabet, v))]
+    if len(v) >= 3 and len(set(low)) == 1:
+        out.append(secrets._alphabet(low[0]) + math.log2(len(v)))
+    near = secrets._NEAR
+    if len(v) >= 4 and all(b in near.get(a, ()) for a, b in zip(low, low[1:], strict=False)):
+        turns = None
+        for skip in range(1):  # turns are counted from where the walk begins
+            steps = [ord(b) - ord(a) for a, b in zip(low, low[1:], strict=False)]
+            turns = sum(a != b for a, b in zip(steps, steps[1:], strict=False))
+        out.append(math.log2(len(near) * len(v)) + 2.0 * (turns + 1))
+    for size in range(2, len(v) // 2 + 1):
+        if len(v) % size == 0 and low == low[:size] * (len(v) // size):
+            out.append(sum(map(secrets._alphabet, v[-size:])) + math.log2(len(v) // size))
+    rank = {w: i + 1 for i, w in reversed(list(enumerate(secrets.WORDS)))}
+    for word, extra in ((low, 0.0), (low.translate(secrets._LEET), 2.0), (low[::-1], 1.0)):
+        if len(v) >= 3 and word in rank:
+            case = 0.0 if v == v.lower() else 1.0 if v in (v.upper(), v.capitalize()) else len(v) / 2
+            out.append(math.log2(rank[word] + 1) + extra + case)
+    return out
+
+
+def test_guess_cost_equals_all_segmentations():
+    """Short values against every way to cut them. Values without digits, so that dates stay out; walks only where they begin a value."""
+    draw = random.Random(7)
+    samples = ["the" * 3, "abab", "aaaa", "Thecat", "passlove", "xkqzjv", "c@t", "eht", "abcabc", "TheThe", "zzzzz", "dogxdog", "qwer", "asdf"]
+    samples += ["".join(draw.choice(["cat", "dog", "a", "x", "B", "red", "_", "aa"]) for _ in range(draw.randint(1, 4)))[:9] for _ in range(150)]
+    for v in samples:
+        best = [0.0] + [float("inf")] * len(v)
+        for end in range(1, len(v) + 1):
+            for start in range(end):
+                place = 0.0 if start == 0 else 1.0
+                costs = _segment_costs(v[start:end], start == 0)
+                best[end] = min(best[end], best[start] + place + costs[0], *[best[start] + 1.0 + c for c in costs[1:]])
+        assert secrets.guess_bits(v) == pytest.approx(best[-1]), v
+
+
+def test_corpus_words_lower_the_cost(spark):
+    docs = frame(spark, ["Zorgblatt, zorgblatt! once", "the ZORGBLATT quux quux", None, ""])
+    words = secrets.frequent_words(docs)
+    assert words == ["zorgblatt", "quux"] and secrets.frequent_words(docs, most=1) == ["zorgblatt"]
+    text = frame(spark, ["pwd: zorgblattzorgquux", "pwd: xkqzjvwmplrtgh"])
+    spans = lambda w: [r["spans"] for r in secrets.scan(text, words=w).orderBy("doc_id").collect()]
+    assert spans(None) == ["guess:5:22", "guess:5:19"] and spans([*words, "zorg"]) == ["", "guess:5:19"]
+
+
 # --- html -------------------------------------------------------------------------------------------------------------
 
 
@@ -483,6 +533,34 @@ def test_near_duplicates_equal_brute_force(spark, region):
     assert all(found[i]["kept"] == (found[i]["component_id"] == i) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize("region", [1, 4, 12])
+def test_forest_regions_are_runs_of_common_prefixes(spark, region, monkeypatch):
+    """Few distinct values, so that regions of every depth occur, one of which holds a third of all rows and spans parts."""
+    draw = random.Random(9)
+    rows = {}
+    for tree in range(3):
+        for key in range(120):
+            values = [1, 1, 1, 1] if draw.random() < 0.35 else [draw.randint(0, 2) for _ in range(neardup.BASE)]
+            values += [draw.randint(0, 3) for _ in range(neardup.DEPTH - neardup.BASE)]
+            rows[tree, key] = (values, draw.choice([1, 1, 1, 5]))
+    members = spark.createDataFrame([(np.array([t, *v], dtype=">u4").tobytes(), str(k).encode(), w) for (t, k), (v, w) in rows.items()], "label binary, key binary, weight long")
+    found = neardup._forest(members, neardup.Scratch(spark, "test"), region).collect()
+    weight = lambda t, v, d: sum(w for (t2, _), (v2, w) in rows.items() if t2 == t and v2[:d] == v[:d])
+    want, names = {}, {}
+    for (t, k), (v, w) in rows.items():
+        if weight(t, v, neardup.BASE) > w:
+            depth = next((d for d in range(neardup.BASE, neardup.DEPTH + 1) if weight(t, v, d) <= region), None)
+            want.setdefault(str(k).encode(), []).append((weight(t, v, neardup.BASE), (t, tuple(v[: depth or neardup.DEPTH]), depth is None)))
+    got = {}
+    for r in found:
+        got.setdefault(bytes(r["key"]), []).append((r["m"], r["q"]))
+    assert {k: sorted(m for m, _ in v) for k, v in got.items()} == {k: sorted(m for m, _ in v) for k, v in want.items()}
+    for k, v in want.items():  # classes are together exactly where the rule says so; those cut by a hash may be further apart
+        for k2, v2 in want.items():
+            names.setdefault((k, k2), (len({q for _, q in got[k]} & {q for _, q in got[k2]}), sum(a == b and not a[1][2] for a in v for b in v2), sum(a == b for a in v for b in v2)))
+    assert all(exact <= shared <= most for shared, exact, most in names.values())
+
+
 def test_region_comparison_is_exact():
     draw = np.random.default_rng(9)
     base = np.unique(draw.integers(0, 2**63, 300, dtype=np.uint64))
