@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.functions.cigar import left_clip, right_clip
+from spanloom.functions.cigar import left_clip, right_clip, unclipped_end, unclipped_start
 
 #: Bits of the alignment flag.
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, READ1, READ2, SECONDARY, SUPPLEMENTARY = 0x1, 0x2, 0x4, 0x8, 0x10, 0x20, 0x40, 0x80, 0x100, 0x800
@@ -75,3 +75,24 @@ def mate_key(qname: Column, flag: Column, same_contig: Column, own: bool = True)
     """Key of a read's sequence among those of its mate's contig; own=False gives the key under which the mate looks for it."""
     number = F.when(has(flag, READ1), 1).otherwise(2)
     return F.when(same_contig, F.concat(qname, F.lit("_"), (number if own else 3 - number).cast("string"))).otherwise(qname)
+
+
+def clip_side(pos: Column, cigar: Column, length: Column, least: int) -> Column:
+    """`L` or `R` for a read with a clip of `least` bases or more on that side and a shorter one, or none, on the other, whose
+    clipped side, laid out, stays on the contig (of `length`); null otherwise."""
+    left, right = left_clip(cigar), right_clip(cigar)
+    is_left = (left >= least) & (right < least) & (unclipped_end(pos, cigar) < length)
+    is_right = (right >= least) & (left < least) & (unclipped_start(pos, cigar) >= 0)
+    return F.when(is_left, "L").when(is_right, "R")
+
+
+def is_sampled_pair(flag: Column, isize: Column, cigar: Column, mate_cigar: Column, most: int = 20_000, clipped_too: bool = False) -> Column:
+    """A pair that insert sizes are sampled from: proper, its left mate, shorter than `most`, and with no clip at either mate."""
+    whole = F.lit(True) if clipped_too else F.coalesce(~cigar.contains("S") & ~mate_cigar.contains("S"), F.lit(False))
+    return is_proper_pair(flag) & (isize > 0) & (isize < most) & whole
+
+
+def is_spanning_pair(flag: Column, contig: Column, mate_contig: Column, isize: Column, cigar: Column, mate_cigar: Column, most: int) -> Column:
+    """The left mate of a pair on one contig, with opposite strands, of `most` bases at most, unclipped."""
+    unclipped = (left_clip(cigar) == 0) & (right_clip(cigar) == 0) & ~is_mate_clipped(mate_cigar)
+    return (isize > 0) & (isize <= most) & is_same_contig(contig, mate_contig) & ~is_same_strand(flag) & unclipped
