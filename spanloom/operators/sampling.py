@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.intervals import points_in_intervals
-from spanloom.operators.running import order_statistics
+from spanloom.operators.running import depth_at, order_statistics
 
 #: Bases for each sampled position; what is kept off at both ends of a contig.
 SPACING, MARGIN = 1000, 1000
@@ -73,6 +73,26 @@ def limit_per_window(df: DataFrame, window: list[str], order: list, most: int) -
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def head_max(df: DataFrame, order: list, value: Column, rows: int = 1001) -> DataFrame:
+    """One row, `most`: the largest value among the first rows. Spark keeps the first rows of each task only."""
+    return df.orderBy(*order).limit(rows).agg(F.max(value).alias("most"))
+
+
+def average_depth(points: DataFrame, reads: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """One row, `average`: reads that begin before a position and reach over it, by position."""
+    inner = reads.select(*keys, (F.col(start) + 1).alias("__s"), F.col(end).alias("__e"))
+    return depth_at(points, inner, keys, at, "__s", "__e", "__depth").agg((F.sum("__depth").cast("double") / F.count("*")).alias("average"))
+
+
+def cap_windows(df: DataFrame, window: list[str], most: int) -> DataFrame:
+    """The rows of the first windows, in order of their keys, up to and with the one that brings the total to `most`: the cap is
+    looked at between windows. Only the windows' sizes, one row each, are added up in order."""
+    sizes = df.groupBy(*window).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*window).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = sizes.withColumn("__before", before).where(F.col("__before") < most).select(*window)
+    return df.join(kept, window, "left_semi")
+
+
 def crossing_counts(points: DataFrame, pairs: DataFrame, keys: list[str], at: str, start: str, end: str, largest: int, width: int) -> DataFrame:
     """For each distinct position and each distance up to `largest`: how many pairs with start <= at < end end that far beyond it
     (keys, at, size, pairs).

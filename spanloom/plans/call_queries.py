@@ -99,3 +99,17 @@ def vcf_line_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = {"END": F.col("e") + 1, "SVTYPE": F.lit("INS"), "SVLEN": F.col("qty"), "OVERLAP": F.col("mapq"), "IMPRECISE": F.col("nm") == 0}
     line = record_line(F.col("contig"), F.col("s"), F.col("rid"), F.lit("N"), F.lit("<INS>"), F.array(F.lit("PASS")), info, {"IMPRECISE"})
     return reads(spark, sf_dir).select("rid", "s", line.alias("line"))
+
+
+@query("transposed_order", "with {READS} select rid, s, cast(row_number() over (order by contig, s, e, strand, -(mapq * nm), -(mapq + nm), rid) - 1 as varchar) as place from reads")
+def transposed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembled and transposed calls in order: place, sequence, then most evidence by product and by sum."""
+    r = reads(spark, sf_dir).withColumns({"product": -(F.col("mapq") * F.col("nm")), "total": -(F.col("mapq") + F.col("nm"))})
+    return sequential_ids(r, ["contig", "s", "e", "strand", "product", "total", "rid"], "", "place").select("rid", "s", "place")
+
+
+@query("final_call_order", "with {POINTS}, named as (select contig, p, 'A_INS_' || pid as id from points) select id, cast(row_number() over (order by contig, p, id) - 1 as varchar) as place from named")
+def final_call_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written calls in order; identifiers compare as text."""
+    named = points(spark, sf_dir).select("contig", "p", F.concat(F.lit("A_INS_"), F.col("pid").cast("string")).alias("id"))
+    return sequential_ids(named, ["contig", "p", "id"], "", "place").select("id", "place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.coverage import median_covered, quality_percentile, spanning_pairs
 from spanloom.operators.running import depth_at, order_statistics
-from spanloom.operators.sampling import crossing_counts, default_lookup, insert_size_model, limit_per_window, offsets_to_regions, pairs_by_size
+from spanloom.operators.sampling import average_depth, cap_windows, crossing_counts, default_lookup, head_max, insert_size_model, limit_per_window, offsets_to_regions, pairs_by_size
 from spanloom.plans.registry import pairs, points, query, reads, table
 
 _DEPTHS = """{READS}, {POINTS},
@@ -164,3 +164,27 @@ def random_offset_to_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partial_final_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics that tasks add up before they are merged."""
     return reads(spark, sf_dir).groupBy("contig", "strand").agg(F.count("*").alias("n"), F.sum("qty").alias("total"), F.min("s").alias("first"), F.max("e").alias("last"))
+
+
+@query("head_read_length", "select max(length(p_name)) as most from (select * from part order by p_partkey limit 1001)")
+def head_read_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest sequence among the first 1,001 records."""
+    return head_max(table(spark, sf_dir, "part"), ["p_partkey"], F.length("p_name").cast("long"))
+
+
+@query("average_sampled_depth", "with {READS}, {POINTS}, d as (select pid, count(okey) as depth from points left join reads on points.contig = reads.contig and s < p and p < e group by pid) select sum(depth) / cast(count(*) as double) as average from d")
+def average_sampled_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads before and over each sampled position, on average."""
+    return average_depth(points(spark, sf_dir), reads(spark, sf_dir), ["contig"], "p", "s", "e")
+
+
+@query(
+    "capped_window_sample",
+    """with {READS}, kept as (select contig, w, rid, s, place from (select contig, s // 10 as w, rid, s, row_number() over (partition by contig, s // 10 order by s, rid) as place from reads) where place <= 101),
+sizes as (select contig, w, sum(count(*)) over (order by contig, w rows between unbounded preceding and 1 preceding) as before from kept group by contig, w)
+select contig, w, rid, s from kept join sizes using (contig, w) where coalesce(before, 0) < 10000""",
+)
+def capped_window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 101 reads of each window, from as many windows as it takes for 10,000 in all."""
+    kept = limit_per_window(reads(spark, sf_dir).withColumn("w", F.expr("s div 10")), ["contig", "w"], ["s", "rid"], 101)
+    return cap_windows(kept, ["contig", "w"], 10_000).select("contig", "w", "rid", "s")

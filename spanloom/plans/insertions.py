@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import align
 from spanloom.functions import cigar as C
 from spanloom.functions import flags as P
-from spanloom.functions.vcf import record_line
+from spanloom.functions.vcf import header, record_line
 from spanloom.operators.annotate import flank_depths
 from spanloom.operators.calls import insertion_filters, keep_first, sequential_ids
 from spanloom.operators.clustering import anchored_clusters
@@ -24,29 +24,35 @@ from spanloom.operators.consensus import clip_consensus
 from spanloom.operators.grouped import fold_groups
 from spanloom.operators.intervals import within_band
 from spanloom.operators.reference import with_reference
+from spanloom.operators.running import depth_at, order_statistics
+from spanloom.operators.sampling import random_positions, whole_contigs
 from spanloom.plans.config import Config
+from spanloom.sources.text import contig_lengths
 
 #: How far a left clip may lie before and behind the right clip of the same insertion.
 BAND_BEFORE, BAND_AFTER = 100, 10
 CHUNK = 65_536
 
 
-def clipped_reads(reads: DataFrame, config: Config) -> DataFrame:
-    """Primary mapped reads clipped on just one side, with side, clip sizes and unclipped ends."""
+def clipped_reads(reads: DataFrame, config: Config, lengths: DataFrame | None = None) -> DataFrame:
+    """Primary mapped reads clipped on just one side (see flags.clip_side), with side, clip sizes and unclipped ends. lengths:
+    contig and length; without them no contig has an end."""
     flag, cigar = F.col("flag"), F.col("cigar")
     left, right = C.left_clip(cigar), C.right_clip(cigar)
-    rows = reads.where(P.is_primary(flag) & ~P.is_unmapped(flag)).withColumns(
-        {"start": F.col("pos"), "end": C.end_position(F.col("pos"), cigar), "lclip": left, "rclip": right, "reverse": P.is_reverse(flag)}
-    )
+    rows = reads.where(P.is_primary(flag) & ~P.is_unmapped(flag))
+    if lengths is None:
+        rows = rows.withColumn("clen", F.lit(1 << 62))
+    else:
+        rows = rows.join(lengths.select("contig", F.col("length").alias("clen")), "contig", "left").fillna(1 << 62, ["clen"])
+    rows = rows.withColumn("side", P.clip_side(F.col("pos"), cigar, F.col("clen"), config.min_clip_len)).where("side is not null").drop("clen")
+    rows = rows.withColumns({"start": F.col("pos"), "end": C.end_position(F.col("pos"), cigar), "lclip": left, "rclip": right, "reverse": P.is_reverse(flag)})
     rows = rows.withColumns({"ustart": F.col("start") - F.col("lclip"), "uend": F.col("end") + F.col("rclip")})
-    is_left, is_right = F.col("lclip") >= config.min_clip_len, F.col("rclip") >= config.min_clip_len
-    side = F.when(is_left & ~is_right & (F.col("rclip") == 0), "L").when(is_right & ~is_left & (F.col("lclip") == 0) & (F.col("ustart") >= 0), "R")
-    return rows.withColumn("side", side).where("side is not null").withColumn("at", F.when(F.col("side") == "L", F.col("start")).otherwise(F.col("end")))
+    return rows.withColumn("at", F.when(F.col("side") == "L", F.col("start")).otherwise(F.col("end")))
 
 
-def clip_consensuses(reads: DataFrame, config: Config) -> DataFrame:
+def clip_consensuses(reads: DataFrame, config: Config, lengths: DataFrame | None = None) -> DataFrame:
     """contig, side, start, end, breakpoint, seq, fwd_clipped, rev_clipped of each cluster that agrees on a sequence."""
-    clustered = anchored_clusters(clipped_reads(reads, config), ["contig", "side"], "at", "qname", config.max_clipped_pos_dist)
+    clustered = anchored_clusters(clipped_reads(reads, config, lengths), ["contig", "side"], "at", "qname", config.max_clipped_pos_dist)
     rows = clustered.select("contig", "side", "anchor", "qname", "cigar", "start", "end", "ustart", "uend", "lclip", "rclip", "reverse", "seq", "qual")
 
     def fold(group: list[dict]) -> list[tuple]:
@@ -96,7 +102,7 @@ _FOUND = [("start", "long"), ("end", "long"), ("seq", "string"), ("overlap", "in
 
 def small_insertions(reads: DataFrame, reference: DataFrame, config: Config, chunk: int = CHUNK) -> DataFrame:
     """Insertions whose two consensuses overlap, one row for each place and sequence, in coordinate order with ids S_INS_n."""
-    found = clip_consensuses(reads, config)
+    found = clip_consensuses(reads, config, contig_lengths(reference))
     side = lambda s, p: found.where(F.col("side") == s).select("contig", *[F.col(c).alias(f"{p}_{c}") for c in ("breakpoint", "start", "seq", "fwd_clipped", "rev_clipped")])
     pairs = within_band(side("R", "r"), side("L", "l"), ["contig"], "r_breakpoint", "l_breakpoint", BAND_BEFORE, BAND_AFTER)
     reach = F.length("r_seq") + F.length("l_seq") + 2 * align.PADDING
@@ -138,6 +144,25 @@ def annotate_filters(calls: DataFrame, config: Config, depth: tuple[int, int] =
     return calls.withColumn("filter", insertion_filters("S", c, config.min_insertion_size, config.read_len))
 
 
+def depth_bounds(reads: DataFrame, positions: DataFrame) -> tuple[int, int]:
+    """The usual depths over sampled positions (contig, pos) that reads cover: the values a hundredth of all above the least and
+    below the largest. Every mapped read counts. (0, 2**30) if nothing is covered."""
+    spans = reads.where(~P.is_unmapped(F.col("flag"))).select("contig", F.col("pos").alias("s"), C.end_position(F.col("pos"), F.col("cigar")).alias("e"))
+    depths = depth_at(positions.withColumn("at", F.col("pos").cast("long")), spans, ["contig"], "at", "s", "e").where("depth > 0")
+    found = order_statistics(depths, [], "depth", {"low": F.expr("n div 100"), "high": F.expr("n - n div 100")}).first()
+    return (found["low"], found["high"]) if found else (0, 1 << 30)
+
+
+def call_small_insertions(reads: DataFrame, reference: DataFrame, config: Config, seed: int = 0, sample: str = "1", command: str = "") -> tuple[DataFrame, list[str]]:
+    """The whole path: usual depths over random positions, calls, filters, lines. Returns the lines (see vcf_lines) with `filter`,
+    and the header; sources.files.write_vcf writes them."""
+    lengths = {r["contig"]: r["length"] for r in contig_lengths(reference).collect()}  # a row for each contig
+    places = reads.sparkSession.createDataFrame(random_positions(whole_contigs(lengths), seed) or [("", 0)], "contig string, pos long")
+    calls = annotate_filters(small_insertions(reads, reference, config), config, depth_bounds(reads, places), reads)
+    lines = vcf_lines(calls, reference).join(calls.select("id", "filter"), "id")
+    return lines, header(sorted(lengths.items()), sample, command)
+
+
 def vcf_lines(calls: DataFrame, reference: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """line: a variant record for each call, REF being the base at its start; contig, start and id for ordering."""
     based = with_reference(calls.withColumn("next", F.col("start") + 1), reference, ["id"], "contig", "start", "next", "ref", chunk)

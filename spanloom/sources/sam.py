@@ -147,9 +147,15 @@ class BamReader(DataSourceReader):
     def partitions(self) -> list[_Cut]:
         with open(self.path, "rb") as stream:
             _, skip = _header(stream)
-            cuts, need, started = [], skip, False
+            cuts, need, started, cut_off = [], skip, False, b""
             for at, part in _blocks(stream, 0):
                 place = 0
+                if cut_off:  # a record's length that begins in the block before
+                    missing = 4 - len(cut_off)
+                    cut_off += part[:missing]
+                    if len(cut_off) < 4:
+                        continue
+                    need, cut_off = missing + int.from_bytes(cut_off, "little"), b""
                 if need >= len(part):
                     need -= len(part)
                     continue
@@ -161,8 +167,8 @@ class BamReader(DataSourceReader):
                     started = True
                 while place + 4 <= len(part):
                     place += 4 + int.from_bytes(part[place : place + 4], "little")
-                if place < len(part):  # a length that crosses blocks: such files are read by one task
-                    return [_Cut(cuts[0].start, cuts[0].skip, 1 << 62)]
+                if place < len(part):
+                    cut_off, place = part[place:], len(part)
                 need = place - len(part)
         return cuts if started else []
 
