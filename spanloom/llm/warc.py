@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -172,6 +172,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     return tables.table(rows.mapInArrow(run, "path string, records long, bytes long"), "manifest").select(F.concat(F.lit(folder.rstrip("/") + "/"), "path").alias("path"), "records", "bytes")
 
 
+def _named(page: object) -> object:
+    """An id as a header's value; texts are percent-encoded."""
+    return quote(page, safe="") if isinstance(page, str) else page
+
+
 def _record_id(page: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
@@ -185,18 +190,20 @@ def _page_record(page: dict, date: str, level: int) -> bytes:
         "WARC-Target-URI": None if page["url"] is None else quote(page["url"], safe="%/:=&?~#+!$,;'@()*[]"),
         "Content-Type": "application/http;msgtype=response",
         "WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}",
-        "X-Page-ID": page["id"],
+        "X-Page-ID": _named(page["id"]),
     }
     if first is None:
         return encode("response", headers, http + payload, level)
-    headers |= {"WARC-Refers-To": _record_id(first), "WARC-Profile": _PROFILE, "X-Refers-To-Page-ID": first}
+    headers |= {"WARC-Refers-To": _record_id(first), "WARC-Profile": _PROFILE, "X-Refers-To-Page-ID": _named(first)}
     return encode("revisit", headers, http, level)
 
 
-def read_pages(spark: SparkSession, manifest: DataFrame, with_html: bool = False) -> DataFrame:
+def read_pages(spark: SparkSession, manifest: DataFrame, with_html: bool = False, id_type: str = "long") -> DataFrame:
     """A row for each record of the manifest's archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    For revisits size and digest are those of the payload referred to. with_html adds the payload of responses as text.
+    For revisits size and digest are those of the payload referred to. with_html adds the payload of responses as text. A page
+    without an id has a null one, and so has, as a long, one whose id is no number; id_type "string" gives ids as text. Ids
+    that repeat give a row for each record, an empty manifest none.
     """
     archives = manifest.select("path")
     count = archives.count()
@@ -209,20 +216,27 @@ def read_pages(spark: SparkSession, manifest: DataFrame, with_html: bool = False
                 with store.open_input_stream(name, compression=None) as stream:
                     held, size = [], 0
                     for record in read(stream):
-                        held.append(_page_row(record, with_html))
+                        held.append(_page_row(record, with_html, id_type))
                         size += 200 + len(record.block) * with_html
                         if size > 8 << 20:
-                            yield _page_batch(held, with_html)
+                            yield _page_batch(held, with_html, id_type)
                             held, size = [], 0
-                    yield _page_batch(held, with_html)
+                    yield _page_batch(held, with_html, id_type)
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + html
+    schema = f"page_id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}{html}"
     return archives.repartition(max(1, min(count, 100_000))).mapInArrow(run, schema)
 
 
-def _page_row(record: Record, with_html: bool) -> tuple:
+def _page_row(record: Record, with_html: bool, id_type: str) -> tuple:
     h = record.headers
-    number = lambda name: int(h[name]) if name in h else None
+
+    def number(name: str) -> object:
+        if id_type == "string":
+            return unquote(h[name]) if name in h else None
+        text = h.get(name, "")
+        n = int(text) if text.removeprefix("-").isdecimal() else None
+        return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
     kind = h["warc-type"]
     row = (number("x-page-id"), h.get("warc-target-uri"), int(record.http["content-length"]), h["warc-payload-digest"].removeprefix("sha1:"), kind, number("x-refers-to-page-id"))
     if kind == "response" and len(record.payload) != row[2]:
@@ -230,7 +244,8 @@ def _page_row(record: Record, with_html: bool) -> tuple:
     return (*row, record.payload.decode("utf-8") if kind == "response" else None) if with_html else row
 
 
-def _page_batch(rows: list[tuple], with_html: bool) -> pa.RecordBatch:
-    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+def _page_batch(rows: list[tuple], with_html: bool, id_type: str) -> pa.RecordBatch:
+    kind = pa.string() if id_type == "string" else pa.int64()
+    kinds = [("page_id", kind), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", kind)]
     kinds += [("html", pa.string())] * with_html
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])

@@ -436,6 +436,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_pages(spark, empty).count() == 0
 
 
+def test_archives_on_odd_tables(spark, tmp_path):
+    """Repeated rows and ids, nulls, clashing columns, no rows, ids that are text."""
+    schema = "page_id long, url string, html string, id string, payload string, sha string, refers_to string, first long"
+    rows = [(2, "u", "x"), (2, "u", "x"), (1, None, "x"), (None, "v", "x"), (None, None, None), (3, "w", ""), (4, "é ü", "y\r\n\r\nz" * 100_000)]
+    pages = spark.createDataFrame([(*r, "a", "b", "c", "d", 5) for r in rows], schema)
+    found = warc.read_pages(spark, warc.write(pages, f"file://{tmp_path}/a")).collect()
+    key = lambda r: (str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["payload_bytes"])
+    assert sorted(map(key, found)) == sorted([("2", "revisit", "1", 1)] * 2 + [("1", "response", "None", 1), ("None", "revisit", "1", 1), ("None", "revisit", "3", 0), ("3", "response", "None", 0), ("4", "response", "None", 600_000)])
+    assert warc.read_pages(spark, warc.write(pages.limit(0), f"file://{tmp_path}/b")).count() == 0
+    texts = pages.withColumn("page_id", F.concat(F.lit("é\r\n"), F.col("page_id").cast("string")))
+    manifest = warc.write(texts, f"file://{tmp_path}/c")
+    assert {r["page_id"] for r in warc.read_pages(spark, manifest, id_type="string").collect()} == {None, *[f"é\r\n{i}" for i in (1, 2, 3, 4)]}
+    assert {r["page_id"] for r in warc.read_pages(spark, manifest).collect()} == {None}
+
+
 def test_archive_reader_is_incremental_and_checks():
     one = warc.encode("resource", {"WARC-Record-ID": "<x:1>", "Content-Type": "text/plain", "WARC-Payload-Digest": f"sha1:{warc.sha1_base32(b'ab' * 900_000)}"}, b"ab" * 900_000)
     two = warc.encode("resource", {"WARC-Record-ID": "<x:2>"}, b"")
@@ -471,6 +486,15 @@ def test_top_k_equals_brute_force(spark, bins, panel, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_on_odd_tables(spark):
+    """Repeated rows are candidates each, queries that repeat count once; ties go to smaller ids; clashing columns are not read."""
+    rows = [(100, [1.0]), (100, [1.0]), (1, [2.0]), (1, [2.0]), (2, [2.0]), (None, [9.0])]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, score long, rank int, query_id long")
+    found = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
+    assert found == [(100, 1, 1, 1 << 21), (100, 2, 1, 1 << 21), (100, 3, 2, 1 << 21)]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0 == topk.top_k(df.where("vec_id = 1"), F.col("vec_id") % 100 == 0).count()
+
+
 def test_top_k_of_empty_and_huge_vectors(spark):
     """Empty vectors score 0 with each other; products beyond 64 bits are exact before they are cut to the nearest number."""
     rows = [(100, []), (1, []), (2, []), (200, [2.0**50, -1.0]), (3, [2.0**50, 7.0]), (4, [2.0**50, 1.0]), (5, [-(2.0**50), 0.0]), (300, [1.0, 3.0]), (6, [float("nan"), 1.0]), (7, None), (8, [None, 1.0])]

@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, language, repeats
 from tests.llm.test_llm_operators import brute_components, brute_repeats
@@ -40,3 +41,17 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert corpus_pipeline._near_dedup(spark, docs, sf_dir).where("text = 'words of a text'").count() == 1
     assert corpus_pipeline._bpe(spark, docs, sf_dir).count() == len(rows)
+
+
+def test_stages_take_columns_of_any_name(spark, sf_dir):
+    """Names that operators use for their own columns, on every stage."""
+    extra = ["score", "lang_pred", "n_words", "n_hit", "n_removed", "n_units", "contaminated", "row", "runs", "id", "tk", "t", "key", "kept", "component", "ids", "n_tokens", "h"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        rows = found.select(*extra).distinct().collect()
+        assert found.columns == docs.columns and [tuple(r) for r in rows] == [tuple(range(len(extra)))]
+    last = corpus_pipeline._bpe(spark, docs, sf_dir)
+    assert set(extra) - set(last.columns) == set() and {"doc_ids", "doc_n_tokens", "ids", "n_tokens", "lang"} <= set(last.columns)
+    assert last.select("doc_ids", "h").distinct().collect()[0] == (extra.index("ids"), extra.index("h"))
