@@ -1,8 +1,8 @@
-"""Overlaps between sequences: pairs are found by a shared seed, then measured."""
+"""Overlaps between sequences: suffixes and prefixes meet by length and hash."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,11 +10,13 @@ def exact_overlaps(seqs: DataFrame, id_col: str, seq: str, least: int) -> DataFr
     """a, b, overlap: for each pair of different sequences the longest suffix of a, of `least` letters or more, that is a
     prefix of b.
 
-    The first `least` letters of b must occur where the suffix begins, so pairs meet in an equi-join on that seed; no pair
-    without a common seed is made."""
+    Suffixes and prefixes of each length meet in an equi-join on the length and 128 bits of hash, so no text is shuffled, and
+    no pair is made that has no overlap."""
     rows = seqs.where(F.length(seq) >= least).select(F.col(id_col).alias("i"), F.col(seq).alias("q"))
-    starts = F.sequence(F.lit(1), F.length("q") - least + 1)
-    suffixes = rows.select(F.col("i").alias("a"), F.col("q").alias("qa"), F.explode(starts).alias("at")).select("a", F.col("qa").substr(F.col("at"), F.lit(least)).alias("seed"), F.expr("substr(qa, at)").alias("suffix"))
-    prefixes = rows.select(F.col("i").alias("b"), F.col("q").alias("qb"), F.left("q", F.lit(least)).alias("seed"))
-    joined = suffixes.join(prefixes, "seed").where((F.col("a") != F.col("b")) & F.col("qb").startswith(F.col("suffix")))
-    return joined.groupBy("a", "b").agg(F.max(F.length("suffix")).alias("overlap"))
+
+    def ends(name: str, cut: Column) -> DataFrame:
+        entry = F.transform(F.sequence(F.lit(least), F.length("q")), lambda n: F.struct(n.alias("n"), F.xxhash64(F.substring("q", F.when(cut, F.length("q") - n + 1).otherwise(1), n)).alias("h"), F.xxhash64(F.lit(1), F.substring("q", F.when(cut, F.length("q") - n + 1).otherwise(1), n)).alias("g")))
+        return rows.select(F.col("i").alias(name), F.explode(entry).alias("x")).select(name, "x.*")
+
+    joined = ends("a", F.lit(True)).join(ends("b", F.lit(False)), ["n", "h", "g"]).where(F.col("a") != F.col("b"))
+    return joined.groupBy("a", "b").agg(F.max("n").alias("overlap"))
