@@ -226,8 +226,8 @@ def _forest(members: DataFrame, tables: Scratch, region: int) -> DataFrame:
             at = next((r["base"] + x for x in (0 if r["common"] < d else None, r[f"first{d}"]) if x is not None), at)
     names = ["base", "common", *[f"{x}{d}" for d in depths for x in ("entry", "exit")]]
     known = order.sparkSession.createDataFrame([(r["part"], *[r[n] for n in names]) for r in found], "part int, " + ", ".join(f"_{n} long" for n in names))
-    inside = Window.partitionBy("part").orderBy("row")
-    to_here, after = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(1, Window.unboundedFollowing)
+    to_here = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("part").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, -1)  # running, unlike a frame to the end
     rows = order.join(F.broadcast(known), "part").withColumns({"at": F.col("_base") + F.col("before"), "shared": F.coalesce("common", "_common")})  # a row for each part
     starts = {d: F.when(F.col("shared") < d, F.col("at")) for d in depths}
     rows = rows.withColumns({f"start{d}": F.coalesce(F.max(s).over(to_here), F.col(f"_entry{d}")) for d, s in starts.items()} | {f"end{d}": F.coalesce(F.min(s).over(after), F.col(f"_exit{d}")) for d, s in starts.items()})
