@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.align import DEFAULT, align_columns, suffix_prefix_columns
 from spanloom.functions.sequences import shared_prefix_length
 from spanloom.operators.overlaps import exact_overlaps
+from spanloom.operators.placement import place_sequences
 from spanloom.plans.registry import digits_dna, digits_dna_sql, dna, dna_sql, query, table
 
 _KEYS = f"seqs as (select c_custkey as i, {digits_dna_sql('c_custkey * 1009')} as q from customer)"
@@ -62,3 +63,19 @@ def normalise_trim_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The common prefix of an insertion and what it replaces is trimmed."""
     x = table(spark, sf_dir, "orders").select("o_orderkey", digits_dna(F.col("o_orderkey") * 11).alias("q"), digits_dna(F.col("o_custkey") * 11 + 100000).alias("r"))
     return x.withColumn("trimmed", shared_prefix_length(F.col("q"), F.col("r")).cast("long")).select("o_orderkey", "trimmed", F.expr("substr(q, cast(trimmed + 1 as int))").alias("rest"))
+
+
+def _random_dna(seed: str, parts: int) -> F.Column:
+    """Letters that a key's digests stand for, 64 for each part."""
+    return F.translate(F.concat(*[F.sha2(F.concat(F.lit(f"{seed}{k}-"), F.col("c_custkey").cast("string")), 256) for k in range(parts)]), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+@query("placed_insertions", "select c_custkey, 'OK' as status, cast(64 as bigint) as size, true as whole from customer")
+def placed_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence of 64 letters planted into a reference for each customer: assembled sequences that hold it and its surroundings are
+    placed, and what the call spells is the donor again."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", _random_dna("r", 3).alias("ref"), _random_dna("x", 1).alias("extra")).repartition("c_custkey")  # placing takes far longer than reading
+    c = c.select("c_custkey", "ref", F.concat(F.left("ref", F.lit(96)), "extra", F.substring("ref", 97, 1000)).alias("donor"))
+    found = place_sequences(c.withColumn("contigs", F.array(F.substring("donor", 31, 196))), "contigs", "ref")
+    spelt = F.concat(F.expr("substr(ref, 1, cast(start + 1 as int))"), F.col("seq"), F.expr("substr(ref, cast(end + 2 as int))"))
+    return found.select("c_custkey", "status", (F.length("seq") - (F.col("end") - F.col("start"))).alias("size"), (spelt == F.col("donor")).alias("whole"))

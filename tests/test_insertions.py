@@ -114,6 +114,25 @@ def test_planted_insertion_is_called(spark, tmp_path, planted):
     assert none.count() == 0
 
 
+def test_command_line_writes_variant_files(spark, tmp_path, planted):
+    import glob
+    import gzip
+
+    from spanloom.__main__ import main
+
+    ref, at, extra, reads = planted
+    (tmp_path / "a.sam").write_text(sam_text(ref, reads))
+    (tmp_path / "r.fa").write_text(">c\n" + ref + "\n")
+    main([str(tmp_path / "a.sam"), str(tmp_path / "r.fa"), str(tmp_path / "out"), "--min-insertion-size", "50"], spark)
+    lines = [x for p in sorted(glob.glob(f"{tmp_path}/out/all.vcf/part-*.gz")) for x in gzip.open(p, "rt").read().splitlines()]
+    assert lines[0] == "##fileformat=VCFv4.2" and "##contig=<ID=c,length=4000>" in lines and lines[-2].startswith("#CHROM")
+    fields = lines[-1].split("\t")
+    info = dict(x.split("=", 1) for x in fields[7].split(";"))
+    assert ref[: int(fields[1])] + info["SVINSSEQ"] + ref[int(info["END"]) :] == ref[:at] + extra + ref[at:]
+    passed = [x for p in sorted(glob.glob(f"{tmp_path}/out/pass.vcf/part-*.gz")) for x in gzip.open(p, "rt").read().splitlines()]
+    assert passed == (lines if fields[6] == "PASS" else lines[:-1])
+
+
 def test_filters_judge_the_depth_of_the_flanks(spark, tmp_path, planted):
     ref, _, _, reads = planted
     (tmp_path / "a.sam").write_text(sam_text(ref, reads))
