@@ -33,7 +33,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str, thorough: bool = False):
-        self.spark, self.rounds = spark, 2 if thorough else 1
+        self.spark, self.rounds = spark, 3 if thorough else 1
         self.root = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._close)
 
@@ -50,7 +50,7 @@ class Scratch:
         for _ in range(self.rounds):
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2 * (self.rounds - 1))
+            time.sleep(0.25 * (self.rounds - 1))
 
     def drop(self, *names: str) -> None:
         for name in names:
