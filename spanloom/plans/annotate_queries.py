@@ -13,7 +13,7 @@ _OPS = r"list_zip(regexp_extract_all({c}, '(\d+)([MIDNSHP=X])', 1), regexp_extra
 
 def _total(cigar: str, kinds: str) -> str:
     listed = ", ".join(f"'{k}'" for k in kinds)
-    return f"coalesce(list_sum(list_transform(list_filter({_OPS.replace('{c}', cigar)}, lambda x: x[2] in ({listed})), lambda x: cast(x[1] as bigint))), 0)"
+    return f"cast(coalesce(list_sum(list_transform(list_filter({_OPS.replace('{c}', cigar)}, lambda x: x[2] in ({listed})), lambda x: cast(x[1] as bigint))), 0) as bigint)"
 
 
 _CLIP = r"(regexp_matches(cigar, '^\d+S') or regexp_matches(cigar, 'S$'))"

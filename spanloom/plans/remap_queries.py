@@ -12,8 +12,8 @@ from spanloom.operators import remap as R
 from spanloom.plans.registry import alignments, query, reads, table
 
 _OPS = r"list_zip(regexp_extract_all(cigar, '(\d+)([MIDNSHP=X])', 1), regexp_extract_all(cigar, '(\d+)([MIDNSHP=X])', 2))"
-_REF = f"coalesce(list_sum(list_transform(list_filter({_OPS}, lambda x: x[2] in ('M', 'D', 'N', '=', 'X')), lambda x: cast(x[1] as bigint))), 0)"
-_INSERTED = f"coalesce(list_sum(list_transform(list_filter({_OPS}, lambda x: x[2] = 'I'), lambda x: cast(x[1] as bigint))), 0)"
+_REF = f"cast(coalesce(list_sum(list_transform(list_filter({_OPS}, lambda x: x[2] in ('M', 'D', 'N', '=', 'X')), lambda x: cast(x[1] as bigint))), 0) as bigint)"
+_INSERTED = f"cast(coalesce(list_sum(list_transform(list_filter({_OPS}, lambda x: x[2] = 'I'), lambda x: cast(x[1] as bigint))), 0) as bigint)"
 _LEFT, _RIGHT = r"coalesce(try_cast(regexp_extract(cigar, '^(\d+)S', 1) as bigint), 0)", r"coalesce(try_cast(regexp_extract(cigar, '(\d+)S$', 1) as bigint), 0)"
 
 
