@@ -155,10 +155,10 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.region_scores(rows, ["okey", "contig"])
 
 
-@query("region_scores", f"with {{READS}}, {_SCORES} select *, accepted / nullif(cast(reads as double), 0) as share from regions")
+@query("region_scores", f"with {{READS}}, {_SCORES} select * replace (coalesce(first, -1) as first, coalesce(last, -1) as last), accepted / nullif(cast(reads as double), 0) as share from regions")
 def region_scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total score, accepted share and extent of each candidate region."""
-    return _regions(spark, sf_dir)
+    """Total score, accepted share and extent (-1 where nothing is accepted) of each candidate region."""
+    return _regions(spark, sf_dir).fillna(-1, ["first", "last"])
 
 
 @query("base_region_veto", f"with {{READS}}, {_SCORES} select okey, contig, total >= 40 * 0.95 and coalesce(accepted / nullif(cast(reads as double), 0) >= 0.5, false) as explained from regions")
