@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, html, language, neardup, repeats, secrets, topk, warc
+from spanloom.llm import bpe, codebooks, decontaminate, html, language, mixing, neardup, repeats, secrets, topk, tries, warc
 from spanloom.llm.common import Scratch
 
 
@@ -62,6 +62,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, warc.write(_read(spark, sf_dir, "pages"), folder)).drop("url")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_mix_sources": op12_mix_sources,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -187,7 +202,77 @@ select page_id, octet_length(encode(html)) as payload_bytes, payload_digest, cas
 from digests
 """
 
+_START = """
+with kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+parts as materialized (select vec_id, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] as v from kept, (select unnest(range(4)) as p)),
+b0 as materialized (select p, e, v from (select p, row_number() over (partition by p order by vec_id) - 1 as e, v from parts) where e < 256)"""
+
+_ASSIGN = """,
+a{r} as materialized (
+  select x.vec_id, x.p, any_value(x.v) as v,
+    min(struct_pack(d := list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v), e := b.e)) as best
+  from parts x join b{r} b using (p) group by x.vec_id, x.p
+)"""
+
+_UPDATE = """,
+b{n} as materialized (
+  select p, e, coalesce(m.v, b.v) as v from b{r} b left join (
+    select p, e, list(x order by i) as v from (
+      select p, best.e as e, i, floor(sum(v[i]) / count(*)) as x from (select p, best, v, unnest(range(1, len(v) + 1)) as i from a{r}) group by p, best.e, i) group by p, e
+  ) m using (p, e)
+)"""
+
+_CODES = """,
+codes as (select vec_id, string_agg(printf('%02x', best.e), '' order by p) as code, cast(sum(best.d) as bigint) as error from a4 group by vec_id),
+books as (select sha256(string_agg(cast(cast(x as bigint) as varchar), ',' order by p, e, i)) as digest from (select p, e, unnest(v) as x, unnest(range(len(v))) as i from b4))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select digest from books) as codebooks_sha256, label
+from codes join kept using (vec_id)
+"""
+
+_LLOYD = _START + "".join(_ASSIGN.format(r=r) + _UPDATE.format(r=r, n=r + 1) for r in range(4)) + _ASSIGN.format(r=4) + _CODES
+
+_TRIE = """
+with own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) as k
+  from conversations where conv_id is not null
+),
+convs as (
+  select conv_id, conv_id - conv_id % 5 as base, xor(4294967295, list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+    lambda c, b: list_reduce(range(8), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(c, b)), cast(4294967295 as bigint))) % 9 as h
+  from (select distinct conv_id from own)
+),
+built as (
+  select c.conv_id, 0 as part, k, role, text from convs c join own o on o.conv_id = c.base and o.k <= c.h
+  union all select c.conv_id, 1 as part, k, role, text from convs c join own o on o.conv_id = c.conv_id and o.k > c.h
+),
+paths as (
+  select c.conv_id, coalesce(list(md5(length(role) || ':' || role || text) order by part, k) filter (part is not null), []) as d, list(octet_length(encode(text)) order by part, k) filter (part is not null) as b
+  from convs c left join built using (conv_id) group by c.conv_id
+),
+starts as materialized (
+  select conv_id, depth, len(d) = depth as ends, array_to_string(d[1:depth], ',') as key, array_to_string(d[1:depth - 1], ',') as above, case when depth > 0 then b[depth] else 0 end as size
+  from paths, lateral (select unnest(range(len(d) + 1)) as depth)
+),
+nodes as materialized (
+  select depth, key, min(conv_id) as conv_id, any_value(above) as above, count(*) as n_convs, any_value(size) as size,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from starts group by depth, key
+),
+kids as (select depth - 1 as depth, above as key, count(*) as n_children from nodes where depth > 0 group by depth, above),
+sums as (
+  select s.depth, s.key, count(*) filter (k.key is null) as n_leaves, sum((n.n_convs - 1) * n.size) as saved
+  from nodes n join starts s on s.conv_id = n.conv_id and s.depth <= n.depth left join kids k on k.depth = n.depth and k.key = n.key group by s.depth, s.key
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, s.n_leaves, cast(s.saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n join sums s using (depth, key) left join kids k using (depth, key) left join nodes p on n.depth > 0 and p.depth = n.depth - 1 and p.key = n.above
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": _LLOYD,
+    "op13_prefix_trie": _TRIE,
     "op3_exact_topk": _INNER,
     "op9_near_dedup": _NEAR,
     "op10_warc": _ARCHIVE,

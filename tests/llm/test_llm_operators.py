@@ -606,7 +606,7 @@ def test_region_comparison_is_exact():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = db.execute(queries.ORACLES[name]).fetchall()
     names = [d[0] for d in db.description]
