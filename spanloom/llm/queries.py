@@ -45,8 +45,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return secrets.scan(docs, keep=["doc_id"], words=secrets.frequent_words(docs), redacted=False)
+    return secrets.scan(_read(spark, sf_dir, "documents"), keep=["doc_id"], redacted=False)
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

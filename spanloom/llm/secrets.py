@@ -12,9 +12,9 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +57,10 @@ WORDS = (
 ).split()
 #: Rows of a keyboard and the key pad.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "789", "456", "123")
-#: Frequent words of the corpus itself that join the dictionary, after WORDS.
-DICTIONARY = 1 << 14
 _LEET = str.maketrans("4@8301!57$", "aabeoiists")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-#: The longest block whose repeats count as one span. Runs and walks of any length do; those that end at a place and begin before
-#: it are tried with each of so many lengths, and whole.
-_SPAN = 256
+#: A place after this many others without a cheap one is past all words and dates that began before them.
+_PAST = 10
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -93,64 +90,111 @@ def _alphabet(c: str) -> float:
     return math.log2(33) if c.isascii() else math.log2(256)
 
 
+def _length(n: int) -> float:
+    """What it costs to say how long a segment of any length is in a value of n characters."""
+    return 2.0 * math.log2(1.0 + math.log2(n)) if n else 0.0
+
+
 class Guesser:
-    """Guess costs with a ranked dictionary: WORDS, then `words`."""
+    """Guess costs with a ranked dictionary: WORDS, then `words`. The dictionary is fixed, so that what is a secret in one document
+    does not depend on others, among which may be copies of it."""
 
     def __init__(self, words: Iterable[str] = ()):
         self.rank: dict[str, int] = {}
         for w in (*WORDS, *words):
             self.rank.setdefault(w, len(self.rank) + 1)
-        self.longest = max(map(len, self.rank))
-        self.bits = lru_cache(maxsize=4096)(lambda value: _bits(value, self.rank, self.longest))
-
-
-def _bits(value: str, ranks: dict[str, int], longest: int) -> float:
-    """log2 of the guesses for the cheapest segmentation of the value; 0 for an empty one."""
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
-    brute = [0.0] + [math.inf] * n  # cheapest that ends in a brute-force character
-    walk = [0] * (n + 1)  # length of the keyboard walk that ends here
-    turns = [0] * (n + 1)
-    run = [0] * (n + 1)  # length of the run of one character that ends here
-    again = [0] * (_SPAN + 1)  # for each distance, how many characters up to here equal those so far before
-    date_ends: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        if value[i].isdigit():
-            for m in _DATE.finditer(value, i, min(n, i + 10)):
-                if m.start() == i:
-                    date_ends.setdefault(m.end(), []).append((i, math.log2(365.25 * 80 * 4) if m.end() - i > 4 else math.log2(120)))
-                break
-    for end in range(1, n + 1):
-        c = low[end - 1]
-        prev = low[end - 2] if end > 1 else ""
-        run[end] = run[end - 1] + 1 if c == prev else 1
-        adjacent = prev and c in _NEAR.get(prev, ())
-        walk[end] = walk[end - 1] + 1 if adjacent else 1
-        turns[end] = (turns[end - 1] + (end > 2 and walk[end - 1] > 1 and ord(c) - ord(prev) != ord(prev) - ord(low[end - 3]))) if adjacent else 0
-        # a new brute-force span pays for its place among the segments, a longer one only for its character
-        brute[end] = min(brute[end - 1], best[end - 1] + 1.0) + _alphabet(value[end - 1])
-        cheapest = brute[end]
-        if run[end] >= 3:
-            for length in {*range(3, min(run[end], _SPAN) + 1), run[end]}:
-                cheapest = min(cheapest, best[end - length] + 1.0 + _alphabet(c) + math.log2(length))
-        if walk[end] >= 4:
-            for length in {*range(4, min(walk[end], _SPAN) + 1), walk[end]}:
-                cheapest = min(cheapest, best[end - length] + 1.0 + math.log2(len(_NEAR) * length) + 2.0 * (turns[end] + 1))
-        for size in range(2, min(_SPAN, end - 1) + 1):  # a block repeated
-            again[size] = again[size] + 1 if c == low[end - 1 - size] else 0
-            if (times := again[size] // size + 1) >= 2:
-                cheapest = min(cheapest, best[end - times * size] + 1.0 + sum(map(_alphabet, value[end - size : end])) + math.log2(times))
-        for size in range(3, min(longest, end) + 1):
-            for word, extra in ((low[end - size : end], 0.0), (plain[end - size : end], 2.0), (low[end - size : end][::-1], 1.0)):
-                if (rank := ranks.get(word)) is not None:
+        self.past = max(_PAST, *map(len, self.rank))
+        self.ends: tuple[dict[str, set[int]], dict[str, set[int]]] = {}, {}  # lengths of words, and of words read backwards, by their last three letters
+        for w in self.rank:
+            for ends, form in zip(self.ends, (w, w[::-1]), strict=True):
+                ends.setdefault(form[-3:], set()).add(len(w))
+        self.bits = lru_cache(maxsize=4096)(self._bits)
+
+    def _words(self, value: str, low: str, plain: str, end: int) -> Iterator[tuple[int, float]]:
+        """Length and cost of each reading as a word of what ends here."""
+        for ends, text, extra, step in ((self.ends[0], low, 0.0, 1), (self.ends[0], plain, 2.0, 1), (self.ends[1], low, 1.0, -1)):
+            for size in ends.get(text[end - 3 : end], ()) if end >= 3 else ():
+                if size <= end and (rank := self.rank.get(text[end - size : end][::step])) is not None:
                     own = value[end - size : end]
                     case = 0.0 if own == own.lower() else 1.0 if own in (own.upper(), own.capitalize()) else float(size) / 2
-                    cheapest = min(cheapest, best[end - size] + 1.0 + math.log2(rank + 1) + extra + case)
-        for start, bits in date_ends.get(end, ()):
-            cheapest = min(cheapest, best[start] + 1.0 + bits)
-        best[end] = cheapest
-    return best[n]
+                    yield size, math.log2(rank + 1) + extra + case
+
+    def _bits(self, value: str, limit: float = math.inf) -> float:
+        """log2 of the guesses for the cheapest segmentation of the value; 0 for an empty one. With a limit the answer may be any
+        number on the same side of it.
+
+        Segments: brute-force characters; a word; a date; a run of one character or a walk over neighbouring keys of any length;
+        and a repeat, which goes on as the text did after the latest earlier place with the same three characters, for as long as
+        it does or shorter. Each is tried from the cheapest of its possible starts, so the time is in proportion to the length
+        (repeats: to n log n), whatever the value repeats."""
+        n, low = len(value), value.lower()
+        if len(low) != n:  # a letter whose lower case is longer
+            low = "".join(c if len(x := c.lower()) != 1 else x for c in value)
+        plain = low.translate(_LEET)
+        length = _length(n)
+        best, brute = [0.0] + [math.inf] * n, [0.0] + [math.inf] * n
+        turns = [0] * (n + 1)  # changes of direction on the keyboard so far
+        run = walk = 1
+        from_run = from_walk = math.inf
+        repeats: list[tuple[float, int]] = []  # cost at the start, and how far it goes, cheapest first
+        seen: dict[str, int] = {}
+        agree: dict[int, int] = {}  # for a distance, up to where the text agrees with itself
+        dates: dict[int, list[tuple[int, float]]] = {}
+        last_cheap = 0
+        for end in range(1, n + 1):
+            c, prev = low[end - 1], low[end - 2] if end > 1 else ""
+            if c.isdigit() and (m := _DATE.match(value, end - 1, min(n, end + 9))):
+                dates.setdefault(m.end(), []).append((end - 1, math.log2(365.25 * 80 * 4) if m.end() - end + 1 > 4 else math.log2(120)))
+            # A new brute-force span pays for its place among the segments, a longer one only for its character.
+            cheapest = brute[end] = min(brute[end - 1], best[end - 1] + 1.0) + _alphabet(value[end - 1])
+            run = run + 1 if c == prev else 1
+            from_run = min(from_run, best[end - 3]) if run >= 3 else math.inf
+            cheapest = min(cheapest, from_run + 1.0 + _alphabet(c) + length)
+            walk = walk + 1 if prev and c in _NEAR.get(prev, ()) else 1
+            turns[end] = turns[end - 1] + (walk > 2 and ord(c) - ord(prev) != ord(prev) - ord(low[end - 3]))
+            from_walk = min(from_walk, best[end - 4] - 2.0 * turns[end - 2]) if walk >= 4 else math.inf
+            cheapest = min(cheapest, from_walk + 1.0 + math.log2(len(_NEAR)) + length + 2.0 * (turns[end] + 1))
+            if end >= 3:
+                start, three = end - 3, low[end - 3 : end]
+                if (before := seen.get(three)) is not None:
+                    away = start - before
+                    if agree.get(away, 0) < end:
+                        agree[away] = _agreement(low, end, away)
+                    cost = best[start] + 1.0 + math.log2(away) + length
+                    if agree[away] == n and cost < limit < math.inf:
+                        return cost
+                    if not repeats or cost < repeats[0][0] or agree[away] > repeats[0][1]:
+                        heappush(repeats, (cost, agree[away]))
+                seen[three] = start
+                while repeats and repeats[0][1] < end:
+                    heappop(repeats)
+                if repeats:
+                    cheapest = min(cheapest, repeats[0][0])
+            for size, cost in self._words(value, low, plain, end):
+                cheapest = min(cheapest, best[end - size] + 1.0 + cost)
+            for start, cost in dates.get(end, ()):
+                cheapest = min(cheapest, best[start] + 1.0 + cost)
+            best[end] = cheapest
+            if cheapest < limit:
+                last_cheap = end
+            elif end - last_cheap > self.past and min(from_run, from_walk + 2.0 * turns[end]) >= limit and not (repeats and repeats[0][0] < limit):
+                return cheapest  # no segment that may still end began where it was cheap
+        return best[n]
+
+
+def _agreement(text: str, at: int, away: int) -> int:
+    """Up to where the text from `at` on equals itself `away` before."""
+    n, step = len(text), 16
+    growing = True
+    while step:
+        size = min(step, n - at)
+        if size and text[at : at + size] == text[at - away : at - away + size]:
+            at += size
+            step = 2 * step if growing else step // 2
+        else:
+            growing = False
+            step //= 2
+    return at
 
 
 _PLAIN = Guesser()
@@ -183,7 +227,7 @@ def find(text: str | None, guesser: Guesser = _PLAIN) -> list[tuple[int, int, st
             held = max([a, *(y for x, y in taken if x <= a < y)])  # a fixed format covers the value up to here
             if held >= b or held > a and _NEXT.match(text, held, b):
                 at = max(held, a + 1)
-            elif len(value) >= 6 and guesser.bits(value) >= _least(m, value):
+            elif len(value) >= 6 and guesser.bits(value, least := _least(m, value)) >= least:
                 found.append((a, b, "guess"))
                 at = b
             else:  # no part of a cheap value is dear, but its end may be a context of what follows
@@ -209,26 +253,11 @@ def redact(text: str | None, spans: list[tuple[int, int, str]] | None = None, ma
     return "".join([*out, text[at:]])
 
 
-def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> list[str]:
-    """The most frequent words (3 to 24 letters a-z, case aside) of all whole texts, most frequent first, ties in order: what a
-    guesser of this corpus would try. Words of one occurrence are left out; `most` words reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 0):
-                words = pc.split_pattern_regex(pc.ascii_lower(batch.column(0)), "[^a-z]+").flatten()
-                sizes = pc.binary_length(words)
-                found = words.filter(pc.and_(pc.greater_equal(sizes, 3), pc.less_equal(sizes, 24))).value_counts()
-                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["w", "n"])
-
-    counts = docs.select(F.col(text).alias("t")).where("t is not null").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
-
-
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: list[str] | None = None, redacted: bool = True) -> DataFrame:
     """The columns `keep` with n_assign, n_access, n_hex, base_sha256, spans and, if asked for, redacted (the text without its secrets).
 
-    words: a ranked dictionary beside WORDS, of bounded size, as frequent_words makes it. A null text counts as empty for the
+    words: a ranked dictionary beside WORDS, of bounded size; one that comes from the documents themselves would hide secrets that
+    stand in several of them. A null text counts as empty for the
     counts and spans and stays null in `redacted`. Each row stands alone, so repeated rows, ties and empty tables need no rule;
     columns other than `keep` and the text are not read.
     """
