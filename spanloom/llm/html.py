@@ -1,7 +1,9 @@
 """Main-text extraction from web pages by composite text density.
 
 A page becomes a DOM; parts that by their tag or role are menus, scripts and the like are left out. Class names, ids and the
-form tag speak against a part, which is left out too unless it holds a main element or most of the page's text outside links.
+form tag speak against a part. Names of adverts, notices, menus, comments and the like leave it out wherever anything else has
+text; vaguer ones unless it holds a main element or the densest subtree of what is left, or unless all parts of these names side by
+side are denser together than all that would stay.
 For every remaining node the composite text density is computed: characters per tag, adjusted for links against the
 page's overall share of link text. A node's density sum is the sum of its children's densities; the subtree with the
 largest sum is the main text, together with those others whose nodes reach the threshold, the least density on the path
@@ -59,30 +61,31 @@ _DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner sidebar "
     "sidebars menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices notification disclaimer "
     "popup modal overlay lightbox newsletter subscribe subscription signup signin login share sharing sharebar social related recommended recommendations widget widgets pagination "
-    "pager paging toolbar skip skiplink search searchbox searchform paywall alert comment comments commentlist discussion disqus respond replies reply feedback outbrain taboola hidden".split()
+    "pager paging toolbar skip skiplink search searchbox searchform paywall alert comment comments commentlist discussion disqus respond replies reply reactions reaction responses guestbook feedback outbrain taboola hidden".split()
 )
-_COMMENTS = frozenset("comment comments commentlist discussion disqus respond replies reply".split())
+_COMMENTS = frozenset("comment comments commentlist discussion disqus respond replies reply reactions reaction responses guestbook".split())
+#: Those that in one name with a word for text (paywall-content, widget-body) name that text itself.
+_WRAPPERS = frozenset("widget widgets paywall overlay modal popup hidden skip social subscription subscribe alert".split())
+#: Names that may as well be those of an article's own parts.
+_VAGUE = _WRAPPERS | frozenset("promo promos promotion promoted related recommended recommendations sponsored share sharing sharebar feedback banner masthead".split())
+_TEXT_NAMES = frozenset("content body text article post story entry main feature".split())
 _MAIN = frozenset(["article", "main"])
 #: First and last parts of names that tell the state of a part that is something else (has-sidebar, comments-open),
 #: and first parts of page builders' names, whose widgets are containers of any content.
 _STATES, _STATES_AFTER = frozenset("has no not non with without".split()), frozenset("open opened closed off enabled disabled".split())
 _BUILDERS = frozenset("elementor et wp fl vc siteorigin so panel wpb fusion avia brxe".split())
-#: Shares of the page's text outside links from which a part stays that its name or the form tag speaks against: of the text
-#: outside comments, and of all of it for comments and for parts outside the page's main elements.
-_MOST, _NEARLY_ALL = 0.5, 0.9
-
-
 #: The density is a logarithm to a base that tends to 1 on pages without links; it is kept off 1.
 _LEAST_BASE = 1.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "doubt", "comments", "main", "holds_main", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubt", "comments", "main", "holds_main", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[_Node | str] = []
         self.dropped = self.doubt = self.comments = self.main = self.holds_main = False
+        self.names: frozenset[str] = frozenset()
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool, bool]:
@@ -98,6 +101,8 @@ def _names(attributes: str) -> tuple[set[str], str, bool, bool]:
                     continue
                 if len(own) > 1 and own[0] in _BUILDERS:
                     own = [x for x in own if x not in ("widget", "widgets")]
+                if not _TEXT_NAMES.isdisjoint(own):
+                    own = [x for x in own if x not in _WRAPPERS]
                 parts.update(own)
         elif name == "role":
             role = value.strip().lower()
@@ -222,7 +227,7 @@ def _judge(node: _Node, attributes: str, in_main: bool) -> None:
     """Marks the node as dropped for its tag or role, or as doubtful for its names or as a form; _settle decides on those."""
     names, role, hidden, body = _names(attributes) if attributes.strip() else (set(), "", False, False)
     main = node.tag in _MAIN or role in ("main", "article") or body
-    node.comments = bool(names & _COMMENTS)
+    node.comments, node.names = bool(names & _COMMENTS), frozenset(names & _DROPPED_NAMES)
     if main and not node.comments:
         node.main = node.holds_main = True
     node.dropped = node.tag in _DROPPED or hidden or role in _DROPPED_ROLES
@@ -233,8 +238,8 @@ def _judge(node: _Node, attributes: str, in_main: bool) -> None:
 
 
 def _settle(root: _Node) -> list[_Node]:
-    """The nodes in document order. Elements stay that hold a main element, unless their tag is dropped, and doubtful ones that
-    hold most of the page's text outside links."""
+    """The nodes in document order. Elements stay that hold a main element, unless their tag is dropped, and of doubtful ones those
+    that hold the densest subtree there is, with their siblings of the same tag and names."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -247,30 +252,50 @@ def _settle(root: _Node) -> list[_Node]:
             node.doubt = False
             if node.tag not in _DROPPED:
                 node.dropped = False
-    if not any(n.doubt for n in order):
+    doubts = [n for n in order if n.doubt and not n.dropped]
+    if not doubts:
         return order
-    everything, in_comments = _plain(order)
-    within: set[int] = set()  # the nodes inside main elements
-    for node in order:  # an outer part first; what it keeps may hold others that go
-        if node.parent is not None and (node.parent.main or id(node.parent) in within):
-            within.add(id(node))
-        if node.doubt:
-            apart = root.holds_main and id(node) not in within
-            most, whole = (_NEARLY_ALL, everything) if node.comments or apart else (_MOST, everything - in_comments)
-            node.dropped = not 0 < most * whole < node.plain
-    return order
-
+    body = next((n for n in order if n.tag == "body"), root)
+    certain = [n for n in doubts if not n.names <= _VAGUE]
+
+    def weigh(*parts: list[_Node]) -> _Node:
+        """The densest subtree without these parts."""
+        for node in doubts:
+            node.dropped = False
+        for node in (n for part in parts for n in part):
+            node.dropped = True
+        hidden, body.dropped = body.dropped, False
+        _measure(order, body)
+        body.dropped = hidden
+        return _densest(body)[id(body)]
+
+    def hold(node: _Node | None) -> None:
+        while node is not None:
+            if node.doubt:
+                held.add(group(node))
+            node = node.parent
 
-def _plain(order: list[_Node]) -> tuple[int, int]:
-    """Sets each node's characters outside links and dropped parts, without those of doubtful comments inside it; the page's, and
-    those in doubtful comments."""
-    in_comments = 0
-    for node in reversed(order):
-        n = sum(len(" ".join(c.split())) if isinstance(c, str) else 0 if c.doubt and c.comments else c.plain for c in node.children)
-        node.plain = 0 if node.dropped or node.tag == "a" else n
-        if node.comments and node.doubt:
-            in_comments += node.plain
-    return order[0].plain + in_comments, in_comments
+    group = lambda n: (id(n.parent), n.tag, n.names)
+    held: set[tuple] = set()
+    best = weigh(certain)
+    if body.chars == body.link_chars:  # nothing else has text
+        certain, best = [n for n in certain if n.comments], weigh([n for n in certain if n.comments])
+        if body.chars == body.link_chars:
+            certain, best = [], weigh()
+    if best.total:
+        hold(best)
+    sums: dict[tuple, float] = Counter()
+    of: dict[tuple, _Node] = {}
+    for node in doubts:
+        if not node.dropped and group(node) not in held:
+            sums[group(node)] += node.density
+            of.setdefault(group(node), node)
+    left = weigh(certain, [n for n in doubts if group(n) not in held]).total
+    if sums and (most := max(sums, key=lambda k: sums[k])) and sums[most] > left:
+        hold(of[most])
+    for node in doubts:
+        node.dropped = group(node) not in held
+    return order
 
 
 def _measure(order: list[_Node], body: _Node) -> None:
@@ -297,18 +322,27 @@ def _measure(order: list[_Node], body: _Node) -> None:
             node.total = max(node.total, node.density)  # text of its own counts as a child
 
 
-def _select(body: _Node) -> list[_Node]:
-    """The nodes of the main text, in document order, none inside another."""
-
+def _kept(body: _Node) -> list[_Node]:
     order, stack = [], [body]
     while stack:
         x = stack.pop()
         order.append(x)
         stack.extend(c for c in reversed(x.children) if isinstance(c, _Node) and not c.dropped)
-    top_of: dict[int, _Node] = {}  # for each node the one with the largest sum in its subtree, the first of equals
-    for x in reversed(order):
+    return order
+
+
+def _densest(body: _Node) -> dict[int, _Node]:
+    """For each node the one with the largest sum in its subtree, the first of equals."""
+    top_of: dict[int, _Node] = {}
+    for x in reversed(_kept(body)):
         below = [top_of[id(c)] for c in x.children if isinstance(c, _Node) and not c.dropped]
         top_of[id(x)] = max([x, *below], key=lambda y: y.total)
+    return top_of
+
+
+def _select(body: _Node) -> list[_Node]:
+    """The nodes of the main text, in document order, none inside another. The page's only h1 is one, where it comes before them."""
+    order, top_of = _kept(body), _densest(body)
     best = top_of[id(body)]
     node = best
     while node is not None and node is not body:
@@ -327,6 +361,9 @@ def _select(body: _Node) -> list[_Node]:
     for x in order:
         if x is not body and x.density >= threshold and x.chars:
             chosen.add(id(top_of[id(x)]))
+    titles = [x for x in order if x.tag == "h1"]
+    if best.total and len(titles) == 1 and order.index(titles[0]) < order.index(best):
+        chosen.add(id(titles[0]))
     found, stack = [], [body]
     while stack:
         x = stack.pop()
