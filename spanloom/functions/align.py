@@ -123,17 +123,78 @@ def _trace(query: np.ndarray, reference: np.ndarray, s: Scoring) -> str:
     return "".join(reversed(out))
 
 
-def align(query: str, reference: str, scoring: Scoring = DEFAULT) -> Alignment | None:
-    """The best local alignment; None if no letters match. Of equal ones that which ends first, and then is shortest, on the
-    reference."""
+def locate(query: str, reference: str, scoring: Scoring = DEFAULT) -> tuple[int, int, int, int, int] | None:
+    """score, ref_begin, ref_end, query_begin and query_end of the best local alignment, as align() has it, without its operations."""
     q, r = encode(query), encode(reference)
     if not len(q) or not len(r):
         return None
-    score, qe, re_ = _best(q, r, scoring)
+    return _located(q, r, scoring, *_best(q, r, scoring))
+
+
+def _located(q: np.ndarray, r: np.ndarray, s: Scoring, score: int, qe: int, re_: int) -> tuple[int, int, int, int, int] | None:
+    """Finds where an alignment with this end begins, going backwards no further than its score can pay for gaps."""
     if score <= 0:
         return None
-    _, back_q, back_r = _best(q[qe::-1], r[re_::-1], scoring)
-    qb, rb = qe - back_q, re_ - back_r
+    longest = (qe + 1) * (1 + s.match // max(1, s.gap_extend)) + 1
+    _, back_q, back_r = _best(q[qe::-1], r[max(0, re_ - longest) : re_ + 1][::-1], s)
+    return score, re_ - back_r, re_, qe - back_q, qe
+
+
+#: Cells of a row that several queries take together.
+_CELLS = 1 << 15
+
+
+def locate_many(queries: list[str], reference: str, scoring: Scoring = DEFAULT) -> list[tuple[int, int, int, int, int] | None]:
+    """locate() of each query against one reference, several at a time."""
+    r = encode(reference)
+    codes = [encode(q) for q in queries]
+    out: list[tuple[int, int, int, int, int] | None] = [None] * len(queries)
+    order = [i for i in sorted(range(len(queries)), key=lambda i: -len(codes[i])) if len(codes[i]) and len(r)]
+    step = max(1, _CELLS // (len(r) + 1))
+    for k in range(0, len(order), step):
+        some = order[k : k + step]
+        for i, best in zip(some, _best_of_many([codes[i] for i in some], r, scoring), strict=True):
+            out[i] = _located(codes[i], r, scoring, *best)
+    return out
+
+
+def _best_of_many(queries: list[np.ndarray], reference: np.ndarray, s: Scoring) -> list[tuple[int, int, int]]:
+    """_best() of each query; the longest comes first."""
+    rows, m = s.rows(reference), len(reference)
+    sizes = np.array([len(q) for q in queries])
+    padded = np.zeros((len(queries), sizes[0]), dtype=np.int8)
+    for i, q in enumerate(queries):
+        padded[i, : len(q)] = q
+    h, f = np.zeros((len(queries), m + 1), dtype=np.int32), np.full((len(queries), m + 1), _NONE, dtype=np.int32)
+    ramp = np.arange(m + 1, dtype=np.int32) * s.gap_extend
+    best = np.zeros((len(queries), 3), dtype=np.int64)
+    best[:, 1:] = -1
+    for i in range(sizes[0]):
+        n = int(np.searchsorted(-sizes, -i, "left"))  # queries of more than i letters
+        h, f = h[:n], f[:n]
+        f = np.maximum(f - s.gap_extend, h - s.gap_open)
+        new = np.zeros((n, m + 1), dtype=np.int32)
+        np.maximum(h[:, :-1] + rows[padded[:n, i]], 0, out=new[:, 1:])
+        np.maximum(new, f, out=new)
+        new[:, 0] = 0
+        reach = np.maximum.accumulate(new + ramp, axis=1)
+        np.maximum(new[:, 1:], reach[:, :-1] - ramp[:-1] - s.gap_open, out=new[:, 1:])
+        h = new
+        j = h.argmax(axis=1)
+        top = h[np.arange(n), j]
+        better = (top > best[:n, 0]) | (top == best[:n, 0]) & (top > 0) & (j - 1 < best[:n, 2])
+        at = np.flatnonzero(better)
+        best[at, 0], best[at, 1], best[at, 2] = top[at], i, j[at] - 1
+    return [tuple(b) for b in best.tolist()]
+
+
+def align(query: str, reference: str, scoring: Scoring = DEFAULT) -> Alignment | None:
+    """The best local alignment; None if no letters match. Of equal ones that which ends first, and then is shortest, on the
+    reference."""
+    if (found := locate(query, reference, scoring)) is None:
+        return None
+    q, r = encode(query), encode(reference)
+    score, rb, re_, qb, qe = found
     ops = _trace(q[qb : qe + 1], r[rb : re_ + 1], scoring)
     runs, last = [], None
     for o in ops:
