@@ -5,19 +5,18 @@ One sequence and the stretch of reference around its cluster pair are a group's,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.functions.align import PADDING, TO_BASE, Alignment, align
+from spanloom.functions.align import PADDING, TO_BASE, Scoring, align, encode
 from spanloom.operators.assembly import assemble
 from spanloom.operators.grouped import fold_groups
 
 _PAD = "N" * PADDING
-_RUNS = re.compile(r"(\d+)([MIDNSHP=X])")
 #: What becomes of a cluster pair's assembly.
 STATUSES = ("OK", "NO_SEQUENCE", "TOO_MANY_READS", "HAS_CYCLE", "BAD_ANCHORS", "HAS_N", "MICROHOMOLOGY_TOO_LONG", "TOO_SHORT")
 #: Fixed value: the longest microhomology.
@@ -39,103 +38,81 @@ class Placed:
     right_good: bool
 
 
-def _shift(a: Alignment | None, by: int) -> Alignment | None:
-    return None if a is None else Alignment(a.score, a.ref_begin + by, a.ref_end + by, a.query_begin, a.query_end, a.mismatches, a.cigar)
-
-
-def _covers(a: Alignment | None, size: int, least_clip: int, least_insertion: int) -> bool:
-    """All of the query but less than a clip at each end, with insertions of less than an event in all."""
-    inserted = 0 if a is None else sum(int(n) for n, op in _RUNS.findall(a.cigar) if op == "I")
-    return a is not None and a.query_begin < least_clip and a.query_end > size - 1 - least_clip and inserted < least_insertion
-
-
-def _anchored(a: Alignment | None, size: int, left: bool, least_clip: int) -> bool:
-    reaches = a is not None and (a.query_begin == 0 if left else a.query_end == size - 1)
-    return reaches and a.query_end - a.query_begin >= least_clip + PADDING
-
-
-def _scores(cigar: str) -> list[int]:
-    """Score up to each base of the reference from the alignment's beginning, none at first."""
-    out, score = [0], 0
-    for n, op in _RUNS.findall(cigar):
-        n = int(n)
-        if op in "=X":
-            step = 1 if op == "=" else -4
-            out += [score + step * (k + 1) for k in range(n)]
-            score = out[-1]
-        elif op in "DI":
-            out += [score] * (n if op == "D" else 0)
-            score -= 6 + n
-    return out
-
-
-def _without_padding(cigar: str, backwards: bool) -> str:
-    """Operations from the padded end inward, without those of the padding."""
-    runs = [(int(n), op) for n, op in _RUNS.findall(cigar) if op != "S"]
-    runs, left, out = runs[::-1] if backwards else runs, PADDING, []
-    for n, op in runs:
-        drop = min(n, left) if op in "=XI" else 0
-        left -= drop
-        out.append(f"{n - drop}{op}" if n > drop else "")
-    return "".join(out)
-
-
-def _halves(seq: str, ref: str, least_clip: int, least_insertion: int) -> tuple[str, str, Alignment | None, Alignment | None]:
-    """The sequence cut in two where both parts align, found by bisection: where only the left part does the cut moves right, where
-    only the right one does it moves left."""
-    low, high = 0, len(seq)
-    left = right = ""
-    a = b = None
-    while (cut := (low + high) // 2) != low:
-        left, right = _PAD + seq[:cut], seq[cut:] + _PAD
-        a, b = align(left, ref, TO_BASE), align(right, ref, TO_BASE)
-        fits = [_covers(x, len(half), least_clip, least_insertion) for x, half in ((a, left), (b, right))]
-        if fits[0] == fits[1]:
-            break
-        low, high = (cut, high) if fits[0] else (low, cut)
-    return left, right, a, b
-
-
-def place(contigs: list[str], ref: str, least_clip: int = 15, least_insertion: int = 50) -> Placed | None:
-    """Where the first contig leaves the reference and comes back. Where its parts align over each other, the reference is cut at
-    the base at which what the left one scores up to it and the right one after it is most. If only one of its ends is anchored,
-    the second contig may be the other half; then a `-` in the sequence stands for what is missing. None if nothing aligns."""
-    left, right, a, b = _halves(contigs[0], ref, least_clip, least_insertion)
-    if a is None or b is None:
+@dataclass(frozen=True)
+class _Reach:
+    """What the beginnings of a sequence earn on the reference: for each base of it the best score of those that end at or before it,
+    how many letters that beginning has, and the base where it ends."""
+
+    score: np.ndarray
+    letters: np.ndarray
+    base: np.ndarray
+
+
+def _beginnings(seq: np.ndarray, ref: np.ndarray, s: Scoring = TO_BASE) -> _Reach:
+    """Each beginning is aligned from its first letter on, wherever on the reference; of equal scores the shorter, then the earlier."""
+    rows, m = s.rows(ref), len(ref)
+    ramp = np.arange(m + 1, dtype=np.int32) * s.gap_extend
+    h, f = np.zeros(m + 1, dtype=np.int32), np.full(m + 1, -(1 << 28), dtype=np.int32)
+    best, letters = np.zeros(m, dtype=np.int32), np.zeros(m, dtype=np.int64)
+    for i, c in enumerate(seq.tolist()):
+        f = np.maximum(f - s.gap_extend, h - s.gap_open)
+        new = f.copy()
+        np.maximum(new[1:], h[:-1] + rows[c], out=new[1:])
+        reach = np.maximum.accumulate(new + ramp)
+        np.maximum(new[1:], reach[:-1] - ramp[:-1] - s.gap_open, out=new[1:])
+        h = new
+        more = h[1:] > best
+        best[more], letters[more] = h[1:][more], i + 1
+    top = np.maximum.accumulate(best)
+    base = np.maximum.accumulate(np.where(best == top, np.where(np.append(True, top[1:] > top[:-1]), np.arange(m), 0), 0))
+    return _Reach(top, letters[base], base)
+
+
+def _cut(left: str, right: str, ref: str) -> tuple[int, int, int]:
+    """Where to cut the reference so that a beginning of `left` before it and an ending of `right` after it earn most, the first of
+    equals: the last base before the cut, and how many letters of left and right these are."""
+    r = encode(ref)
+    before, after = _beginnings(encode(left), r), _beginnings(encode(right)[::-1], r[::-1])
+    total = before.score[:-1] + after.score[::-1][1:]
+    at = int(total.argmax())
+    return at, int(before.letters[at]), int(after.letters[len(ref) - 2 - at])
+
+
+def _placed(left: str, right: str, ref: str, least_clip: int) -> Placed | None:
+    """The left sequence's beginning and the right one's ending on both sides of the best cut; they are one sequence, or two whose
+    other ends are open."""
+    if len(ref) < 2:
         return None
-    good = [_anchored(a, len(left), True, least_clip), _anchored(b, len(right), False, least_clip)]
-    if all(good):
-        begin, end = a.ref_begin + PADDING, b.ref_end - PADDING
-        low, high = max(begin, b.ref_begin), min(a.ref_end, end)
-        if low <= high and end - begin >= 2 * least_clip:
-            up, down = _scores(_without_padding(a.cigar, False)), _scores(_without_padding(b.cigar, True))
-            best = max(range(low, high + 1), key=lambda i: (up[min(i - begin + 1, len(up) - 1)] + down[min(end - i, len(down) - 1)], -i))
-            a, b = align(left, ref[: best + 1], TO_BASE), _shift(align(right, ref[best + 1 :], TO_BASE), best + 1)
-        elif b.ref_begin <= a.ref_end:  # the parts lie the wrong way round: the weaker one is aligned again, beyond the other
-            if a.score >= b.score:
-                b = _shift(align(right, ref[a.ref_end + 1 :], TO_BASE), a.ref_end + 1)
-            else:
-                a = align(left, ref[: b.ref_begin], TO_BASE)
-        good = [_anchored(a, len(left), True, least_clip), _anchored(b, len(right), False, least_clip)]
-    middle = None
-    if a is not None and b is not None:
-        middle = left[a.query_end + 1 :] + right[: b.query_begin]
-    if good[0] != good[1] and len(contigs) > 1:
-        if good[1]:
-            other = _PAD + contigs[1]
-            a = align(other, ref[: b.ref_begin], TO_BASE)
-            piece = "" if a is None else other[a.query_end + 1 :]
-            good[0] = len(piece) >= least_clip and _anchored(a, len(other), True, least_clip)
-            middle = f"{piece}-{left[PADDING:]}{right[: b.query_begin]}"
-        else:
-            other = contigs[1] + _PAD
-            b = _shift(align(other, ref[a.ref_end + 1 :], TO_BASE), a.ref_end + 1)
-            piece = "" if b is None else other[: b.query_begin]
-            good[1] = len(piece) >= least_clip and _anchored(b, len(other), False, least_clip)
-            middle = f"{left[a.query_end + 1 :]}{right[: len(right) - PADDING]}-{piece}"
+    at, n, k = _cut(_PAD + left, right + _PAD, ref)
+    n, k = max(n - PADDING, 0), max(k - PADDING, 0)
+    if left is right:
+        k = min(k, len(left) - n)  # no letter counts on both sides
+    a, b = align(_PAD + left[:n], ref[: at + 1], TO_BASE), align(right[len(right) - k :] + _PAD, ref[at + 1 :], TO_BASE)
     if a is None or b is None:
         return None
-    return Placed(a.ref_end, b.ref_begin - 1, middle, (a.ref_begin + PADDING, a.ref_end), (b.ref_begin, b.ref_end - PADDING), a.cigar, b.cigar, *good)
+    low = at + 1 + b.ref_begin
+    high = at + 1 + b.ref_end
+    held = max(a.query_end + 1 - PADDING, 0), k - b.query_begin  # letters of the sequences that the anchors hold
+    seq = left[held[0] : len(left) - held[1]] if left is right else f"{left[held[0] :]}-{right[: len(right) - held[1]]}"
+    good = a.query_begin == 0 and held[0] >= least_clip, b.query_end == k + PADDING - 1 and held[1] >= least_clip
+    return Placed(a.ref_end, low - 1, seq, (a.ref_begin + PADDING, a.ref_end), (low, high - PADDING), a.cigar, b.cigar, *good)
+
+
+def place(contigs: list[str], ref: str, least_clip: int = 15) -> Placed | None:
+    """Where the first sequence leaves the reference and comes back. If it is anchored at one end only, the second sequence may be
+    the other half, which has a clip's letters beyond its anchor at least; then a `-` stands for what is missing between them. None
+    if nothing aligns."""
+    if not contigs or not contigs[0]:
+        return None
+    whole = _placed(contigs[0], contigs[0], ref, least_clip)
+    if whole is None or whole.left_good == whole.right_good or len(contigs) < 2 or not contigs[1]:
+        return whole
+    first, second = (contigs[0], contigs[1]) if whole.left_good else (contigs[1], contigs[0])
+    halves = _placed(first, second, ref, least_clip)
+    if halves is None:
+        return whole
+    piece = halves.seq.split("-")[whole.left_good]
+    return halves if halves.left_good and halves.right_good and len(piece) >= least_clip else whole
 
 
 def judge(placed: Placed | None, ref: str, least_insertion: int = 50) -> tuple[str, Placed | None]:
@@ -160,18 +137,18 @@ _SCHEMA = "status string, contig string, start long, end long, seq string, left_
 def assembled_insertions(reads: DataFrame, group: str, order: list[str], least: int, read_len: int, least_insertion: int = 50) -> DataFrame:
     """A row for each group, what became of its assembly, and the insertion if there is one.
 
-    reads: group, seq, layer (1 to 3), order, and contig, ref and low: the stretch of reference around the group and where it
-    begins, the same in all rows of a group. Groups are bounded (see assembly.MOST_READS) and streamed."""
+    reads: group, seq, layer (1 to 3), order, contig and low, the same in all rows of a group, and ref, the stretch of reference around
+    it, which begins at low; one row of a group that has it is enough. Groups are bounded (see assembly.MOST_READS) and streamed."""
     kind = reads.schema[group].dataType.simpleString()
 
     def fold(rows: list[dict]) -> list[tuple]:
-        head = rows[0]
+        head, ref = rows[0], next((r["ref"] for r in rows if r["ref"] is not None), "")
         status, contigs = assemble([(r["seq"], r["layer"], True, True) for r in rows], least, read_len)
         call = None
         if status == "OK" and not contigs:
             status = "NO_SEQUENCE"
         if status == "OK":
-            status, call = judge(place(contigs, head["ref"], least, least_insertion), head["ref"], least_insertion)
+            status, call = judge(place(contigs, ref, least), ref, least_insertion)
         if call is None:
             return [(head[group], status, head["contig"], *[None] * 7, len(contigs))]
         low, spans = head["low"], lambda x: f"{head['low'] + x[0]}-{head['low'] + x[1]}"
@@ -181,7 +158,7 @@ def assembled_insertions(reads: DataFrame, group: str, order: list[str], least:
 
 
 def place_sequences(df: DataFrame, seqs: str, ref: str, least_clip: int = 15, least_insertion: int = 50) -> DataFrame:
-    """Adds status, start, end and seq of the insertion that the row's assembled sequences (an array, the best first) make in its
+    """Adds status, start, end, seq, the anchors (a-b) and their CIGARs of the insertion that the row's assembled sequences (an array, the best first) make in its
     stretch of reference; null and empty ones are BAD_ANCHORS."""
     names = df.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -189,9 +166,11 @@ def place_sequences(df: DataFrame, seqs: str, ref: str, least_clip: int = 15, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(names.index(seqs)).to_pylist(), batch.column(names.index(ref)).to_pylist(), strict=True)
-            found = [judge(place(s, r, least_clip, least_insertion) if s and r else None, r or "", least_insertion) for s, r in pairs]
+            found = [judge(place(s, r, least_clip) if s and r else None, r or "", least_insertion) for s, r in pairs]
             calls = [c for _, c in found]
-            columns = [pa.array([s for s, _ in found], pa.string()), *[pa.array([c and getattr(c, n) for c in calls], kind) for n, kind in (("start", pa.int64()), ("end", pa.int64()), ("seq", pa.string()))]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, "status", "start", "end", "seq"])
+            texts = {"seq": [c and c.seq for c in calls], "left_anchor": [c and f"{c.left_anchor[0]}-{c.left_anchor[1]}" for c in calls], "right_anchor": [c and f"{c.right_anchor[0]}-{c.right_anchor[1]}" for c in calls]}
+            texts |= {"left_anchor_cigar": [c and c.left_cigar for c in calls], "right_anchor_cigar": [c and c.right_cigar for c in calls]}
+            columns = [pa.array([s for s, _ in found], pa.string()), *[pa.array([c and getattr(c, n) for c in calls], pa.int64()) for n in ("start", "end")], *[pa.array(t, pa.string()) for t in texts.values()]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, "status", "start", "end", *texts])
 
-    return df.mapInArrow(run, f"{fields}, status string, start long, end long, seq string")
+    return df.mapInArrow(run, f"{fields}, status string, start long, end long, seq string, left_anchor string, right_anchor string, left_anchor_cigar string, right_anchor_cigar string")
