@@ -58,7 +58,8 @@ def stable_with_mates(reads: DataFrame, least_mapq: int, least_clip: int) -> Dat
     given = first_come(given, ["at", "key"], [F.desc("file_ord")]).where(~F.col("mate_seq").contains("N")).select("at", "key", "mate_seq", "mate_qual")
     stable = rows.withColumn("side", P.stable_end(flag, F.col("cigar"), F.col("mapq"), mq, least_clip)).where("side is not null")
     stable = stable.withColumns({"at": F.col("contig"), "key": P.mate_key(F.col("qname"), flag, same, own=False), "end": C.end_position(F.col("pos"), F.col("cigar"))})
-    return stable.join(given, ["at", "key"]).select("contig", "side", "qname", F.col("pos").alias("start"), "end", "mate_contig", "mate_pos", "nm", "mate_seq", "mate_qual")
+    mate = {"mate_reverse": P.has(flag, P.MATE_REVERSE), "mate_mapped": ~P.is_mate_unmapped(flag)}
+    return stable.withColumns(mate).join(given, ["at", "key"]).select("contig", "side", "qname", F.col("pos").alias("start"), "end", "mate_contig", "mate_pos", "nm", "mate_seq", "mate_qual", "seq", *mate)
 
 
 def semi_mapped(clusters: DataFrame, pairs: DataFrame, max_is: int, width: int = 512) -> DataFrame:

@@ -59,7 +59,7 @@ def seed_index(reference: DataFrame, chunk: int, k: int = K, w: int = W) -> Data
 
 def _query_seeds(queries: DataFrame, key: list[str], k: int, w: int) -> DataFrame:
     """key, q. key, at and seed of each seed."""
-    rows = queries.select(F.struct(*key).alias("key"), "q")
+    rows = queries.where("q is not null").select(F.struct(*key).alias("key"), "q")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
