@@ -5,9 +5,9 @@ Groups are cut at a number of distinct reads, so everything here is local to a g
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from spanloom.functions.align import suffix_prefix
 from spanloom.operators.grouped import fold_groups
 
 #: From so many distinct reads on a group is given up.
@@ -22,27 +22,46 @@ def _homopolymer(seq: str) -> bool:
     return sum(counts) > 0 and max(counts) * 10 >= sum(counts) * 8
 
 
+def seeded_overlaps(seqs: list[str], least: int, mismatches: int, match: int = 1, mismatch: int = -4) -> dict[tuple[int, int], tuple[int, int]]:
+    """(overlap, score) of the best ungapped overlap of a suffix of i with a prefix of j, for all pairs that have one of `least`
+    letters with at most so many mismatches; of equal scores the longer one.
+
+    Of mismatches + 1 pieces of a sequence's first `least` letters one is whole in each such overlap. So an index of all words of
+    that length says which overlaps there may be, and only these are compared."""
+    size = least // (mismatches + 1)
+    letters = [np.frombuffer(s.encode(), dtype=np.uint8) for s in seqs]
+    index: dict[str, list[tuple[int, int]]] = {}
+    for i, s in enumerate(seqs):
+        for at in range(len(s) - size + 1):
+            index.setdefault(s[at : at + size], []).append((i, at))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for j, s in enumerate(seqs):
+        for off in range(0, (mismatches + 1) * size, size) if len(s) >= least else ():
+            for i, at in index.get(s[off : off + size], ()):
+                n = len(seqs[i]) - at + off
+                if i == j or at < off or not least <= n <= len(s):
+                    continue
+                held = best.get((i, j))
+                if held is not None and (match * n, n) <= held[::-1]:
+                    continue
+                m = int(np.count_nonzero(letters[i][at - off :] != letters[j][:n]))
+                if m <= mismatches and (held is None or (match * (n - m) + mismatch * m, n) > held[::-1]):
+                    best[i, j] = (n, match * (n - m) + mismatch * m)
+    return best
+
+
 def overlap_graph(seqs: list[str], layers: list[int], least: int, mismatches: int) -> Edges:
     """For each sequence its successors with (score, overlap). A sequence is followed by one of its own or a later layer; of
     two sequences that could follow each other the better direction counts, the first of equals."""
+    found = seeded_overlaps(seqs, least, mismatches)
+    proper = {(i, j): (score, n) for (i, j), (n, score) in found.items() if layers[i] <= layers[j] and n < min(len(seqs[i]), len(seqs[j])) and not _homopolymer(seqs[j][:n])}
     edges: Edges = [{} for _ in seqs]
-    error = 1e-9 if mismatches else 0.0  # allows one mismatch whatever the length
-
-    def link(i: int, j: int) -> tuple[int, int] | None:
-        if layers[i] > layers[j]:
-            return None
-        met = suffix_prefix(seqs[i], seqs[j], 1, -4, error, least, mismatches)
-        if met is None or met[0] >= min(len(seqs[i]), len(seqs[j])) or _homopolymer(seqs[j][: met[0]]):
-            return None
-        return met[1], met[0]
-
-    for i in range(len(seqs)):
-        for j in range(i + 1, len(seqs)):
-            there, back = link(i, j), link(j, i)
-            if there and (not back or there[0] >= back[0]):
-                edges[i][j] = there
-            elif back:
-                edges[j][i] = back
+    for i, j in sorted({(min(p), max(p)) for p in proper}):
+        there, back = proper.get((i, j)), proper.get((j, i))
+        if there and (not back or there[0] >= back[0]):
+            edges[i][j] = there
+        elif back:
+            edges[j][i] = back
     return edges
 
 

@@ -87,7 +87,7 @@ scores as (
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     members, regions, reference = _tables(spark, sf_dir)
-    tables = Scratch(spark, "regions")
+    tables = Scratch(spark, "regions", light=True)
     regions, reference = tables.table(regions, "regions"), tables.table(reference, "reference")
     scores, judged = score_regions(members, regions, reference, _LONGEST, _CHUNK, tables, scoring=_EXACT, clip_scoring=_EXACT, least=_LEAST, least_clip=_CLIP, k=8, w=4)
     return scores, judged, regions

@@ -145,7 +145,7 @@ def discordant_insertions(reads: DataFrame, reference: DataFrame, config: Config
     sides, and of transposed ones where the sequence comes from: source, source_start, source_end and source_reverse.
 
     reads: the columns of an alignment source; reference: contig, chunk_id, chunk (of `chunk` bases)."""
-    tables = Scratch(reads.sparkSession, "discordant")
+    tables = Scratch(reads.sparkSession, "discordant", light=True)
     lengths = tables.table(contig_lengths(reference), "lengths")
     pairs, members = cluster_pairs(reads, reference, config, tables)
     regions = candidate_regions(members, lengths, config, tables)

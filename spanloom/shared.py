@@ -28,12 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder.
 
-    A table lives until drop() or, as results are lazy and may read it late, the end of the process. thorough: waits for
-    Spark to drop old shuffle files before the next table is written, for operators that need the disk.
+    A table lives until drop() or, as results are lazy and may read it late, the end of the process. Between tables Spark may
+    drop old shuffle files; thorough: it is waited for, for operators that need the disk; light: nothing is done for it, for
+    plans of many small tables.
     """
 
-    def __init__(self, spark: SparkSession, name: str, thorough: bool = False):
-        self.spark, self.rounds = spark, 3 if thorough else 1
+    def __init__(self, spark: SparkSession, name: str, thorough: bool = False, light: bool = False):
+        self.spark, self.rounds = spark, 3 if thorough else 0 if light else 1
         self.root = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._close)
 

@@ -65,3 +65,29 @@ def test_insertions_roll_left(spark, reach):
         assert ref[: r["start"] + 1] + r["seq"] + ref[r["end"] + 1 :] == donors[i] and r["other"] == 7
         if r["start"] == r["end"] and r["seq"]:
             assert ref[r["start"]] != r["seq"][-1]
+
+
+def test_seeded_overlaps_equal_all_pairs():
+    import time
+
+    from spanloom.functions.align import suffix_prefix
+
+    draw = random.Random(17)
+    text = "".join(draw.choices("ACGT", k=400)) + "AC" * 40
+    seqs = ["".join(c if draw.random() > 0.01 else draw.choice("ACGT") for c in text[a : a + draw.randint(10, 70)]) for a in draw.choices(range(440), k=70)]
+    for least, mismatches in ((15, 1), (15, 0), (21, 2)):
+        found = assembly.seeded_overlaps(seqs, least, mismatches)
+        want = {}
+        for i, a in enumerate(seqs):
+            for j, b in enumerate(seqs):
+                tries = [(n - 5 * m, n) for n in range(least, min(len(a), len(b)) + 1) if (m := sum(x != y for x, y in zip(a[len(a) - n :], b, strict=False))) <= mismatches]
+                if i != j and tries:
+                    want[i, j] = max(tries)[::-1]
+        assert found == want
+        if mismatches < 2:
+            for (i, j), (n, score) in found.items():
+                assert suffix_prefix(seqs[i], seqs[j], 1, -4, 1e-9 if mismatches else 0.0, least, mismatches)[:2] == (n, score)
+    donor = "".join(draw.choices("ACGT", k=5000))
+    began = time.monotonic()
+    assembly.assemble([(donor[3 * k : 3 * k + 100], 2, True, True) for k in range(999)], 15, 100)
+    assert time.monotonic() - began < 10

@@ -61,101 +61,92 @@ def test_seeds_find_what_the_whole_stretch_holds(spark, share):
     assert got == want and len(want) > 25
 
 
-@pytest.fixture(scope="module")
-def sample():
-    """Two contigs; a piece of b is copied into a, turned or not; pairs of 100 letters from fragments of 300 to 500, mapped as an aligner
-    would: whole reads only, those over a breakpoint clipped."""
-
-    def make(reverse, novel=False, seed=1):
-        draw = random.Random(seed)
-        a, b = dna(draw, 6000), dna(draw, 6000)
-        piece = dna(draw, 400) if novel else b[2500:3000]
-        extra = turned(piece) if reverse else piece
-        at = 3000
-        donor = a[:at] + extra + a[at:]
-        n = len(extra)
-
-        def mapped(s, e):
-            """contig, pos, cigar, reverse on the reference (against the donor) of donor[s:e]."""
-            if e <= at:
-                return "a", s, f"{e - s}M", False
-            if s >= at + n:
-                return "a", s - n, f"{e - s}M", False
-            if s >= at and e <= at + n:
-                if novel:
-                    return None
-                x = s - at
-                return ("b", 2500 + (n - (e - at)), f"{e - s}M", True) if reverse else ("b", 2500 + x, f"{e - s}M", False)
-            left, right = max(0, at - s), max(0, e - at - n)
-            if left >= 30 and left >= right:
-                return "a", s, f"{left}M{e - s - left}S", False
-            if right >= 30:
-                return "a", at, f"{e - s - right}S{right}M", False
-            return None
-
-        rows = []
-        for i in range(1500):
-            size = draw.randint(300, 500)
-            s = draw.randint(1200, len(donor) - 1200 - size)
-            ends = [(s, s + 100, False), (s + size - 100, s + size, True)]
-            places = [mapped(x, y) for x, y, _ in ends]
-            for k in (0, 1):
-                me, mate = places[k], places[1 - k]
-                seq = donor[ends[k][0] : ends[k][1]]
-                if me is None and mate is None:
-                    continue
-                back, mback = [p is not None and (p[3] != e[2]) for p, e in ((me, ends[k]), (mate, ends[1 - k]))]
-                flag = 1 | (0x40 if k == 0 else 0x80) | (0x10 if back else 0) | (0x20 if mback else 0) | (4 if me is None else 0) | (8 if mate is None else 0)
-                here = me or (mate[0], mate[1], "*", False)
-                there = mate or (me[0], me[1], None, False)
-                same = here[0] == there[0] and me is not None and mate is not None
-                if same and abs(here[1] - there[1]) < 2000:
-                    flag |= 2
-                shown = seq if me is None and not ends[k][2] else turned(seq) if me is None else seq if not me[3] else turned(seq)
-                isize = (there[1] - here[1]) if same else 0
-                rows.append((len(rows), f"q{i}", flag, here[0], here[1], 0 if me is None else 60, None if me is None else here[2], there[0], there[1], isize, shown, "I" * 100, there[2] if mate else None, 60 if mate else 0, 0))
-        return a, b, donor, rows
-
-    return make
+def simulate(first, second, reverse, novel, seed):
+    """Two contigs; a piece of the second, turned or not, or one that is nowhere, is put into the first. Pairs of 100 letters from
+    fragments of 300 to 500, mapped as an aligner would: whole reads, and those over a breakpoint clipped."""
+    draw = random.Random(seed)
+    a, b, at = dna(draw, 6000), dna(draw, 6000), 3000
+    piece = dna(draw, 400) if novel else b[2500:3000]
+    donor = a[:at] + (turned(piece) if reverse else piece) + a[at:]
+    n = len(piece)
+
+    def mapped(s, e):
+        """contig, pos, cigar, and whether donor[s:e] lies on the other strand there."""
+        if e <= at:
+            return first, s, f"{e - s}M", False
+        if s >= at + n:
+            return first, s - n, f"{e - s}M", False
+        if s >= at and e <= at + n:
+            if novel:
+                return None
+            return (second, 2500 + (n - (e - at)), f"{e - s}M", True) if reverse else (second, 2500 + s - at, f"{e - s}M", False)
+        left, right = max(0, at - s), max(0, e - at - n)
+        if left >= 30 and left >= right:
+            return first, s, f"{left}M{e - s - left}S", False
+        return (first, at, f"{e - s - right}S{right}M", False) if right >= 30 else None
+
+    rows = []
+    for i in range(1500):
+        size = draw.randint(300, 500)
+        s = draw.randint(1200, len(donor) - 1200 - size)
+        ends = [(s, s + 100, False), (s + size - 100, s + size, True)]
+        places = [mapped(x, y) for x, y, _ in ends]
+        for k in (0, 1):
+            me, mate = places[k], places[1 - k]
+            if me is None and mate is None:
+                continue
+            seq = donor[ends[k][0] : ends[k][1]]
+            back, mate_back = [p is not None and (p[3] != e[2]) for p, e in ((me, ends[k]), (mate, ends[1 - k]))]
+            flag = 1 | (0x40 if k == 0 else 0x80) | (0x10 if back else 0) | (0x20 if mate_back else 0) | (4 if me is None else 0) | (8 if mate is None else 0)
+            here, there = me or (mate[0], mate[1]), mate or (me[0], me[1])
+            same = me is not None and mate is not None and here[0] == there[0]
+            flag |= 2 if same and abs(here[1] - there[1]) < 2000 else 0
+            shown = turned(seq) if (ends[k][2] if me is None else me[3]) else seq
+            rows.append((f"{first}{i}", flag, here[0], here[1], 60 if me else 0, me[2] if me else None, there[0], there[1], there[1] - here[1] if same else 0, shown, "I" * 100, mate[2] if mate else None, 60 if mate else 0, 0))
+    return {first: a, second: b}, donor, rows
 
 
 SCHEMA = "file_ord long, qname string, flag int, contig string, pos long, mapq int, cigar string, mate_contig string, mate_pos long, isize long, seq string, qual string, mc string, mq int, nm int"
+CONFIG = Config(max_is=600, read_len=100)
 
 
-def called(spark, a, b, rows, config):
-    reads = spark.createDataFrame(rows, SCHEMA)
-    chunks = [(c, i, s[i * 500 : (i + 1) * 500]) for c, s in (("a", a), ("b", b)) for i in range(-(-len(s) // 500))]
-    reference = spark.createDataFrame(chunks, "contig string, chunk_id long, chunk string")
-    return transpositions.discordant_insertions(reads, reference, config, 500).cache(), reference
-
-
-@pytest.mark.parametrize("reverse", [False, True])
-def test_a_transposition_is_called(spark, sample, reverse):
-    a, b, donor, rows = sample(reverse)
-    calls, reference = called(spark, a, b, rows, Config(max_is=600, read_len=100))
-    (call,) = calls.collect()
-    assert call["id"] == "T_INS_0" and call["source"] == "b" and call["source_reverse"] == reverse
-    assert abs(call["source_start"] - 2500) < 30 and abs(call["source_end"] - 2999) < 30
-    assert a[: call["start"] + 1] + call["seq"] + a[call["end"] + 1 :] == donor
-    assert call["r_disc"] > 10 and call["l_disc"] > 10 and call["r_fwd"] + call["r_rev"] > 1
-    line = transpositions.vcf_lines(calls.withColumn("filter", F.array(F.lit("PASS"))), reference, 500).first()["line"].split("\t")
-    assert line[:3] == ["a", str(call["start"] + 1), "T_INS_0"] and "ALGORITHM=transurveyor" in line[7] and f"SVINSSEQ={call['seq']}" in line[7]
-
-
-def test_what_is_nowhere_is_assembled(spark, sample):
-    a, b, donor, rows = sample(False, novel=True, seed=4)
-    calls, _ = called(spark, a, b, rows, Config(max_is=600, read_len=100))
-    (call,) = calls.collect()
-    assert call["kind"] == "A" and a[: call["start"] + 1] + call["seq"] + a[call["end"] + 1 :] == donor
-    assert call["r_disc"] > 5 and call["l_disc"] > 5
-
-
-def test_no_discordant_reads_no_calls(spark, sample):
-    a, b, _, rows = sample(False)
-    calls, _ = called(spark, a, b, [r for r in rows if r[2] & 2], Config(max_is=600, read_len=100))
-    assert calls.count() == 0
-    calls, _ = called(spark, a, b, [], Config(max_is=600, read_len=100))
-    assert calls.count() == 0
+@pytest.fixture(scope="module")
+def planted(spark):
+    """A copy, a turned copy, and a sequence that is nowhere else."""
+    contigs, donors, rows = {}, {}, []
+    for seed, (first, second, reverse, novel) in enumerate([("a", "b", False, False), ("c", "d", True, False), ("e", "f", False, True)]):
+        some, donors[first], more = simulate(first, second, reverse, novel, seed + 1)
+        contigs |= some
+        rows += more
+    reads = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA)
+    chunks = [(c, i, s[i * 500 : (i + 1) * 500]) for c, s in contigs.items() for i in range(-(-len(s) // 500))]
+    return contigs, donors, reads, spark.createDataFrame(chunks, "contig string, chunk_id long, chunk string")
+
+
+def test_planted_insertions_are_called(spark, planted):
+    contigs, donors, reads, reference = planted
+    calls = transpositions.discordant_insertions(reads, reference, CONFIG, 500).cache()
+    found = {r["contig"]: r for r in calls.collect()}
+    assert set(found) == {"a", "c", "e"} and calls.count() == 3
+    for contig, call in found.items():
+        whole = contigs[contig]
+        assert whole[: call["start"] + 1] + call["seq"] + whole[call["end"] + 1 :] == donors[contig]
+        assert call["r_disc"] > 10 and call["l_disc"] > 10 and call["r_fwd"] + call["r_rev"] > 1
+    for contig, source, reverse, name in (("a", "b", False, "T_INS_0"), ("c", "d", True, "T_INS_1")):
+        call = found[contig]
+        assert (call["id"], call["source"], call["source_reverse"]) == (name, source, reverse)
+        assert abs(call["source_start"] - 2500) < 30 and abs(call["source_end"] - 2999) < 30
+    assert (found["e"]["id"], found["e"]["source"]) == ("A_INS_0", None)
+    lines = {r["id"]: r["line"].split("\t") for r in transpositions.vcf_lines(calls.withColumn("filter", F.array(F.lit("PASS"))), reference, 500).collect()}
+    line = lines["T_INS_0"]
+    assert line[:3] == ["a", str(found["a"]["start"] + 1), "T_INS_0"] and "ALGORITHM=transurveyor" in line[7] and f"SVINSSEQ={found['a']['seq']}" in line[7]
+    assert "ALGORITHM=assembly" in lines["A_INS_0"][7]
+
+
+def test_no_discordant_reads_no_calls(planted):
+    _, _, reads, reference = planted
+    proper = reads.where(F.col("flag").bitwiseAND(2) != 0)
+    assert transpositions.discordant_insertions(proper, reference, CONFIG, 500).count() == 0
 
 
 def test_stitched_flanks_stand_once():
@@ -177,7 +168,7 @@ def test_limits_windows_and_votes(spark):
     members += [(1, "L", 30, True, text[1440:1500])]
     frame = spark.createDataFrame(members, "cluster long, side string, member long, clip boolean, seq string")
     regions = spark.createDataFrame([(1, 7, "c", 200, 3900), (1, 8, "c", 0, 900)], "cluster long, region long, contig string, low long, high long")
-    tables = Scratch(spark, "test")
+    tables = Scratch(spark, "test", light=True)
     scores, judged = scoring.score_regions(frame, regions, reference, 500, 512, tables)
     best = scoring.best_regions(scores, regions).collect()
     assert [(r["region"], r["rc"], r["first"], r["last"]) for r in best] == [(7, False, 1000, 1499)]
