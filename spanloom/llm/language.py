@@ -26,8 +26,9 @@ from spanloom.llm.common import Scratch, slices
 ORDER = 4
 #: Labelled texts that are fitted for each language, on average (they are chosen by a hash of their ids): the bound on the fit.
 SAMPLE_PER_LANGUAGE = 600
-#: Languages of one model. Further ones are learned in further models, and a text goes to the best language of all of them.
-PANEL = 200
+#: Languages that are counted at a time, and the most cells (contexts and grams of all languages of a model, times languages) of one
+#: model, 256 MB. Further languages are learned in further models, and a text goes to the best language of all of them.
+PANEL, CELLS = 24, 1 << 26
 #: A context of order 2 or more needs so many occurrences in its language to stay in the tree.
 LEAST_COUNT = 2
 #: Score: the posterior with evidence limited to so many bytes, so that it does not saturate on long texts.
@@ -199,23 +200,24 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, panel: int = PANEL) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, panel: int = PANEL, cells: int = CELLS) -> Model:
     """Fits on about `sample` whole texts of each language, chosen by a hash of their ids among the rows that are not held out.
 
     Every value of the label counts as a language; without labelled texts there are none. The driver holds the names of all
-    languages, and counts `panel` of them at a time, in order of their names; a model beyond the first follows in `more`."""
+    languages, and counts `panel` of them at a time, in order of their names. A model has so many languages that its tables keep
+    within `cells` (one at least); models beyond the first follow in `more`."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
     names = sorted(sizes)
-    models = [_fit(rows, {l: sizes[l] for l in names[k : k + panel]}, sample) for k in range(0, len(names), panel)]
+    models = [m for k in range(0, len(names), panel) for m in _fit(rows, {l: sizes[l] for l in names[k : k + panel]}, sample, cells)]
     if not models:
         return Model([], [], [])
     models[0].more = models[1:]
     return models[0]
 
 
-def _fit(rows: DataFrame, sizes: dict[str, int], sample: int) -> Model:
-    """rows: i, t, l. The model of the languages of `sizes`, which has their numbers of texts."""
+def _fit(rows: DataFrame, sizes: dict[str, int], sample: int, cells: int) -> list[Model]:
+    """rows: i, t, l. Models of the languages of `sizes`, which has their numbers of texts."""
     unit = 1 << 30
     share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(unit, -(-unit * sample // n)))])
     chosen = rows.where(F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(unit)) < share[F.col("l")]).select("t", "l")
@@ -238,7 +240,14 @@ def _fit(rows: DataFrame, sizes: dict[str, int], sample: int) -> Model:
                         yield pa.RecordBatch.from_arrays([pa.array([l] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model.fit(counts.toArrow().to_pandas())
+    found = counts.toArrow().to_pandas()
+    grams = found.groupby("lang").size().sort_index()
+    models, at = [], 0
+    while at < len(grams):  # a table has a row for each gram of any of its languages at most, and as many for contexts
+        n = next((k for k in range(len(grams) - at, 1, -1) if 2 * k * int(grams.iloc[at : at + k].sum()) <= cells), 1)
+        models.append(Model.fit(found[found["lang"].isin(grams.index[at : at + n])]))
+        at += n
+    return models
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -80,6 +80,24 @@ def test_language_learns_and_ignores_held_out_rows(spark):
     assert language.Model([], [], []).predict(["abc"])[0] == ["und"]
 
 
+def test_languages_in_several_models(spark):
+    """However languages are dealt to models, predictions are those of one model."""
+    draw = random.Random(2)
+    letters = {f"l{k}": "abcdefghijklmnopqrstuvwxyz"[3 * k : 3 * k + 8] for k in range(6)}
+    rows = [(i, " ".join("".join(draw.choices(letters[f"l{i % 6}"], k=5)) for _ in range(draw.randint(0, 12))), f"l{i % 6}") for i in range(240)] + [(1000, None, "l1"), (1001, "", None), (1002, "123", "l9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {}
+    for panel, cells in ((24, language.CELLS), (1, language.CELLS), (24, 1), (4, 60_000)):
+        model = language.train(docs, panel=panel, cells=cells)
+        found[panel, cells] = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
+        assert (1 + len(model.more)) >= (1 if cells == language.CELLS and panel == 24 else 2)
+    want = found.pop((24, language.CELLS))
+    assert len(want) == len(rows)
+    for got in found.values():
+        assert {i: l for i, (l, _) in got.items()} == {i: l for i, (l, _) in want.items()}
+        assert all(abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
+
+
 def test_code_lengths_equal_the_recursion():
     """The merged tables against prediction by partial matching written down directly."""
     import pandas as pd
