@@ -157,7 +157,7 @@ def call_small_insertions(reads: DataFrame, reference: DataFrame, config: Config
     """The whole path: usual depths over random positions, calls, filters, lines. Returns the lines (see vcf_lines) with `filter`,
     and the header; sources.files.write_vcf writes them."""
     lengths = {r["contig"]: r["length"] for r in contig_lengths(reference).collect()}  # a row for each contig
-    places = reads.sparkSession.createDataFrame(random_positions(whole_contigs(lengths), seed) or [("", 0)], "contig string, pos long")
+    places = reads.sparkSession.createDataFrame(random_positions(whole_contigs(dict(sorted(lengths.items()))), seed) or [("", 0)], "contig string, pos long")
     calls = annotate_filters(small_insertions(reads, reference, config), config, depth_bounds(reads, places), reads)
     lines = vcf_lines(calls, reference).join(calls.select("id", "filter"), "id")
     return lines, header(sorted(lengths.items()), sample, command)
