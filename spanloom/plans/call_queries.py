@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.sequences import fold_microhomology
 from spanloom.functions.vcf import info_map, record_line
-from spanloom.operators.calls import filters, sequential_ids, support, suppress
+from spanloom.operators.calls import filters, insertion_filters, sequential_ids, support, suppress
 from spanloom.plans.registry import clips, digits_dna, digits_dna_sql, points, query, reads, table
 
 
@@ -113,3 +113,36 @@ def final_call_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written calls in order; identifiers compare as text."""
     named = points(spark, sf_dir).select("contig", "p", F.concat(F.lit("A_INS_"), F.col("pid").cast("string")).alias("id"))
     return sequential_ids(named, ["contig", "p", "id"], "", "place").select("id", "place")
+
+
+_FILTERED = f"""with {{READS}}, seqs as (
+  select *, case ln % 3 when 0 then 'S' when 1 then 'T' else 'A' end as kind, s + nm * 12 as last,
+    case when ln = 2 then repeat('ac', cast(qty as integer)) || '-' || {digits_dna_sql('okey * 7919')} when ln = 4 then repeat('g', cast(qty as integer)) else {digits_dna_sql('okey * 1000003')} || repeat('acgt', cast(qty % 20 as integer)) end as seq from reads
+),
+halves as (select *, length(seq) as n, last - s as gap, case when instr(seq, '-') > 1 then split_part(seq, '-', 1) else seq end as half from seqs),
+counts as (select *, length(half) - length(replace(upper(half), 'A', '')) as a, length(half) - length(replace(upper(half), 'C', '')) as c, length(half) - length(replace(upper(half), 'G', '')) as g, length(half) - length(replace(upper(half), 'T', '')) as t from halves)
+select rid, s, kind, coalesce(nullif(array_to_string(list_filter([
+  case when n - gap >= 0 and n - gap < 50 then 'SMALL' end, case when gap >= n then 'ALT_SHORTER_THAN_REF' end, case when greatest(mapq * 2, nm * 3) > 18 or least(mapq * 2, nm * 3) < 1 then 'ANOMALOUS_DEPTH' end,
+  case when a + c + g + t > 0 and greatest(a, c, g, t) * 10 >= (a + c + g + t) * 8 then 'HOMOPOLYMER_INSSEQ' end, case when kind in ('S', 'T') and greatest(ln, nm) > 6 then 'ANOMALOUS_SC_NUMBER' end,
+  case when kind in ('T', 'A') and nm % 3 + mapq % 2 = 0 then 'NO_DISC_SUPPORT' end, case when kind in ('T', 'A') and nm % 3 + mapq % 2 > 0 and nm < 4 and mapq < 4 then 'LOW_SUPPORT' end,
+  case when kind = 'T' and nm > 1 and nm * 0.1 < 0.25 and mapq * 0.05 < 0.25 then 'LOW_SCORE' end, case when kind = 'T' and mapq * 15 > 100 then 'MH_TOO_LONG' end, case when kind in ('T', 'A') and nm % 3 + mapq % 2 < 2 then 'NOT_ENOUGH_DISC_PAIRS' end,
+  case when kind = 'A' and instr(seq, '-') > 0 and instr(seq, '-') - 1 < 60 and n - instr(seq, '-') < 60 then 'LOW_QUAL_ASSEMBLY' end
+], lambda x: x is not null), ';'), ''), 'PASS') as filter from counts"""
+
+
+@query("insertion_filters", _FILTERED)
+def insertion_filters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filters of small, transposed and assembled insertions, for lines as calls of all three kinds."""
+    number = lambda x: F.col(x).cast("int")
+    one = F.concat(F.repeat(F.lit("ac"), number("qty")), F.lit("-"), digits_dna(F.col("okey") * 7919))
+    seq = F.when(F.col("ln") == 2, one).when(F.col("ln") == 4, F.repeat(F.lit("g"), number("qty"))).otherwise(F.concat(digits_dna(F.col("okey") * 1000003), F.repeat(F.lit("acgt"), (number("qty") % 20))))
+    rows = reads(spark, sf_dir).withColumn("seq", seq)
+    c = {
+        "length": F.length("seq"), "start": F.col("s"), "end": F.col("s") + F.col("nm") * 12, "seq": F.col("seq"), "left_depth": F.col("mapq") * 2, "right_depth": F.col("nm") * 3, "min_depth": F.lit(1), "max_depth": F.lit(18),
+        "left_split": F.col("ln"), "right_split": F.col("nm"), "global_max_depth": F.lit(6), "left_disc": F.col("nm") % 3, "right_disc": F.col("mapq") % 2, "left_support": F.col("nm"), "right_support": F.col("mapq"), "median_depth": F.lit(20),
+        "left_score": F.when(F.col("nm") > 1, F.col("nm") * 0.1), "right_score": F.col("mapq") * 0.05, "mh_len": F.col("mapq") * 15, "min_pairs": F.lit(2),
+    }
+    kind = F.when(F.col("ln") % 3 == 0, "S").when(F.col("ln") % 3 == 1, "T").otherwise("A")
+    found = {k: insertion_filters(k, c, 50, 60) for k in "STA"}
+    listed = F.when(kind == "S", found["S"]).when(kind == "T", found["T"]).otherwise(found["A"])
+    return rows.select("rid", "s", kind.alias("kind"), F.array_join(listed, ";").alias("filter"))
