@@ -137,7 +137,11 @@ def test_planted_insertions_are_called(spark, planted):
         assert (call["id"], call["source"], call["source_reverse"]) == (name, source, reverse)
         assert abs(call["source_start"] - 2500) < 30 and abs(call["source_end"] - 2999) < 30
     assert (found["e"]["id"], found["e"]["source"]) == ("A_INS_0", None)
-    lines = {r["id"]: r["line"].split("\t") for r in transpositions.vcf_lines(calls.withColumn("filter", F.array(F.lit("PASS"))), reference, 500).collect()}
+    judged = transpositions.annotate_filters(calls, reads, CONFIG, (5, 200), 25).cache()
+    assert {r["id"]: r["filter"] for r in judged.collect()} == {r["id"]: ["PASS"] for r in found.values()}
+    assert all(10 < r["left_depth"] < 100 and 10 < r["right_depth"] < 100 for r in judged.collect())
+    assert {r["id"]: r["filter"] for r in transpositions.annotate_filters(calls, reads, CONFIG, (5, 6), 25).collect()} == {i: ["ANOMALOUS_DEPTH"] if i[0] == "A" else ["ANOMALOUS_DEPTH", "ANOMALOUS_SC_NUMBER"] for i in ("T_INS_0", "T_INS_1", "A_INS_0")}
+    lines = {r["id"]: r["line"].split("\t") for r in transpositions.vcf_lines(judged, reference, 500).collect()}
     line = lines["T_INS_0"]
     assert line[:3] == ["a", str(found["a"]["start"] + 1), "T_INS_0"] and "ALGORITHM=transurveyor" in line[7] and f"SVINSSEQ={found['a']['seq']}" in line[7]
     assert "ALGORITHM=assembly" in lines["A_INS_0"][7]
