@@ -15,7 +15,7 @@ from spanloom.operators.sampling import head_max
 from spanloom.plans.config import Config
 from spanloom.plans.insertions import call_small_insertions
 from spanloom.session import ship
-from spanloom.sources import sam
+from spanloom.sources import bam, sam
 from spanloom.sources.files import write_vcf
 from spanloom.sources.text import contig_lengths, read_fasta
 
@@ -32,8 +32,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> None:
     given = parser.parse_args(args)
     spark = ship(spark or SparkSession.builder.appName("spanloom").getOrCreate())
     if given.reads.endswith(".bam"):
-        spark.dataSource.register(sam.BamDataSource)
-        reads = spark.read.format("bam").load(given.reads)
+        reads = bam.read_bam(spark, given.reads)
     else:
         reads = sam.read_sam(spark, given.reads)
     reference = read_fasta(spark, given.reference)

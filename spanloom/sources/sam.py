@@ -1,17 +1,11 @@
-"""Alignment records from SAM text and BAM files, one schema for both."""
+"""Alignment records from SAM text; BAM files have the same columns."""
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, file_ord long, qname string, flag int, contig string, pos long, mapq int, cigar string, mate_contig string, mate_pos long, isize long, seq string, qual string, mc string, mq int, nm int, md string"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+from spanloom.sources.bam import COLUMNS, BamDataSource, read_bam, write_bam  # noqa: F401
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -27,168 +21,3 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         F.when(f(6) == "=", contig).otherwise(none(f(6))).alias("mate_contig"), (f(7).try_cast("long") - 1).alias("mate_pos"), f(8).try_cast("long").alias("isize"), none(f(9)).alias("seq"), none(f(10)).alias("qual"),
         tag("MC").alias("mc"), tag("MQ").try_cast("int").alias("mq"), tag("NM").try_cast("int").alias("nm"), tag("MD").alias("md"),
     )
-
-
-# --- BAM --------------------------------------------------------------------------------------------------------------
-
-_BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-#: Bytes of a compressed file for each partition.
-SPLIT_BYTES = 64 << 20
-_TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-_TAG_FORMATS = {"c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-
-
-def _block_size(head: bytes) -> int:
-    """Size of the BGZF block that begins here; 0 if none does."""
-    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-        return 0
-    extra = int.from_bytes(head[10:12], "little")
-    at, end = 12, min(12 + extra, len(head) - 4)
-    while at + 6 <= end + 4:
-        if head[at : at + 2] == b"BC" and head[at + 2 : at + 4] == b"\x02\x00":
-            return int.from_bytes(head[at + 4 : at + 6], "little") + 1
-        at += 4 + int.from_bytes(head[at + 2 : at + 4], "little")
-    return 0
-
-
-def _blocks(stream, start: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the blocks from a block's start on."""
-    at = start
-    while True:
-        stream.seek(at)
-        head = stream.read(64)
-        size = _block_size(head)
-        if not size:
-            return
-        stream.seek(at)
-        yield at, zlib.decompress(stream.read(size), 31)
-        at += size
-
-
-def _header(stream) -> tuple[list[str], int]:
-    """Contig names, and how many bytes of content the header takes."""
-    data = b""
-    for _, part in _blocks(stream, 0):
-        data += part
-        if len(data) >= 8:
-            at = 8 + int.from_bytes(data[4:8], "little")
-            if len(data) >= at + 4:
-                names, left, place = [], int.from_bytes(data[at : at + 4], "little"), at + 4
-                while left and len(data) >= place + 4:
-                    n = int.from_bytes(data[place : place + 4], "little")
-                    if len(data) < place + 8 + n:
-                        break
-                    names.append(data[place + 4 : place + 3 + n].decode())
-                    place, left = place + 8 + n, left - 1
-                if not left:
-                    return names, place
-    raise ValueError("the file has no complete header")
-
-
-def _tags(data: bytes) -> dict[str, object]:
-    out, at = {}, 0
-    while at + 3 <= len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = data.index(b"\0", at)
-            out[name], at = data[at:end].decode(), end + 1
-        elif kind == "B":
-            at += 5 + _TAG_SIZES[chr(data[at])] * int.from_bytes(data[at + 1 : at + 5], "little")
-        else:
-            out[name] = chr(data[at]) if kind == "A" else struct.unpack_from(_TAG_FORMATS[kind], data, at)[0]
-            at += _TAG_SIZES[kind]
-    return out
-
-
-def _record(data: bytes, names: list[str]) -> tuple:
-    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate_ref, mate_pos, isize = struct.unpack_from("<iiBBHHHiiii", data, 0)
-    at = 32 + n_name
-    qname = data[32 : at - 1].decode()
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", data, at))
-    at += 4 * n_cigar
-    packed = data[at : at + (n_seq + 1) // 2]
-    seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
-    at += len(packed)
-    qual = data[at : at + n_seq]
-    tags = _tags(data[at + n_seq :])
-    name = lambda i: names[i] if i >= 0 else None
-    text = None if not n_seq or qual[0] == 255 else bytes(q + 33 for q in qual).decode("latin-1")
-    return (qname, flag, name(ref), pos, mapq, cigar or None, name(mate_ref), mate_pos, isize, seq or None, text, tags.get("MC"), tags.get("MQ"), tags.get("NM"), tags.get("MD"))
-
-
-class BamDataSource(DataSource):
-    """spark.read.format("bam").load(path): one file, read by one task for each contiguous run of its blocks.
-
-    Records may cross blocks, and only the header tells where the first begins, so a file is scanned once for the places at
-    which a record begins a block; partitions are cut there. Files that all machines reach by path are supported."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
-
-
-class _Cut(InputPartition):
-    def __init__(self, start: int, skip: int, stop: int):
-        self.start, self.skip, self.stop = start, skip, stop
-
-
-class BamReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
-        self.size = int(options.get("splitBytes", SPLIT_BYTES))
-
-    def partitions(self) -> list[_Cut]:
-        with open(self.path, "rb") as stream:
-            _, skip = _header(stream)
-            cuts, need, started, cut_off = [], skip, False, b""
-            for at, part in _blocks(stream, 0):
-                place = 0
-                if cut_off:  # a record's length that begins in the block before
-                    missing = 4 - len(cut_off)
-                    cut_off += part[:missing]
-                    if len(cut_off) < 4:
-                        continue
-                    need, cut_off = missing + int.from_bytes(cut_off, "little"), b""
-                if need >= len(part):
-                    need -= len(part)
-                    continue
-                place, need = need, 0
-                if not cuts or at - cuts[-1].start >= self.size:
-                    if cuts:
-                        cuts[-1].stop = at
-                    cuts.append(_Cut(at, place, 1 << 62))
-                    started = True
-                while place + 4 <= len(part):
-                    place += 4 + int.from_bytes(part[place : place + 4], "little")
-                if place < len(part):
-                    cut_off, place = part[place:], len(part)
-                need = place - len(part)
-        return cuts if started else []
-
-    def read(self, cut: _Cut) -> Iterator[tuple]:
-        with open(self.path, "rb") as stream:
-            names, _ = _header(stream)
-            data, number = b"", 0
-            for at, part in _blocks(stream, cut.start):
-                if at >= cut.stop:
-                    # what is left is one record that began before the stop
-                    if not data or len(data) >= 4 and len(data) - 4 >= int.from_bytes(data[:4], "little"):
-                        return
-                data += part[cut.skip :] if at == cut.start else part
-                place = 0
-                while place + 4 <= len(data):
-                    n = int.from_bytes(data[place : place + 4], "little")
-                    if place + 4 + n > len(data):
-                        break
-                    yield (self.path, (cut.start << 20) + number, *_record(data[place + 4 : place + 4 + n], names))
-                    place, number = place + 4 + n, number + 1
-                    if at >= cut.stop:
-                        return
-                data = data[place:]
