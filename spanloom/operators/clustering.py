@@ -1,4 +1,4 @@
-"""Order-dependent clustering. What is sequential happens inside islands: runs of rows between gaps that no cluster can cross."""
+"""Order-dependent clustering. What is sequential happens inside bins of places, which hand on what other bins may change."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.grouped import fold_columns, fold_groups
+from spanloom.operators.grouped import fold_columns
+from spanloom.operators.rounds import in_rounds
 from spanloom.operators.running import next_place, running_total
 
 
@@ -96,23 +97,24 @@ def merge_equal_intervals(df: DataFrame, keys: list[str], start: str, end: str,
     return df.groupBy(*keys, start, end).agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("members"))
 
 
-def agglomerate(spans: list[tuple[int, int]], most: int) -> list[int]:
-    """For each interval, in order of (start, end), the index of its cluster's first member.
+def agglomerate_part(clusters: list[tuple[int, int, bool]], most: int, low: float, high: float) -> tuple[list[int], list[list[int]], list[bool]]:
+    """One bin's part of agglomerate(): for each cluster (start, end, made by a merge), in order, the one that it went into, the bounds
+    of each by then, and whether it is settled, so that nothing outside can change it.
 
-    The two clusters whose union spans least are merged again and again, as long as it spans at most `most`; of equal spans
-    the pair with the smaller indices goes first. Pairs that come up after a merge count with twice their span, so that
-    initial pairs go before them."""
-    n, starts = len(spans), [a for a, _ in spans]
-    box = [list(s) for s in spans]
+    Clusters that start within `most` of the bin's ends may have partners outside. They are held, and so is a cluster once its
+    next merge would be with one that is held. Merging only makes spans longer, so what a cluster did before is certain."""
+    n, starts = len(clusters), [c[0] for c in clusters]
+    box, fresh = [[a, b] for a, b, _ in clusters], [c[2] for c in clusters]
+    held = [s - most < low or s + most >= high for s in starts]
     up = list(range(n))
-    heap: list[tuple[int, int, int, int, int]] = []  # span, two clusters, and how often each had been merged
+    heap: list[tuple[int, int, int, int, int]] = []  # weighted span, two clusters, and how often each had been merged
     reach = lambda a, b: max(box[a][1], box[b][1]) - min(box[a][0], box[b][0])
     for i in range(n):
         for j in range(i + 1, n):
             if box[j][0] - box[i][0] > most:
                 break
             if reach(i, j) <= most:
-                heap.append((reach(i, j), i, j, 0, 0))
+                heap.append(((1 + (fresh[i] or fresh[j])) * reach(i, j), i, j, 0, 0))
     heapq.heapify(heap)
     version = [0] * n
     alive = [True] * n
@@ -120,8 +122,11 @@ def agglomerate(spans: list[tuple[int, int]], most: int) -> list[int]:
         _, i, j, *then = heapq.heappop(heap)
         if not (alive[i] and alive[j]) or then != [version[i], version[j]]:
             continue
+        if held[i] or held[j]:
+            held[i] = held[j] = True
+            continue
         box[i] = [min(box[i][0], box[j][0]), max(box[i][1], box[j][1])]
-        alive[j], up[j] = False, i
+        alive[j], up[j], fresh[i] = False, i, True
         version[i] += 1
         # a cluster begins where its first member does, so those within reach are neighbours in order
         for k in range(bisect_left(starts, starts[i] - most), bisect_right(starts, starts[i] + most)):
@@ -134,26 +139,44 @@ def agglomerate(spans: list[tuple[int, int]], most: int) -> list[int]:
             i = up[i]
         return i
 
-    return [root(i) for i in range(n)]
+    roots = [root(i) for i in range(n)]
+    return roots, box, [not held[r] for r in roots]
 
 
-def agglomerative_clusters(df: DataFrame, keys: list[str], start: str, end: str, most: int, name: str = "cluster") -> DataFrame:
-    """Adds the start and end of each row's cluster and its number within its island (`island`, `name`).
+def agglomerate(spans: list[tuple[int, int]], most: int) -> list[int]:
+    """For each interval, in order of (start, end), the index of its cluster's first member.
 
-    Equal intervals are merged first. As a cluster's span is at least the difference of its starts, nothing merges across a
-    gap between starts of more than `most`: each island is one group of a grouped map."""
-    distinct = islands(merge_equal_intervals(df, keys, start, end, []), keys, start, most).select(*keys, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end), "island")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
+    The two clusters whose union spans least are merged again and again, as long as it spans at most `most`; of equal spans
+    the pair with the smaller indices goes first. Pairs that come up after a merge count with twice their span, so that
+    initial pairs go before them."""
+    return agglomerate_part([(a, b, False) for a, b in spans], most, float("-inf"), float("inf"))[0]
 
-    def fold(rows: list[dict]) -> list[tuple]:
-        roots = agglomerate([(r[start], r[end]) for r in rows], most)
-        low, high = {}, {}
-        for r, c in zip(rows, roots, strict=True):
-            low[c], high[c] = min(low.get(c, r[start]), r[start]), max(high.get(c, r[end]), r[end])
-        return [(*r.values(), c, low[c], high[c]) for r, c in zip(rows, roots, strict=True)]
 
-    found = fold_groups(distinct, [*keys, "island"], [start, end], fold, f"{schema}, `{name}` long, cluster_start long, cluster_end long")
-    return df.join(found, [*keys, start, end])
+def agglomerative_clusters(df: DataFrame, keys: list[str], start: str, end: str, most: int, name: str = "cluster") -> DataFrame:
+    """Adds the start and end of each row's cluster (see agglomerate) and its first member, which tells a key's clusters apart: that
+    one's start (`island`) and end (`name`).
+
+    Equal intervals are merged first. Clusters merge only with those that start within `most` of them, so bins of starts settle
+    theirs in rounds, and a key without gaps is spread over tasks."""
+    whole = merge_equal_intervals(df, keys, start, end, []).select(*keys, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end))
+    rows = whole.select("*", F.col(start).alias("cluster_start"), F.col(end).alias("__first"), F.col(end).alias("cluster_end"), F.lit(False).alias("__merged"))
+
+    def fold(group: list[dict], low: int, high: int) -> list[tuple]:
+        of: dict[tuple[int, int], int] = {}
+        for r in group:
+            of.setdefault((r["cluster_start"], r["__first"]), len(of))
+        known = {of[r["cluster_start"], r["__first"]]: (r["cluster_start"], r["cluster_end"], r["__merged"]) for r in group}
+        roots, box, settled = agglomerate_part([known[i] for i in range(len(of))], most, low, high)
+        heads, grown = list(of), {r for i, r in enumerate(roots) if r != i}
+        out = []
+        for r in group:
+            i = of[r["cluster_start"], r["__first"]]
+            to = roots[i]
+            out.append((*[r[k] for k in keys], r[start], r[end], *heads[to], box[to][1], known[to][2] or to in grown, settled[i]))
+        return out
+
+    found = in_rounds(rows, keys, "cluster_start", most, ["cluster_start", "__first"], fold, "agglomerate")
+    return df.join(found.select(*keys, start, end, F.col("cluster_start").alias("island"), F.col("__first").alias(name), "cluster_start", "cluster_end"), [*keys, start, end])
 
 
 def greedy_pairs(rows: Iterator[tuple[int, object, object]]) -> list[tuple[object, object]]:
@@ -170,17 +193,24 @@ def greedy_pairs(rows: Iterator[tuple[int, object, object]]) -> list[tuple[objec
 def greedy_matching(candidates: DataFrame, keys: list[str], a: str, b: str, weight: str, at: str, reach: int) -> DataFrame:
     """An exclusive matching of a and b (longs): candidates in order of weight, largest first, then a, then b.
 
-    `at` is a place of the candidate's a such that candidates that share a side lie within `reach`; candidates beyond a gap
-    cannot compete, so each island of places is matched on its own."""
-    cut = islands(candidates, keys, at, reach)
-    rows = cut.select(*keys, "island", a, b, weight)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*keys).schema)
-
-    def fold(group: list[dict]) -> list[tuple]:
-        head = tuple(group[0][k] for k in keys)
-        return [(*head, *pair) for pair in greedy_pairs((r[weight], r[a], r[b]) for r in group)]
-
-    return fold_groups(rows, [*keys, "island"], [], fold, f"{key_schema}, `{a}` long, `{b}` long")
+    `at` is a place of the candidate's a such that candidates that share a side lie within `reach`. Bins of places take, in order,
+    the pairs of which no side is wanted by a better one that is still open, in rounds; so a key without gaps is spread over tasks."""
+    rows = candidates.select(*keys, F.col(a).cast("long").alias(a), F.col(b).cast("long").alias(b), F.col(weight), F.col(at).cast("long").alias("__at"))
+
+    def fold(group: list[dict], low: int, high: int) -> list[tuple]:
+        taken: tuple[set, set] = (set(), set())
+        wanted: tuple[set, set] = (set(), set())
+        out = []
+        for r in sorted(group, key=lambda r: (-r[weight], r[a], r[b])):
+            if r[a] in taken[0] or r[b] in taken[1]:
+                continue
+            sure = low <= r["__at"] - reach and r["__at"] + reach < high and r[a] not in wanted[0] and r[b] not in wanted[1]
+            for side, value in zip(taken if sure else wanted, (r[a], r[b]), strict=True):
+                side.add(value)
+            out.append((*[r[k] for k in keys], r[a], r[b], r[weight], r["__at"], sure))
+        return out
+
+    return in_rounds(rows, keys, "__at", reach, [], fold, "matching").select(*keys, a, b)
 
 
 def first_come(pairs: DataFrame, item: list[str], rank: list) -> DataFrame:
