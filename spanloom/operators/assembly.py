@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.operators.grouped import fold_groups
 
@@ -152,11 +153,20 @@ def assemble(reads: list[tuple[str, int, bool, bool]], least: int, read_len: int
 
 
 def assemble_groups(reads: DataFrame, group: str, seq: str, layer: str, order: list[str], least: int, read_len: int) -> DataFrame:
-    """For each group status, contig (0 for the heaviest path; -1 without any) and seq."""
+    """For each group status, contig (0 for the heaviest path; -1 without any) and seq.
+
+    Equal reads of a layer are one, at the last one's place, and groups are counted before any is gathered: only those with fewer than
+    MOST_READS distinct reads are. Reads that are null, empty or hold an N count as none; rows without a group are left out."""
     kind = reads.schema[group].dataType.simpleString()
+    usable = F.when((F.length(seq) > 0) & ~F.contains(F.col(seq), F.lit("N")), F.col(seq))
+    distinct = reads.where(F.col(group).isNotNull()).groupBy(group, usable.alias("__seq"), F.col(layer).alias("__layer")).agg(F.max(F.struct(*order)).alias("__at"))
+    counts = distinct.groupBy(group).agg(F.count("__seq").alias("__n"))
+    none = (F.col("__n") == 0) | (F.col("__n") >= MOST_READS)
+    given_up = counts.where(none).select(group, F.when(F.col("__n") == 0, "NO_SEQUENCE").otherwise("TOO_MANY_READS").alias("status"), F.lit(-1).alias("contig"), F.lit(None).cast("string").alias("seq"))
 
     def fold(rows: list[dict]) -> list[tuple]:
-        status, contigs = assemble([(r[seq], r[layer], True, True) for r in rows], least, read_len)
+        status, contigs = assemble([(r["__seq"], r["__layer"], True, True) for r in rows], least, read_len)
         return [(rows[0][group], status, n, c) for n, c in enumerate(contigs)] or [(rows[0][group], status, -1, None)]
 
-    return fold_groups(reads.select(group, seq, layer, *order), [group], order, fold, f"`{group}` {kind}, status string, contig int, seq string")
+    small = distinct.where("__seq is not null").join(counts.where(~none).select(group), group)
+    return given_up.unionByName(fold_groups(small, [group], ["__at"], fold, f"`{group}` {kind}, status string, contig int, seq string"))
