@@ -2,8 +2,8 @@
 
 Reads with a stable end and their mates' sequences become clusters, and right and left clusters pairs. A pair's mates point at
 regions of the reference; all are scored, the best one is chosen, and pairs that their own surroundings explain as well are given
-up. The region's sequence between both flanks is what the sample should look like there: reads are aligned to it again, and it is
-placed on the reference. Pairs without a region, or most of whose reads do not fit, are assembled from their reads instead.
+up. The region's sequence between both flanks is what the sample should look like there; contigs of the reads that fit correct it.
+Reads are aligned to it again, and it is placed on the reference. Pairs without a region, or most of whose reads do not fit, are assembled from their reads instead.
 
 Every step is a table over cluster pairs or their reads. Python works on one pair's few texts at a time: a pair has fewer than
 MOST_READS reads, and its texts span its reads and a region.
@@ -25,6 +25,7 @@ from spanloom.operators import annotate, placement, remap
 from spanloom.operators.assembly import MOST_READS
 from spanloom.operators.calls import insertion_filters, keep_first, sequential_ids
 from spanloom.operators.clustering import agglomerative_clusters, anchored_clusters
+from spanloom.operators.guided import guided_contigs, lay, patched
 from spanloom.operators.reference import with_reference
 from spanloom.operators.scoring import best_regions, score_regions
 from spanloom.operators.seeds import seed_index
@@ -116,16 +117,9 @@ def realigned(members: DataFrame, junctions: DataFrame, config: Config, least_qu
     right = F.col("side") == "R"
     text = F.when(F.col("clip"), F.col("seq")).when(right, reverse_complement(F.col("mate_seq"))).otherwise(F.col("mate_seq"))
     quality = F.when(~F.col("clip"), F.when(right, F.reverse("mate_qual")).otherwise(F.col("mate_qual")))
-    lists = members.groupBy("cluster").agg(F.collect_list(F.struct("side", "member", "clip", F.concat(pad, text, pad).alias("q"), quality.alias("quality"))).alias("queries"))
-    work = junctions.join(lists, "cluster").select("cluster", "junction", "queries").repartition("cluster")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                rows = [(r.cluster, q["side"], q["member"], q["clip"], q["quality"], align(q["q"], r.junction, HARSH)) for q in r.queries if q["q"]]
-                yield pd.DataFrame([(*x[:5], a.query_begin, a.query_end, a.mismatches, a.cigar) for *x, a in rows if a is not None], columns=["cluster", "side", "member", "clip", "quality", "query_begin", "query_end", "mismatches", "cigar"])
-
-    found = work.mapInPandas(run, "cluster long, side string, member long, clip boolean, quality string, query_begin int, query_end int, mismatches int, cigar string")
+    own = F.concat_ws(":", "side", "member")
+    found = lay(junctions, members.select("cluster", own.alias("of"), F.concat(pad, text, pad).alias("q")), "cluster", "junction", "of", "q", HARSH)
+    found = found.join(members.select("cluster", "side", "member", "clip", own.alias("of"), quality.alias("quality")), ["cluster", "of"])
     ok = A.accepts(F.col("cigar"), F.col("query_begin"), F.col("query_end"), F.col("mismatches"), config.max_seq_error, F.col("quality"), least_quality)
     return found.select("cluster", "side", "member", "clip", ok.alias("ok"))
 
@@ -142,7 +136,8 @@ def _support(judged: DataFrame, members: DataFrame) -> DataFrame:
 
 def discordant_insertions(reads: DataFrame, reference: DataFrame, config: Config, chunk: int = CHUNK, least_quality: int = 0) -> DataFrame:
     """The calls: id (T_INS_n transposed, A_INS_n assembled), kind, contig, start, end, seq, anchors and their CIGARs, support of both
-    sides, and of transposed ones where the sequence comes from: source, source_start, source_end and source_reverse.
+    sides, and of transposed ones where the sequence comes from: source, source_start, source_end and source_reverse, and precise:
+    whether reads' own consensus holds both breakpoints.
 
     reads: the columns of an alignment source; reference: contig, chunk_id, chunk (of `chunk` bases)."""
     tables = Scratch(reads.sparkSession, "discordant", light=True)
@@ -189,7 +184,12 @@ def discordant_insertions(reads: DataFrame, reference: DataFrame, config: Config
     texts = with_reference(texts, reference, ["cluster"], "at", "la", "lb", "right", chunk)
     texts = with_reference(texts, reference, ["cluster"], "contig", "first", "last", "source", chunk)
     texts = texts.withColumn("inserted", F.when(F.col("rc"), reverse_complement(F.upper("source"))).otherwise(F.col("source")))
-    junctions = tables.table(_junctions(texts, config.min_clip_len), "junctions")
+    plain = _junctions(texts, config.min_clip_len).join(spans.select("cluster", (F.col("rb") - F.col("ra") - 1).alias("rn"), (F.col("lb") - F.col("la") - 1).alias("ln")), "cluster")
+    plain = plain.select("cluster", F.col("junction").alias("text"), F.col("rn").alias("left_at"), (F.length("junction") - F.col("ln")).alias("right_at"))
+    plain = tables.table(plain, "plain")
+    fitting = _oriented(members.join(good, ["cluster", "side", "member"], "left_semi"))
+    contigs = guided_contigs(plain, fitting, "cluster", config.min_clip_len, config.max_seq_error, config.read_len, tables)
+    junctions = tables.table(patched(plain, contigs, "cluster").withColumnRenamed("text", "junction"), "junctions")
     judged = tables.table(realigned(members, junctions, config, least_quality), "judged")
 
     # Pairs whose reads do not fit, and those that point nowhere, are assembled; what that does not solve stays transposed.
@@ -208,7 +208,8 @@ def discordant_insertions(reads: DataFrame, reference: DataFrame, config: Config
     moved = moved.withColumns({"start": F.col("start") + F.col("low"), "end": F.col("end") + F.col("low"), "left_anchor": shift(F.col("left_anchor")), "right_anchor": shift(F.col("right_anchor"))}).select(*columns)
     moved = moved.join(_support(judged, members), "cluster").where("r_disc + r_fwd + r_rev > 0 and l_disc + l_fwd + l_rev > 0")
     origin = chosen.select("cluster", F.col("contig").alias("source"), F.col("first").alias("source_start"), F.col("last").alias("source_end"), F.col("rc").alias("source_reverse"))
-    moved = moved.join(origin, "cluster").withColumn("kind", F.lit("T"))
+    exact = junctions.select("cluster", (F.col("left_precise") & F.col("right_precise")).alias("precise"))
+    moved = moved.join(origin, "cluster").join(exact, "cluster").withColumn("kind", F.lit("T"))
 
     # Assembled sequences between their own flanks are what reads support.
     wide = solved.join(lengths, "contig").withColumns({"la": F.greatest(F.col("start") + 1 - config.max_is, F.lit(0)), "lb": F.col("start") + 1, "ra": F.col("end") + 1, "rb": F.least(F.col("end") + 1 + config.max_is, "length")})
@@ -221,6 +222,17 @@ def discordant_insertions(reads: DataFrame, reference: DataFrame, config: Config
     return sequential_ids(once.where("kind = 'T'"), key, "T_INS_").unionByName(sequential_ids(once.where("kind = 'A'"), key, "A_INS_"))
 
 
+def _oriented(members: DataFrame) -> DataFrame:
+    """cluster, read, layer, member, seq: all texts of a pair's members as they lie along the junction. Layer 1 are reads and the clip of
+    the right-clipped side, 2 mates, 3 reads and the clip of the other side."""
+    right = F.col("side") == "R"
+    name = lambda layer: F.concat_ws(":", layer, "side", F.lpad(F.col("member").cast("string"), 19, "0"))
+    text = lambda layer, seq: members.select("cluster", "side", "clip", "member", layer.alias("layer"), name(layer.cast("string")).alias("read"), F.upper(seq).alias("seq"))
+    own = text(F.when(right, 1).otherwise(3), F.col("seq"))
+    mates = text(F.lit(2), F.when(right, reverse_complement(F.col("mate_seq"))).otherwise(F.col("mate_seq"))).where("not clip")
+    return own.unionByName(mates).select("cluster", "read", "layer", "member", "seq")
+
+
 def _assembled(doubtful: DataFrame, members: DataFrame, reference: DataFrame, lengths: DataFrame, config: Config, chunk: int) -> DataFrame:
     """What becomes of each pair's assembly (see placement.assembled_insertions). Reads of the right side come first, then mates, then
     reads of the left side; the reference goes with one row of a pair."""
@@ -228,11 +240,8 @@ def _assembled(doubtful: DataFrame, members: DataFrame, reference: DataFrame, le
     stretch = doubtful.join(lengths, "contig").withColumns({"low": F.greatest(F.least("r_end", "l_start") - reach, F.lit(0)), "high": F.least(F.greatest("r_end", "l_start") + reach, "length")})
     stretch = with_reference(stretch.select("cluster", "contig", "low", "high"), reference, ["cluster"], "contig", "low", "high", "ref", chunk)
     head = stretch.select("cluster", F.lit(None).cast("string").alias("seq"), F.lit(0).alias("layer"), F.lit(-2).cast("long").alias("member"), F.upper("ref").alias("ref"))
-    right, none = F.col("side") == "R", F.lit(None).cast("string").alias("ref")
-    mine = members.join(doubtful.select("cluster"), "cluster", "left_semi")
-    own = mine.select("cluster", F.upper("seq").alias("seq"), F.when(right, 1).otherwise(3).alias("layer"), "member", none)
-    mates = mine.where("not clip").select("cluster", F.upper(F.when(right, reverse_complement(F.col("mate_seq"))).otherwise(F.col("mate_seq"))).alias("seq"), F.lit(2).alias("layer"), "member", none)
-    rows = head.unionByName(own).unionByName(mates).join(stretch.select("cluster", "contig", "low"), "cluster")
+    mine = _oriented(members.join(doubtful.select("cluster"), "cluster", "left_semi")).drop("read")
+    rows = head.unionByName(mine, allowMissingColumns=True).join(stretch.select("cluster", "contig", "low"), "cluster")
     return placement.assembled_insertions(rows, "cluster", ["layer", "member"], config.min_clip_len, config.read_len, config.min_insertion_size)
 
 
@@ -258,5 +267,6 @@ def vcf_lines(calls: DataFrame, reference: DataFrame, chunk: int = CHUNK) -> Dat
         "END": F.col("end") + 1, "SVTYPE": F.lit("INS"), "SVINSLEN": length, "SVLEN": length - (F.col("end") - F.col("start")), "SVINSSEQ": F.col("seq"), "ALGORITHM": F.when(F.col("kind") == "T", "transurveyor").otherwise("assembly"),
         "DISCORDANT": F.concat_ws(",", "r_disc", "l_disc"), "SPLIT_READS": F.concat_ws(",", F.col("r_fwd") + F.col("r_rev"), F.col("l_fwd") + F.col("l_rev")), "FWD_SPLIT_READS": F.concat_ws(",", "r_fwd", "l_fwd"), "REV_SPLIT_READS": F.concat_ws(",", "r_rev", "l_rev"),
         "LEFT_ANCHOR": F.col("left_anchor"), "RIGHT_ANCHOR": F.col("right_anchor"), "LEFT_ANCHOR_CIGAR": F.col("left_anchor_cigar"), "RIGHT_ANCHOR_CIGAR": F.col("right_anchor_cigar"),
+        "IMPRECISE": (F.col("kind") == "T") & ~F.col("precise"),
     }
-    return based.select("contig", "start", "id", record_line(F.col("contig"), F.col("start"), F.col("id"), F.upper("ref"), F.lit("<INS>"), F.col("filter"), info, set()).alias("line"))
+    return based.select("contig", "start", "id", record_line(F.col("contig"), F.col("start"), F.col("id"), F.upper("ref"), F.lit("<INS>"), F.col("filter"), info, {"IMPRECISE"}).alias("line"))

@@ -61,12 +61,14 @@ def test_seeds_find_what_the_whole_stretch_holds(spark, share):
     assert got == want and len(want) > 25
 
 
-def simulate(first, second, reverse, novel, seed):
+def simulate(first, second, reverse, novel, seed, changes=()):
     """Two contigs; a piece of the second, turned or not, or one that is nowhere, is put into the first. Pairs of 100 letters from
     fragments of 300 to 500, mapped as an aligner would: whole reads, and those over a breakpoint clipped."""
     draw = random.Random(seed)
     a, b, at = dna(draw, 6000), dna(draw, 6000), 3000
     piece = dna(draw, 400) if novel else b[2500:3000]
+    for i in changes:  # letters in which the sample differs from where its sequence comes from
+        piece = piece[:i] + "ACGT"["CGTA".index(piece[i])] + piece[i + 1 :]
     donor = a[:at] + (turned(piece) if reverse else piece) + a[at:]
     n = len(piece)
 
@@ -112,10 +114,10 @@ CONFIG = Config(max_is=600, read_len=100)
 
 @pytest.fixture(scope="module")
 def planted(spark):
-    """A copy, a turned copy, and a sequence that is nowhere else."""
+    """A copy, a turned copy that differs in some letters from where it comes from, and a sequence that is nowhere else."""
     contigs, donors, rows = {}, {}, []
     for seed, (first, second, reverse, novel) in enumerate([("a", "b", False, False), ("c", "d", True, False), ("e", "f", False, True)]):
-        some, donors[first], more = simulate(first, second, reverse, novel, seed + 1)
+        some, donors[first], more = simulate(first, second, reverse, novel, seed + 1, (120, 121, 250, 380) if reverse else ())
         contigs |= some
         rows += more
     reads = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA)
@@ -136,7 +138,8 @@ def test_planted_insertions_are_called(spark, planted):
         call = found[contig]
         assert (call["id"], call["source"], call["source_reverse"]) == (name, source, reverse)
         assert abs(call["source_start"] - 2500) < 30 and abs(call["source_end"] - 2999) < 30
-    assert (found["e"]["id"], found["e"]["source"]) == ("A_INS_0", None)
+        assert call["precise"]
+    assert (found["e"]["id"], found["e"]["source"], found["e"]["precise"]) == ("A_INS_0", None, None)
     judged = transpositions.annotate_filters(calls, reads, CONFIG, (5, 200), 25).cache()
     assert {r["id"]: r["filter"] for r in judged.collect()} == {r["id"]: ["PASS"] for r in found.values()}
     assert all(10 < r["left_depth"] < 100 and 10 < r["right_depth"] < 100 for r in judged.collect())
@@ -144,7 +147,7 @@ def test_planted_insertions_are_called(spark, planted):
     lines = {r["id"]: r["line"].split("\t") for r in transpositions.vcf_lines(judged, reference, 500).collect()}
     line = lines["T_INS_0"]
     assert line[:3] == ["a", str(found["a"]["start"] + 1), "T_INS_0"] and "ALGORITHM=transurveyor" in line[7] and f"SVINSSEQ={found['a']['seq']}" in line[7]
-    assert "ALGORITHM=assembly" in lines["A_INS_0"][7]
+    assert "ALGORITHM=assembly" in lines["A_INS_0"][7] and not any("IMPRECISE" in line[7] for line in lines.values())
 
 
 def test_no_discordant_reads_no_calls(planted):
