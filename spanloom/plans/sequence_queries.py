@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.align import DEFAULT, align_columns, suffix_prefix_columns
 from spanloom.functions.sequences import shared_prefix_length
+from spanloom.operators.assembly import assemble_groups
+from spanloom.operators.guided import guided_contigs
 from spanloom.operators.overlaps import exact_overlaps
 from spanloom.operators.placement import place_sequences
+from spanloom.shared import Scratch
 from spanloom.plans.registry import digits_dna, digits_dna_sql, dna, dna_sql, query, table
 
 _KEYS = f"seqs as (select c_custkey as i, {digits_dna_sql('c_custkey * 1009')} as q from customer)"
@@ -79,3 +82,30 @@ def placed_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = place_sequences(c.withColumn("contigs", F.array(F.substring("donor", 31, 196))), "contigs", "ref")
     spelt = F.concat(F.expr("substr(ref, 1, cast(start + 1 as int))"), F.col("seq"), F.expr("substr(ref, cast(end + 2 as int))"))
     return found.select("c_custkey", "status", (F.length("seq") - (F.col("end") - F.col("start"))).alias("size"), (spelt == F.col("donor")).alias("whole"))
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 40 letters of each item's text, one each 14 letters: item_id, q (the whole text), k, piece."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", dna(F.col("text")).alias("q")).where("length(q) >= 40")
+    tiled = items.withColumn("k", F.explode(F.expr("sequence(0, (length(q) - 40) div 14)")))
+    return tiled.withColumn("piece", F.expr("substr(q, cast(k * 14 + 1 as int), 40)"))
+
+
+_TILES = f"items as (select item_id, {dna_sql('text')} as q from benchmark), tiles as (select item_id, q, cast(unnest(range(0, (length(q) - 40) // 14 + 1)) as bigint) as k from items where length(q) >= 40)"
+
+
+@query("guided_consensus", f'with {_TILES} select item_id, min(k) * 14 as "begin", max(k) * 14 + 39 as "end", substr(any_value(q), cast(min(k) * 14 + 1 as integer), cast((max(k) - min(k)) * 14 + 40 as integer)) as seq from tiles where (k + item_id) % 9 < 7 group by item_id, (k + item_id) // 9')
+def guided_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs of an item's pieces along its text; of each nine pieces two are left out, so that there are gaps."""
+    tiles = _tiles(spark, sf_dir)
+    texts = tiles.groupBy("item_id").agg(F.first("q").alias("text"))
+    kept = tiles.where("(k + item_id) % 9 < 7").select("item_id", F.lpad(F.col("k").cast("string"), 9, "0").alias("read"), F.lit(2).alias("layer"), F.col("piece").alias("seq"))
+    found = guided_contigs(texts, kept, "item_id", 15, 0.04, 40, Scratch(spark, "guided", light=True), 64)
+    return found.select("item_id", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "seq")
+
+
+@query("assembled_contigs", f"with {_TILES} select item_id, 'OK' as status, 0 as contig, substr(any_value(q), 1, cast(max(k) * 14 + 40 as integer)) as seq from tiles group by item_id having count(*) > 1")
+def assembled_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items put together again from their pieces alone, by overlaps of 22 letters or more."""
+    tiles = _tiles(spark, sf_dir).select("item_id", F.col("k").alias("k"), F.lit(2).alias("layer"), "piece")
+    return assemble_groups(tiles, "item_id", "piece", "layer", ["k"], 22, 80).where("contig >= 0")
