@@ -27,6 +27,7 @@ from spanloom.operators.reference import with_reference
 from spanloom.operators.running import depth_at, order_statistics
 from spanloom.operators.sampling import random_positions, whole_contigs
 from spanloom.plans.config import Config
+from spanloom.shared import Scratch
 from spanloom.sources.text import contig_lengths
 
 #: How far a left clip may lie before and behind the right clip of the same insertion.
@@ -128,37 +129,74 @@ def small_insertions(reads: DataFrame, reference: DataFrame, config: Config, chu
     return sequential_ids(once.drop("product"), ["contig", "start", "end", "seq"], "S_INS_")
 
 
-def annotate_filters(calls: DataFrame, config: Config, depth: tuple[int, int] = (0, 1 << 30), reads: DataFrame | None = None) -> DataFrame:
+def annotate_filters(calls: DataFrame, config: Config, depth: tuple[int, int] | DataFrame = (0, 1 << 30), reads: DataFrame | None = None) -> DataFrame:
     """Adds `filter` to small calls, and with `reads` left_depth and right_depth too (see flank_depths).
 
-    depth: the least and largest usual depth. Without reads depths are not known and ANOMALOUS_DEPTH is not judged."""
+    depth: the least and largest usual depth, or those of each contig (see depth_bounds_by_contig). Without reads depths are not known
+    and ANOMALOUS_DEPTH is not judged."""
     zero = F.lit(0)
-    left, right = F.lit(depth[0]), F.lit(depth[0])
+    names = calls.columns
+    calls = with_depth_bounds(calls, depth)
+    left, right = F.col("__low"), F.col("__low")
     if reads is not None:  # an anchor that no read covers has depth 0
         calls = flank_depths(calls, reads).fillna(0, ["left_depth", "right_depth"])
+        names = [*names, "left_depth", "right_depth"]
         left, right = F.col("left_depth"), F.col("right_depth")
     c = {
-        "length": F.length("seq"), "start": F.col("start"), "end": F.col("end"), "seq": F.col("seq"), "left_depth": left, "right_depth": right, "min_depth": F.lit(depth[0]), "max_depth": F.lit(depth[1]),
-        "left_split": F.col("r_fwd_clipped") + F.col("r_rev_clipped"), "right_split": F.col("l_fwd_clipped") + F.col("l_rev_clipped"), "global_max_depth": F.lit(depth[1]), "left_disc": zero, "right_disc": zero,
+        "length": F.length("seq"), "start": F.col("start"), "end": F.col("end"), "seq": F.col("seq"), "left_depth": left, "right_depth": right, "min_depth": F.col("__low"), "max_depth": F.col("__high"),
+        "left_split": F.col("r_fwd_clipped") + F.col("r_rev_clipped"), "right_split": F.col("l_fwd_clipped") + F.col("l_rev_clipped"), "global_max_depth": F.col("__most"), "left_disc": zero, "right_disc": zero,
     }
-    return calls.withColumn("filter", insertion_filters("S", c, config.min_insertion_size, config.read_len))
+    return calls.select(*names, insertion_filters("S", c, config.min_insertion_size, config.read_len).alias("filter"))
 
 
 def depth_bounds(reads: DataFrame, positions: DataFrame) -> tuple[int, int]:
     """The usual depths over sampled positions (contig, pos) that reads cover: the values a hundredth of all above the least and
     below the largest. Every mapped read counts. (0, 2**30) if nothing is covered."""
-    spans = reads.where(~P.is_unmapped(F.col("flag"))).select("contig", F.col("pos").alias("s"), C.end_position(F.col("pos"), F.col("cigar")).alias("e"))
-    depths = depth_at(positions.withColumn("at", F.col("pos").cast("long")), spans, ["contig"], "at", "s", "e").where("depth > 0")
-    found = order_statistics(depths, [], "depth", {"low": F.expr("n div 100"), "high": F.expr("n - n div 100")}).first()
+    found = _usual(_covered(reads, positions), []).first()
     return (found["low"], found["high"]) if found else (0, 1 << 30)
 
 
+#: Ranks of the usual depths.
+_BOUNDS = {"low": "n div 100", "high": "n - n div 100", "median": "n div 2"}
+
+
+def _usual(depths: DataFrame, keys: list[str]) -> DataFrame:
+    return order_statistics(depths, keys, "depth", {name: F.expr(rank) for name, rank in _BOUNDS.items()})
+
+
+def _covered(reads: DataFrame, positions: DataFrame) -> DataFrame:
+    spans = reads.where(~P.is_unmapped(F.col("flag"))).select("contig", F.col("pos").alias("s"), C.end_position(F.col("pos"), F.col("cigar")).alias("e"))
+    return depth_at(positions.withColumn("at", F.col("pos").cast("long")), spans, ["contig"], "at", "s", "e").where("depth > 0")
+
+
+def depth_bounds_by_contig(reads: DataFrame, positions: DataFrame, default: str = ".") -> DataFrame:
+    """contig, low, high, median: as depth_bounds, for each contig with a covered position and, as `default`, for all together."""
+    depths = Scratch(reads.sparkSession, "depths", light=True).table(_covered(reads, positions).select("contig", "depth"), "depths")
+    columns = ["contig", *_BOUNDS]
+    own = _usual(depths, ["contig"]).select(*columns)
+    return own.unionByName(_usual(depths, []).withColumn("contig", F.lit(default)).select(*columns))
+
+
+def with_depth_bounds(calls: DataFrame, depth: tuple[int, int] | DataFrame, median: int = 0, default: str = ".") -> DataFrame:
+    """Adds __low, __high and __median, the usual depths of a call's contig, or of all where it has none, and __most, the largest usual
+    depth of all. Without any, depths are not bounded."""
+    if not isinstance(depth, DataFrame):
+        return calls.withColumns({"__low": F.lit(depth[0]), "__high": F.lit(depth[1]), "__most": F.lit(depth[1]), "__median": F.lit(median)})
+    names = ["low", "high", "median"]
+    own = depth.where(F.col("contig") != default).select("contig", *[F.col(n).alias(f"__o{n}") for n in names])
+    rest = depth.where(F.col("contig") == default).agg(*[F.max(n).alias(f"__r{n}") for n in names])  # one row, also without a default
+    both = {n: F.coalesce(F.col(f"__o{n}"), F.col(f"__r{n}"), F.lit(d)) for n, d in (("low", 0), ("high", 1 << 30), ("median", 0))}
+    joined = calls.join(own, "contig", "left").join(F.broadcast(rest))
+    return joined.select(*calls.columns, *[c.alias(f"__{n}") for n, c in both.items()], F.coalesce("__rhigh", F.lit(1 << 30)).alias("__most"))
+
+
 def call_small_insertions(reads: DataFrame, reference: DataFrame, config: Config, seed: int = 0, sample: str = "1", command: str = "") -> tuple[DataFrame, list[str]]:
     """The whole path: usual depths over random positions, calls, filters, lines. Returns the lines (see vcf_lines) with `filter`,
     and the header; sources.files.write_vcf writes them."""
     lengths = {r["contig"]: r["length"] for r in contig_lengths(reference).collect()}  # a row for each contig
     places = reads.sparkSession.createDataFrame(random_positions(whole_contigs(dict(sorted(lengths.items()))), seed) or [("", 0)], "contig string, pos long")
-    calls = annotate_filters(small_insertions(reads, reference, config), config, depth_bounds(reads, places), reads)
+    bounds = depth_bounds_by_contig(reads, places) if config.per_contig_stats else depth_bounds(reads, places)
+    calls = annotate_filters(small_insertions(reads, reference, config), config, bounds, reads)
     lines = vcf_lines(calls, reference).join(calls.select("id", "filter"), "id")
     return lines, header(sorted(lengths.items()), sample, command)
 

@@ -30,7 +30,7 @@ from spanloom.operators.reference import with_reference
 from spanloom.operators.scoring import best_regions, score_regions
 from spanloom.operators.seeds import seed_index
 from spanloom.plans.config import Config
-from spanloom.plans.insertions import CHUNK, clip_consensuses
+from spanloom.plans.insertions import CHUNK, clip_consensuses, with_depth_bounds
 from spanloom.shared import Scratch
 from spanloom.sources.text import contig_lengths
 
@@ -245,18 +245,19 @@ def _assembled(doubtful: DataFrame, members: DataFrame, reference: DataFrame, le
     return placement.assembled_insertions(rows, "cluster", ["layer", "member"], config.min_clip_len, config.read_len, config.min_insertion_size)
 
 
-def annotate_filters(calls: DataFrame, reads: DataFrame, config: Config, depth: tuple[int, int] = (0, 1 << 30), median: int = 0) -> DataFrame:
+def annotate_filters(calls: DataFrame, reads: DataFrame, config: Config, depth: tuple[int, int] | DataFrame = (0, 1 << 30), median: int = 0) -> DataFrame:
     """Adds left_depth, right_depth (see annotate.flank_depths) and `filter`. depth: the least and largest usual depth; median: the
-    usual one, of which support on one side should be a fifth. Remapping scores and the least number of pairs are not judged."""
-    calls = annotate.flank_depths(calls, reads).fillna(0, ["left_depth", "right_depth"])
+    usual one, of which support on one side should be a fifth; or those of each contig (see insertions.depth_bounds_by_contig). Remapping scores and the least number of pairs are not judged."""
+    names = [*calls.columns, "left_depth", "right_depth"]
+    calls = with_depth_bounds(annotate.flank_depths(calls, reads).fillna(0, ["left_depth", "right_depth"]), depth, median)
     split = {s: F.col(f"{s}_fwd") + F.col(f"{s}_rev") for s in "rl"}
     c = {
-        "length": F.length("seq"), "start": F.col("start"), "end": F.col("end"), "seq": F.col("seq"), "left_depth": F.col("left_depth"), "right_depth": F.col("right_depth"), "min_depth": F.lit(depth[0]), "max_depth": F.lit(depth[1]),
-        "left_split": split["r"], "right_split": split["l"], "global_max_depth": F.lit(depth[1]), "left_disc": F.col("r_disc"), "right_disc": F.col("l_disc"), "left_support": F.col("r_disc") + split["r"], "right_support": F.col("l_disc") + split["l"],
-        "median_depth": F.lit(median), "left_score": F.lit(None).cast("double"), "right_score": F.lit(None).cast("double"), "mh_len": F.greatest(F.col("start") - F.col("end"), F.lit(0)), "min_pairs": F.lit(0),
+        "length": F.length("seq"), "start": F.col("start"), "end": F.col("end"), "seq": F.col("seq"), "left_depth": F.col("left_depth"), "right_depth": F.col("right_depth"), "min_depth": F.col("__low"), "max_depth": F.col("__high"),
+        "left_split": split["r"], "right_split": split["l"], "global_max_depth": F.col("__most"), "left_disc": F.col("r_disc"), "right_disc": F.col("l_disc"), "left_support": F.col("r_disc") + split["r"], "right_support": F.col("l_disc") + split["l"],
+        "median_depth": F.col("__median"), "left_score": F.lit(None).cast("double"), "right_score": F.lit(None).cast("double"), "mh_len": F.greatest(F.col("start") - F.col("end"), F.lit(0)), "min_pairs": F.lit(0),
     }
     found = {k: insertion_filters(k, c, config.min_insertion_size, config.read_len) for k in "TA"}
-    return calls.withColumn("filter", F.when(F.col("kind") == "T", found["T"]).otherwise(found["A"]))
+    return calls.select(*names, F.when(F.col("kind") == "T", found["T"]).otherwise(found["A"]).alias("filter"))
 
 
 def vcf_lines(calls: DataFrame, reference: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -143,6 +143,22 @@ def test_filters_judge_the_depth_of_the_flanks(spark, tmp_path, planted):
     for depth, filters in (((1, 1000), ["PASS"]), ((100, 1000), ["ANOMALOUS_DEPTH"]), ((0, 2), ["ANOMALOUS_DEPTH", "ANOMALOUS_SC_NUMBER"])):
         (call,) = insertions.annotate_filters(calls, config, depth, rows).collect()
         assert sorted(call["filter"]) == filters and 2 < call["left_depth"] < 100 and 2 < call["right_depth"] < 100
+    bounds = lambda *own: spark.createDataFrame([*own, (".", 1, 1000, 30)], "contig string, low long, high long, median long")
+    for own, filters in ((bounds(("c", 100, 1000, 500)), ["ANOMALOUS_DEPTH"]), (bounds(("d", 100, 1000, 500)), ["PASS"]), (bounds().limit(0), ["PASS"])):
+        (call,) = insertions.annotate_filters(calls, config, own, rows).collect()
+        assert (call["filter"], "__low" in call.asDict()) == (filters, False)
+
+
+def test_depth_bounds_by_contig(spark):
+    """The hundredth values and medians of each contig's covered positions, and of all together."""
+    draw = random.Random(8)
+    spans = [(c, 0, a, f"{draw.randint(20, 60)}M") for c, n in (("a", 400), ("b", 30)) for a in draw.choices(range(300), k=n)]
+    places = [(c, p) for c in "abz" for p in range(0, 340, 3)]
+    found = insertions.depth_bounds_by_contig(spark.createDataFrame(spans, "contig string, flag int, pos long, cigar string"), spark.createDataFrame(places, "contig string, pos long"))
+    depths = {c: sorted(d for p in range(0, 340, 3) if (d := sum(k == c and a <= p < a + int(m[:-1]) for k, _, a, m in spans))) for c in "ab"}
+    depths["."] = sorted(depths["a"] + depths["b"])
+    want = {c: (v[len(v) // 100], v[min(len(v) - len(v) // 100, len(v) - 1)], v[len(v) // 2]) for c, v in depths.items()}
+    assert {r["contig"]: (r["low"], r["high"], r["median"]) for r in found.collect()} == want
 
 
 def test_reads_are_laid_out_behind_indels_of_the_first():
