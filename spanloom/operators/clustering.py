@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.alignments import SLACK
 from spanloom.operators.grouped import fold_columns
 from spanloom.operators.rounds import in_rounds
 from spanloom.operators.running import next_place, running_total
@@ -97,23 +98,32 @@ def merge_equal_intervals(df: DataFrame, keys: list[str], start: str, end: str,
     return df.groupBy(*keys, start, end).agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("members"))
 
 
-def agglomerate_part(clusters: list[tuple[int, int, bool]], most: int, low: float, high: float) -> tuple[list[int], list[list[int]], list[bool]]:
+def agglomerate_part(
+    clusters: list[tuple[int, int, bool]], most: int, low: float, high: float, clipped: list[bool] | None = None, left: bool = True, slack: int = SLACK
+) -> tuple[list[int], list[list[int]], list[bool]]:
     """One bin's part of agglomerate(): for each cluster (start, end, made by a merge), in order, the one that it went into, the bounds
     of each by then, and whether it is settled, so that nothing outside can change it.
 
     Clusters that start within `most` of the bin's ends may have partners outside. They are held, and so is a cluster once its
-    next merge would be with one that is held. Merging only makes spans longer, so what a cluster did before is certain."""
+    next merge would be with one that is held. Merging only makes spans longer, so what a cluster did before is certain.
+
+    clipped: which clusters' starts (left) or ends (not left) are given by clipped reads, so that no partner may lie more than `slack`
+    beyond; a cluster that merges with such a one becomes one, and the list is brought up to date."""
     n, starts = len(clusters), [c[0] for c in clusters]
     box, fresh = [[a, b] for a, b, _ in clusters], [c[2] for c in clusters]
     held = [s - most < low or s + most >= high for s in starts]
     up = list(range(n))
     heap: list[tuple[int, int, int, int, int]] = []  # weighted span, two clusters, and how often each had been merged
+    clipped = [False] * n if clipped is None else clipped
+    side, sign = (0, 1) if left else (1, -1)
     reach = lambda a, b: max(box[a][1], box[b][1]) - min(box[a][0], box[b][0])
+    kept = lambda a, b: not clipped[a] or sign * box[a][side] <= sign * box[b][side] + slack
+    fits = lambda a, b: reach(a, b) <= most and kept(a, b) and kept(b, a)
     for i in range(n):
         for j in range(i + 1, n):
             if box[j][0] - box[i][0] > most:
                 break
-            if reach(i, j) <= most:
+            if fits(i, j):
                 heap.append(((1 + (fresh[i] or fresh[j])) * reach(i, j), i, j, 0, 0))
     heapq.heapify(heap)
     version = [0] * n
@@ -126,11 +136,11 @@ def agglomerate_part(clusters: list[tuple[int, int, bool]], most: int, low: floa
             held[i] = held[j] = True
             continue
         box[i] = [min(box[i][0], box[j][0]), max(box[i][1], box[j][1])]
-        alive[j], up[j], fresh[i] = False, i, True
+        alive[j], up[j], fresh[i], clipped[i] = False, i, True, clipped[i] or clipped[j]
         version[i] += 1
         # a cluster begins where its first member does, so those within reach are neighbours in order
         for k in range(bisect_left(starts, starts[i] - most), bisect_right(starts, starts[i] + most)):
-            if k != i and alive[k] and reach(i, k) <= most:
+            if k != i and alive[k] and fits(i, k):
                 a, b = min(i, k), max(i, k)
                 heapq.heappush(heap, (2 * reach(i, k), a, b, version[a], version[b]))
 
@@ -143,36 +153,42 @@ def agglomerate_part(clusters: list[tuple[int, int, bool]], most: int, low: floa
     return roots, box, [not held[r] for r in roots]
 
 
-def agglomerate(spans: list[tuple[int, int]], most: int) -> list[int]:
+def agglomerate(spans: list[tuple[int, int]], most: int, clipped: list[bool] | None = None, left: bool = True, slack: int = SLACK) -> list[int]:
     """For each interval, in order of (start, end), the index of its cluster's first member.
 
     The two clusters whose union spans least are merged again and again, as long as it spans at most `most`; of equal spans
     the pair with the smaller indices goes first. Pairs that come up after a merge count with twice their span, so that
-    initial pairs go before them."""
-    return agglomerate_part([(a, b, False) for a, b in spans], most, float("-inf"), float("inf"))[0]
+    initial pairs go before them. clipped, left and slack: see agglomerate_part."""
+    return agglomerate_part([(a, b, False) for a, b in spans], most, float("-inf"), float("inf"), None if clipped is None else list(clipped), left, slack)[0]
 
 
-def agglomerative_clusters(df: DataFrame, keys: list[str], start: str, end: str, most: int, name: str = "cluster") -> DataFrame:
+def agglomerative_clusters(df: DataFrame, keys: list[str], start: str, end: str, most: int, name: str = "cluster", clips: str | None = None, side: str | None = None, slack: int = SLACK) -> DataFrame:
     """Adds the start and end of each row's cluster (see agglomerate) and its first member, which tells a key's clusters apart: that
     one's start (`island`) and end (`name`).
 
+    clips: a count of clipped reads that hold an interval's start, or its end where `side`, one of the keys, is R; no partner of it, or of
+    a cluster that it is in, lies more than `slack` beyond.
+
     Equal intervals are merged first. Clusters merge only with those that start within `most` of them, so bins of starts settle
     theirs in rounds, and a key without gaps is spread over tasks."""
-    whole = merge_equal_intervals(df, keys, start, end, []).select(*keys, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end))
-    rows = whole.select("*", F.col(start).alias("cluster_start"), F.col(end).alias("__first"), F.col(end).alias("cluster_end"), F.lit(False).alias("__merged"))
+    held = F.lit(False) if clips is None else F.coalesce(F.col(clips) > 0, F.lit(False))
+    whole = df.groupBy(*keys, start, end).agg(F.max(held).alias("__clipped")).select(*keys, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end), "__clipped")
+    rows = whole.select(*keys, start, end, F.col(start).alias("cluster_start"), F.col(end).alias("__first"), F.col(end).alias("cluster_end"), F.lit(False).alias("__merged"), "__clipped")
 
     def fold(group: list[dict], low: int, high: int) -> list[tuple]:
         of: dict[tuple[int, int], int] = {}
         for r in group:
             of.setdefault((r["cluster_start"], r["__first"]), len(of))
         known = {of[r["cluster_start"], r["__first"]]: (r["cluster_start"], r["cluster_end"], r["__merged"]) for r in group}
-        roots, box, settled = agglomerate_part([known[i] for i in range(len(of))], most, low, high)
+        clipped = {of[r["cluster_start"], r["__first"]]: r["__clipped"] for r in group}
+        clipped = [clipped[i] for i in range(len(of))]
+        roots, box, settled = agglomerate_part([known[i] for i in range(len(of))], most, low, high, clipped, side is None or group[0][side] != "R", slack)
         heads, grown = list(of), {r for i, r in enumerate(roots) if r != i}
         out = []
         for r in group:
             i = of[r["cluster_start"], r["__first"]]
             to = roots[i]
-            out.append((*[r[k] for k in keys], r[start], r[end], *heads[to], box[to][1], known[to][2] or to in grown, settled[i]))
+            out.append((*[r[k] for k in keys], r[start], r[end], *heads[to], box[to][1], known[to][2] or to in grown, clipped[to], settled[i]))
         return out
 
     found = in_rounds(rows, keys, "cluster_start", most, ["cluster_start", "__first"], fold, "agglomerate")

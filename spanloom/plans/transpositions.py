@@ -54,8 +54,9 @@ def cluster_pairs(reads: DataFrame, reference: DataFrame, config: Config, tables
         F.col("fwd_clipped").alias("fwd"), F.col("rev_clipped").alias("rev"),
     )
     clips = tables.table(clips, "clips")
-    spans = stable.select("contig", "side", "start", "end").unionByName(clips.select("contig", "side", "start", "end")).distinct()
-    grouped = agglomerative_clusters(spans, ["contig", "side"], "start", "end", config.max_is)
+    spans = stable.select("contig", "side", "start", "end", F.lit(0).alias("clips")).unionByName(clips.select("contig", "side", "start", "end", (F.col("fwd") + F.col("rev")).alias("clips")))
+    spans = spans.groupBy("contig", "side", "start", "end").agg(F.max("clips").alias("clips"))
+    grouped = agglomerative_clusters(spans, ["contig", "side"], "start", "end", config.max_is, clips="clips", side="side", slack=config.max_clipped_pos_dist)
     ids = tables.table(grouped.select("contig", "side", "island", "cluster").distinct().withColumn("id", F.monotonically_increasing_id()), "ids")
     of = tables.table(grouped.join(ids, ["contig", "side", "island", "cluster"]).select("contig", "side", "start", "end", "id"), "of")
     where = ["contig", "side", "start", "end"]

@@ -67,3 +67,47 @@ def test_no_rows_and_rows_without_a_place(spark):
     assert clustering.greedy_matching(spark.createDataFrame([], kinds), ["k"], "a", "b", "w", "at", 5).count() == 0
     assert clustering.greedy_matching(spark.createDataFrame([("x", 1, 2, 3, None), (None, 4, 5, 6, 7)], kinds), ["k"], "a", "b", "w", "at", 5).collect() == [(None, 4, 5)]
     assert clustering.agglomerative_clusters(spark.createDataFrame([], "k string, s long, e long"), ["k"], "s", "e", 5).count() == 0
+
+
+def plain_clusters(spans, most, clipped, left, slack):
+    """The rule by trying all pairs again and again: the first pairs by what their union spans, later ones by twice that."""
+    state = {i: (*s, c, False) for i, (s, c) in enumerate(zip(spans, clipped, strict=True))}
+    root = list(range(len(spans)))
+    while True:
+        best = None
+        for i in state:
+            for j in state:
+                a, b = state[i], state[j]
+                span = max(a[1], b[1]) - min(a[0], b[0])
+                over = (lambda x, y: x[0] > y[0] + slack) if left else (lambda x, y: x[1] < y[1] - slack)
+                if i < j and span <= most and not (a[2] and over(a, b)) and not (b[2] and over(b, a)):
+                    best = min(best or (10**9,), ((2 if a[3] or b[3] else 1) * span, i, j))
+        if best is None:
+            return root
+        _, i, j = best
+        a, b = state[i], state.pop(j)
+        state[i] = (min(a[0], b[0]), max(a[1], b[1]), a[2] or b[2], True)
+        root = [i if r == j else r for r in root]
+
+
+def test_clipped_ends_hold_while_clusters_merge(spark, monkeypatch):
+    changed = 0
+    for seed in range(40):
+        draw = random.Random(seed)
+        left, most = bool(seed % 2), draw.choice([30, 60])
+        spans = sorted({(s := draw.randint(0, 200), s + draw.randint(0, 20)) for _ in range(25)})
+        clipped = [draw.random() < 0.3 for _ in spans]
+        found = clustering.agglomerate(spans, most, clipped, left, 3)
+        assert parts(spans, found) == parts(spans, plain_clusters(spans, most, clipped, left, 3))
+        changed += parts(spans, found) != parts(spans, clustering.agglomerate(spans, most))
+    assert changed > 10
+    monkeypatch.setattr(rounds, "WIDTH", 8)
+    draw = random.Random(4)
+    spans = sorted({(s := draw.randint(0, 3_000), s + draw.randint(1, 30)) for _ in range(1_200)})
+    clips = [draw.choice([0, 0, 0, 2, None]) for _ in spans]
+    rows = [(side, *s, c) for s, c in zip(spans, clips, strict=True) for side in "LR"]
+    found = clustering.agglomerative_clusters(spark.createDataFrame(rows, "side string, s long, e long, c long"), ["side"], "s", "e", 60, clips="c", side="side").collect()
+    assert len(found) == len(rows)
+    for side in "LR":
+        mine = sorted((r["s"], r["e"], (r["island"], r["cluster"])) for r in found if r["side"] == side)
+        assert parts([m[:2] for m in mine], [m[2] for m in mine]) == parts(spans, clustering.agglomerate(spans, 60, [bool(c) for c in clips], side == "L"))
