@@ -29,8 +29,8 @@ def lay(texts: DataFrame, wanted: DataFrame, group: str, text: str, name: str, q
     query to its group's text; queries without one are left out. A text goes once to all queries of its group."""
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
     lists = wanted.where(F.length(query) > 0).groupBy(group).agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(query).alias("query"))).alias("__queries"))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as work is large for its bytes and tasks would be joined
-    work = texts.select(group, F.col(text).alias("__text")).join(lists, group).repartition(parts, group)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an exchange of its own, as work is large for its bytes: the join's would be left to few tasks
+    work = texts.select(group, F.col(text).alias("__text")).join(lists, group).repartition(parts, F.xxhash64(group))
     columns = [group, name, "query_begin", "query_end", "begin", "end", "mismatches", "cigar"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
