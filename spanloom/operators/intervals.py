@@ -46,6 +46,15 @@ def intervals_in_intervals(inner: DataFrame, outer: DataFrame, keys: list[str],
     return left.join(right, condition, how).drop("__bin", "__bin_", *[f"__{k}" for k in keys])
 
 
+def contained_counts(inner: DataFrame, outer: DataFrame, keys: list[str], start: str, end: str, low: str, high: str, width: int, count: str = "n") -> DataFrame:
+    """Pairs of distinct intervals of which [start, end] lies within [low, high] (closed), with the number of inner rows that are equal.
+
+    Very many reads and windows at few places are so compared once for each pair of places; what belongs to a window alone, or to a read
+    alone, is joined to its own rows afterwards."""
+    few = inner.groupBy(*keys, start, end).agg(F.count("*").alias(count))
+    return intervals_in_intervals(few, outer.select(*keys, low, high).distinct(), keys, start, end, low, high, width)
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, start2: str, end2: str, width: int) -> DataFrame:
     """Pairs of overlapping intervals. Both sides are binned; a pair counts in the bin where the later of them starts."""
     a = left.withColumn("__bin", F.explode(_bins(F.col(start), F.col(end) - 1, width)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import cigar as C
 from spanloom.functions import flags as P
 from spanloom.functions import sequences as S
-from spanloom.operators.intervals import intervals_in_intervals, overlaps_any
+from spanloom.operators.intervals import contained_counts, overlaps_any
 from spanloom.operators.clustering import first_come
 from spanloom.plans.registry import alignments, digits_dna, digits_dna_sql, dna, dna_sql, points, query, reads, table
 
@@ -105,24 +105,34 @@ def hamming_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HELD = "with {READS}, {POINTS}, short as (select * from reads where qty <= 10), held as (select pid, rid, s, e, p from points join short on points.contig = short.contig and p <= s and e <= p + 10)"
 
 
-def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).where("qty <= 10").select("rid", "contig", "s", "e")
+
+
+def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct places of reads within distinct windows, and what each position's window holds: pid, contig, p, n, offsets."""
     windows = points(spark, sf_dir).select("pid", "contig", "p", (F.col("p") + 10).alias("q"))
-    return intervals_in_intervals(reads(spark, sf_dir).where("qty <= 10").select("rid", "contig", "s", "e"), windows, ["contig"], "s", "e", "p", "q", 16)
+    held = contained_counts(_short(spark, sf_dir), windows, ["contig"], "s", "e", "p", "q", 16)
+    sizes = held.groupBy("contig", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("s") - F.col("p"))).alias("offsets"))
+    return held, windows.drop("q").join(sizes, ["contig", "p"])
 
 
 @query("interval_containment_join", _HELD + " select pid, count(*) as n, cast(sum(s - p) as bigint) as offsets from held group by pid")
 def interval_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short reads that lie within each position's window."""
-    return _held(spark, sf_dir).groupBy("pid").agg(F.count("*").alias("n"), F.sum(F.col("s") - F.col("p")).alias("offsets"))
+    return _held(spark, sf_dir)[1].groupBy("pid").agg(F.sum("n").alias("n"), F.sum("offsets").alias("offsets"))
 
 
 @query("first_come_assignment", _HELD + ", sizes as (select pid, count(*) as n from held group by pid) select rid, s, pid from (select rid, s, pid, row_number() over (partition by rid, s order by n desc, pid) as k from held join sizes using (pid)) where k = 1")
 def first_come_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each read goes to the largest window that holds it."""
-    held = _held(spark, sf_dir)
-    sizes = held.groupBy("pid").agg(F.count("*").alias("n"))
-    return first_come(held.join(sizes, "pid"), ["rid", "s"], [F.desc("n"), F.col("pid")]).select("rid", "s", "pid")
-
+    """Each read goes to the largest window that holds it. Of windows at one place only the first can be it, and reads of one place
+    have the same candidates."""
+    held, windows = _held(spark, sf_dir)
+    rank = [F.desc("n"), F.col("pid")]
+    sizes = windows.groupBy("pid").agg(F.sum("n").alias("n"))
+    best = first_come(windows.drop("n", "offsets").join(sizes, "pid"), ["contig", "p"], rank)
+    best = first_come(held.select("contig", "s", "e", "p").join(best, ["contig", "p"]), ["contig", "s", "e"], rank).drop("p")
+    return first_come(_short(spark, sf_dir).join(best, ["contig", "s", "e"]), ["rid", "s"], rank).select("rid", "s", "pid")
 
 
 @query("interval_overlap_semi", "with {READS}, {POINTS} select rid, s, e from reads r where exists (select 1 from points p where p.contig = r.contig and p.p < r.e and r.s < p.p + 1 + p.pid % 2)")
