@@ -64,11 +64,17 @@ def stable_with_mates(reads: DataFrame, least_mapq: int, least_clip: int) -> Dat
 
 def semi_mapped(clusters: DataFrame, pairs: DataFrame, max_is: int, width: int = 512) -> DataFrame:
     """Proper pairs whose mate lies within reach of a cluster, each given to the largest such cluster. clusters: id, contig,
-    side, start, end, members; pairs: contig, qname, mate_start, mate_end."""
+    side, start, end, members; pairs: contig, qname, mate_start, mate_end.
+
+    Of clusters with one reach only the first can get anything, and mates of one place have the same candidates; so a place meets
+    at most max_is + 1 clusters, whatever lies there."""
     low = F.when(F.col("side") == "R", F.col("end") - max_is).otherwise(F.col("start"))
     outer = clusters.select(F.col("id").alias("cluster"), "contig", low.alias("low"), (low + max_is).alias("high"), "members")
-    held = intervals_in_intervals(pairs, outer, ["contig"], "mate_start", "mate_end", "low", "high", width)
-    return first_come(held, ["contig", "qname"], [F.desc("members"), F.col("cluster")]).select("cluster", "contig", "qname")
+    rank = [F.desc("members"), F.col("cluster")]
+    outer, places = first_come(outer, ["contig", "low"], rank), pairs.select("contig", "mate_start", "mate_end").distinct()
+    held = intervals_in_intervals(places, outer, ["contig"], "mate_start", "mate_end", "low", "high", width).drop("low", "high")
+    held = first_come(held, ["contig", "mate_start", "mate_end"], rank)
+    return first_come(pairs.join(held, ["contig", "mate_start", "mate_end"]), ["contig", "qname"], rank).select("cluster", "contig", "qname")
 
 
 def matched_clusters(right: DataFrame, left: DataFrame, max_is: int) -> DataFrame:

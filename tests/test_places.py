@@ -1,5 +1,6 @@
 """Joins and overlaps by distinct places and texts: very many rows at few places make no row for each pair."""
 
+from spanloom.operators import annotate
 from spanloom.operators.intervals import contained_counts
 
 
@@ -8,3 +9,13 @@ def test_reads_of_one_place_meet_windows_of_one_place_once(spark):
     windows = spark.range(300).selectExpr("id", "'c' as c", "cast(3 as bigint) as p", "cast(3 + id % 10 as bigint) as q")
     found = contained_counts(reads, windows, ["c"], "s", "e", "p", "q", 4).collect()
     assert sorted((r["s"], r["q"], r["n"]) for r in found) == [(4, q, 250) for q in range(8, 13)] + [(5, q, 250) for q in range(9, 13)]
+
+
+def test_only_the_first_cluster_of_a_reach_and_one_row_of_a_place_are_joined(spark, monkeypatch):
+    met, join = [], annotate.intervals_in_intervals
+    monkeypatch.setattr(annotate, "intervals_in_intervals", lambda *a: met.append(join(*a)) or met[-1])
+    clusters = spark.range(400).selectExpr("id", "'c' as contig", "'L' as side", "id % 2 as start", "id % 2 + 9 as end", "if(id = 399, null, id div 100) as members")
+    pairs = spark.range(1000).selectExpr("'c' as contig", "id as qname", "cast(5 as bigint) as mate_start", "cast(8 as bigint) as mate_end")
+    found = annotate.semi_mapped(clusters, pairs, 20)
+    assert met[0].count() == 2
+    assert {(r["cluster"], r["contig"]) for r in found.collect()} == {(300, "c")} and found.count() == 1000
