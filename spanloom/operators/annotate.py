@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import cigar as C
 from spanloom.functions import flags as P
-from spanloom.operators.clustering import first_come, greedy_matching
+from spanloom.operators.clustering import first_come
 from spanloom.operators.coverage import median_covered
 from spanloom.operators.intervals import intervals_in_intervals, within_band
 from spanloom.operators.running import depth_at
@@ -79,8 +79,13 @@ def semi_mapped(clusters: DataFrame, pairs: DataFrame, max_is: int, width: int =
 
 def matched_clusters(right: DataFrame, left: DataFrame, max_is: int) -> DataFrame:
     """One-to-one pairs of right and left clusters in reach, by the product of their members: r, l. Each right cluster offers
-    only its largest partner; if that is taken it stays alone. Both: id, contig, start, end, members."""
-    a = right.select(F.col("id").alias("r"), "contig", F.col("end").alias("at"), F.col("members").alias("rm"))
-    b = left.select(F.col("id").alias("l"), "contig", F.col("start").alias("at2"), F.col("members").alias("lm"))
-    near = first_come(within_band(a, b, ["contig"], "at", "at2", max_is, max_is), ["r"], [F.desc("lm"), F.col("at2"), F.col("l")])
-    return greedy_matching(near.withColumn("w", F.col("rm") * F.col("lm")), ["contig"], "r", "l", "w", "at", 2 * max_is)
+    only its largest partner; if that is taken it stays alone. Both: id, contig, start, end, members.
+
+    Of left clusters at one place only the first can be a partner, and right ones at one place have the same, so a place meets at most
+    2 * max_is + 1. As a right cluster has one offer, the matching in order of weight gives each left one its best."""
+    a = right.select(F.col("id").cast("long").alias("r"), "contig", F.col("end").alias("at"), F.col("members").alias("rm"))
+    b = left.select(F.col("id").cast("long").alias("l"), "contig", F.col("start").alias("at2"), F.col("members").alias("lm"))
+    rank = [F.desc("lm"), F.col("at2"), F.col("l")]
+    near = first_come(within_band(a.select("contig", "at").distinct(), first_come(b, ["contig", "at2"], rank), ["contig"], "at", "at2", max_is, max_is), ["contig", "at"], rank)
+    offers = first_come(a.join(near, ["contig", "at"]), ["r"], rank)
+    return first_come(offers, ["contig", "l"], [F.desc(F.col("rm") * F.col("lm")), F.col("r")]).select("contig", "r", "l")

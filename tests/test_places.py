@@ -1,7 +1,9 @@
 """Joins and overlaps by distinct places and texts: very many rows at few places make no row for each pair."""
 
 from spanloom.operators import annotate
+from spanloom.operators.clustering import greedy_pairs
 from spanloom.operators.intervals import contained_counts
+from spanloom.operators.overlaps import exact_overlaps, overlap_degrees
 
 
 def test_reads_of_one_place_meet_windows_of_one_place_once(spark):
@@ -19,3 +21,37 @@ def test_only_the_first_cluster_of_a_reach_and_one_row_of_a_place_are_joined(spa
     found = annotate.semi_mapped(clusters, pairs, 20)
     assert met[0].count() == 2
     assert {(r["cluster"], r["contig"]) for r in found.collect()} == {(300, "c")} and found.count() == 1000
+
+
+def test_matching_meets_distinct_places_and_is_the_greedy_one(spark, monkeypatch):
+    met, join = [], annotate.within_band
+    monkeypatch.setattr(annotate, "within_band", lambda *a: met.append(join(*a)) or met[-1])
+    right = spark.range(300).selectExpr("id", "'c' as contig", "id % 3 as start", "id % 3 + 5 as end", "id * 7 % 11 as members")
+    left = spark.range(1000, 1300).selectExpr("id", "'c' as contig", "id % 3 as start", "id % 3 + 5 as end", "id * 5 % 13 as members")
+    found = annotate.matched_clusters(right, left, 6)
+    a, b = [r.asDict() for r in right.collect()], [r.asDict() for r in left.collect()]
+    offers = [(x, min((y for y in b if abs(y["start"] - x["end"]) <= 6), key=lambda y: (-y["members"], y["start"], y["id"]))) for x in a]
+    want = greedy_pairs([(x["members"] * y["members"], x["id"], y["id"]) for x, y in offers])
+    assert sorted((r["r"], r["l"]) for r in found.collect()) == sorted(want)
+    assert met[0].count() <= 9
+
+
+def _sequences(spark):
+    """Few letters and few texts, so that suffixes lie within one another, whole texts overlap and many are equal."""
+    texts = ["".join("AC"[i >> k & 1] for k in range(n)) for n in range(3, 7) for i in range(0, 1 << n, 3)] + ["AAAAAA"] * 5 + ["AAAAA"] * 3
+    return list(enumerate(texts)), spark.createDataFrame(list(enumerate(texts)), "i long, q string")
+
+
+def test_overlaps_of_equal_texts_are_those_of_all_pairs(spark):
+    rows, df = _sequences(spark)
+    fits = lambda p, q: [k for k in range(3, min(len(p), len(q)) + 1) if p[-k:] == q[:k]]
+    want = sorted((a, b, max(fits(p, q))) for a, p in rows for b, q in rows if a != b and fits(p, q))
+    assert sorted(tuple(r) for r in exact_overlaps(df, "i", "q", 3).collect()) == want
+
+
+def test_degrees_count_proper_overlaps_even_beside_whole_ones(spark):
+    rows, df = _sequences(spark)
+    fits = lambda p, q: [k for k in range(3, min(len(p), len(q))) if p[-k:] == q[:k]]
+    edges = [(a, b, max(fits(p, q))) for a, p in rows for b, q in rows if a != b and fits(p, q)]
+    want = sorted((a, sum(e[0] == a for e in edges), max(e[2] for e in edges if e[0] == a), min(e[1] for e in edges if e[0] == a)) for a in {e[0] for e in edges})
+    assert sorted(tuple(r) for r in overlap_degrees(df, "i", "q", 3).select("source", "degree", "best", "first_target").collect()) == want
