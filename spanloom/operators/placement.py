@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.functions.align import PADDING, TO_BASE, Scoring, align, encode
+from spanloom.functions.align import PADDING, TO_BASE, Scoring, align_many, column_bests, encode, together
 from spanloom.operators.assembly import assemble
 from spanloom.operators.grouped import fold_groups
 
@@ -48,71 +48,82 @@ class _Reach:
     base: np.ndarray
 
 
-def _beginnings(seq: np.ndarray, ref: np.ndarray, s: Scoring = TO_BASE) -> _Reach:
+def _beginnings(seqs: list[np.ndarray], refs: list[np.ndarray], s: Scoring = TO_BASE) -> list[_Reach]:
     """Each beginning is aligned from its first letter on, wherever on the reference; of equal scores the shorter, then the earlier."""
-    rows, m = s.rows(ref), len(ref)
-    ramp = np.arange(m + 1, dtype=np.int32) * s.gap_extend
-    h, f = np.zeros(m + 1, dtype=np.int32), np.full(m + 1, -(1 << 28), dtype=np.int32)
-    best, letters = np.zeros(m, dtype=np.int32), np.zeros(m, dtype=np.int64)
-    for i, c in enumerate(seq.tolist()):
-        f = np.maximum(f - s.gap_extend, h - s.gap_open)
-        new = f.copy()
-        np.maximum(new[1:], h[:-1] + rows[c], out=new[1:])
-        reach = np.maximum.accumulate(new + ramp)
-        np.maximum(new[1:], reach[:-1] - ramp[:-1] - s.gap_open, out=new[1:])
-        h = new
-        more = h[1:] > best
-        best[more], letters[more] = h[1:][more], i + 1
-    top = np.maximum.accumulate(best)
-    base = np.maximum.accumulate(np.where(best == top, np.where(np.append(True, top[1:] > top[:-1]), np.arange(m), 0), 0))
-    return _Reach(top, letters[base], base)
-
-
-def _cut(left: str, right: str, ref: str) -> tuple[int, int, int]:
-    """Where to cut the reference so that a beginning of `left` before it and an ending of `right` after it earn most, the first of
-    equals: the last base before the cut, and how many letters of left and right these are."""
-    r = encode(ref)
-    before, after = _beginnings(encode(left), r), _beginnings(encode(right)[::-1], r[::-1])
-    total = before.score[:-1] + after.score[::-1][1:]
-    at = int(total.argmax())
-    return at, int(before.letters[at]), int(after.letters[len(ref) - 2 - at])
-
-
-def _placed(left: str, right: str, ref: str, least_clip: int) -> Placed | None:
-    """The left sequence's beginning and the right one's ending on both sides of the best cut; they are one sequence, or two whose
-    other ends are open."""
-    if len(ref) < 2:
-        return None
-    at, n, k = _cut(_PAD + left, right + _PAD, ref)
-    n, k = max(n - PADDING, 0), max(k - PADDING, 0)
-    if left is right:
-        k = min(k, len(left) - n)  # no letter counts on both sides
-    a, b = align(_PAD + left[:n], ref[: at + 1], TO_BASE), align(right[len(right) - k :] + _PAD, ref[at + 1 :], TO_BASE)
-    if a is None or b is None:
-        return None
-    low = at + 1 + b.ref_begin
-    high = at + 1 + b.ref_end
-    held = max(a.query_end + 1 - PADDING, 0), k - b.query_begin  # letters of the sequences that the anchors hold
-    seq = left[held[0] : len(left) - held[1]] if left is right else f"{left[held[0] :]}-{right[: len(right) - held[1]]}"
-    good = a.query_begin == 0 and held[0] >= least_clip, b.query_end == k + PADDING - 1 and held[1] >= least_clip
-    return Placed(a.ref_end, low - 1, seq, (a.ref_begin + PADDING, a.ref_end), (low, high - PADDING), a.cigar, b.cigar, *good)
+    out: list[_Reach | None] = [None] * len(seqs)
+    for some in together([(len(x), len(r)) for x, r in zip(seqs, refs, strict=True)]):
+        best, letters = column_bests([seqs[i] for i in some], [refs[i] for i in some], s, False)
+        top = np.maximum.accumulate(best, axis=1)
+        rises = np.ones(top.shape, dtype=bool)
+        rises[:, 1:] = top[:, 1:] > top[:, :-1]
+        base = np.maximum.accumulate(np.where(rises & (best == top), np.arange(top.shape[1]), 0), axis=1)
+        letters = np.take_along_axis(letters, base, 1)
+        for k, i in enumerate(some):
+            m = len(refs[i])
+            out[i] = _Reach(top[k, :m], letters[k, :m], base[k, :m])
+    return out
+
+
+def _cuts(pairs: list[tuple[str, str, str]]) -> list[tuple[int, int, int]]:
+    """For each (left, right, ref) where to cut the reference so that a beginning of `left` before it and an ending of `right` after it
+    earn most, the first of equals: the last base before the cut, and how many letters of left and right these are."""
+    refs = [encode(r) for _, _, r in pairs]
+    reach = _beginnings([encode(x) for x, _, _ in pairs] + [encode(y)[::-1] for _, y, _ in pairs], refs + [r[::-1] for r in refs])
+    out = []
+    for before, after, r in zip(reach[: len(pairs)], reach[len(pairs) :], refs, strict=True):
+        at = int((before.score[:-1].astype(np.int32) + after.score[::-1][1:]).argmax())
+        out.append((at, int(before.letters[at]), int(after.letters[len(r) - 2 - at])))
+    return out
+
+
+def _placed(pairs: list[tuple[str, str, str]], least_clip: int) -> list[Placed | None]:
+    """For each (left, right, ref) the left sequence's beginning and the right one's ending on both sides of the best cut; they are one
+    sequence, or two whose other ends are open."""
+    out: list[Placed | None] = [None] * len(pairs)
+    kept = [i for i, (_, _, ref) in enumerate(pairs) if len(ref) >= 2]
+    cuts = []
+    for i, (at, n, k) in zip(kept, _cuts([(_PAD + pairs[i][0], pairs[i][1] + _PAD, pairs[i][2]) for i in kept]), strict=True):
+        left, right, _ = pairs[i]
+        n, k = max(n - PADDING, 0), max(k - PADDING, 0)
+        if left is right:
+            k = min(k, len(left) - n)  # no letter counts on both sides
+        cuts.append((i, at, n, k))
+    befores = align_many([_PAD + pairs[i][0][:n] for i, _, n, _ in cuts], [pairs[i][2][: at + 1] for i, at, _, _ in cuts], TO_BASE)
+    afters = align_many([pairs[i][1][len(pairs[i][1]) - k :] + _PAD for i, _, _, k in cuts], [pairs[i][2][at + 1 :] for i, at, _, _ in cuts], TO_BASE)
+    for (i, at, _, k), a, b in zip(cuts, befores, afters, strict=True):
+        left, right, _ = pairs[i]
+        if a is None or b is None:
+            continue
+        low = at + 1 + b.ref_begin
+        high = at + 1 + b.ref_end
+        held = max(a.query_end + 1 - PADDING, 0), k - b.query_begin  # letters of the sequences that the anchors hold
+        seq = left[held[0] : len(left) - held[1]] if left is right else f"{left[held[0] :]}-{right[: len(right) - held[1]]}"
+        good = a.query_begin == 0 and held[0] >= least_clip, b.query_end == k + PADDING - 1 and held[1] >= least_clip
+        out[i] = Placed(a.ref_end, low - 1, seq, (a.ref_begin + PADDING, a.ref_end), (low, high - PADDING), a.cigar, b.cigar, *good)
+    return out
 
 
 def place(contigs: list[str], ref: str, least_clip: int = 15) -> Placed | None:
     """Where the first sequence leaves the reference and comes back. If it is anchored at one end only, the second sequence may be
     the other half, which has a clip's letters beyond its anchor at least; then a `-` stands for what is missing between them. None
     if nothing aligns."""
-    if not contigs or not contigs[0]:
-        return None
-    whole = _placed(contigs[0], contigs[0], ref, least_clip)
-    if whole is None or whole.left_good == whole.right_good or len(contigs) < 2 or not contigs[1]:
-        return whole
-    first, second = (contigs[0], contigs[1]) if whole.left_good else (contigs[1], contigs[0])
-    halves = _placed(first, second, ref, least_clip)
-    if halves is None:
-        return whole
-    piece = halves.seq.split("-")[whole.left_good]
-    return halves if halves.left_good and halves.right_good and len(piece) >= least_clip else whole
+    return place_many([(contigs, ref)], least_clip)[0]
+
+
+def place_many(cases: list[tuple[list[str], str]], least_clip: int = 15) -> list[Placed | None]:
+    """place() of each case, many at a time."""
+    out: list[Placed | None] = [None] * len(cases)
+    kept = [i for i, (contigs, ref) in enumerate(cases) if contigs and contigs[0] and ref]
+    for i, whole in zip(kept, _placed([(cases[i][0][0], cases[i][0][0], cases[i][1]) for i in kept], least_clip), strict=True):
+        out[i] = whole
+    half = [i for i in kept if out[i] is not None and out[i].left_good != out[i].right_good and len(cases[i][0]) > 1 and cases[i][0][1]]
+    pairs = [((c[0], c[1]) if out[i].left_good else (c[1], c[0])) + (cases[i][1],) for i in half for c in (cases[i][0],)]
+    for i, halves in zip(half, _placed(pairs, least_clip), strict=True):
+        if halves is not None:
+            piece = halves.seq.split("-")[out[i].left_good]
+            if halves.left_good and halves.right_good and len(piece) >= least_clip:
+                out[i] = halves
+    return out
 
 
 def judge(placed: Placed | None, ref: str, least_insertion: int = 50) -> tuple[str, Placed | None]:
@@ -165,8 +176,8 @@ def place_sequences(df: DataFrame, seqs: str, ref: str, least_clip: int = 15, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(names.index(seqs)).to_pylist(), batch.column(names.index(ref)).to_pylist(), strict=True)
-            found = [judge(place(s, r, least_clip) if s and r else None, r or "", least_insertion) for s, r in pairs]
+            pairs = [(s or [], r or "") for s, r in zip(batch.column(names.index(seqs)).to_pylist(), batch.column(names.index(ref)).to_pylist(), strict=True)]
+            found = [judge(p, r, least_insertion) for p, (_, r) in zip(place_many(pairs, least_clip), pairs, strict=True)]
             calls = [c for _, c in found]
             texts = {"seq": [c and c.seq for c in calls], "left_anchor": [c and f"{c.left_anchor[0]}-{c.left_anchor[1]}" for c in calls], "right_anchor": [c and f"{c.right_anchor[0]}-{c.right_anchor[1]}" for c in calls]}
             texts |= {"left_anchor_cigar": [c and c.left_cigar for c in calls], "right_anchor_cigar": [c and c.right_cigar for c in calls]}

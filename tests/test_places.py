@@ -1,9 +1,15 @@
 """Joins and overlaps by distinct places and texts: very many rows at few places make no row for each pair."""
 
+import random
+
+import pytest
+
+from spanloom.functions import align as A
 from spanloom.operators import annotate
 from spanloom.operators.clustering import greedy_pairs
 from spanloom.operators.intervals import contained_counts
 from spanloom.operators.overlaps import exact_overlaps, overlap_degrees
+from spanloom.operators.placement import place, place_many
 
 
 def test_reads_of_one_place_meet_windows_of_one_place_once(spark):
@@ -55,3 +61,37 @@ def test_degrees_count_proper_overlaps_even_beside_whole_ones(spark):
     edges = [(a, b, max(fits(p, q))) for a, p in rows for b, q in rows if a != b and fits(p, q)]
     want = sorted((a, sum(e[0] == a for e in edges), max(e[2] for e in edges if e[0] == a), min(e[1] for e in edges if e[0] == a)) for a in {e[0] for e in edges})
     assert sorted(tuple(r) for r in overlap_degrees(df, "i", "q", 3).select("source", "degree", "best", "first_target").collect()) == want
+
+
+def _texts(seed):
+    """Pieces of a reference with letters changed, left out and put in, and strangers."""
+    r = random.Random(seed)
+    dna = lambda n: "".join(r.choices("ACGTN", (8, 8, 8, 8, 1), k=n))
+    for _ in range(150):
+        ref = dna(r.randrange(90))
+        a, b = sorted(r.randrange(len(ref) + 1) for _ in range(2))
+        cut = r.randrange(a, b + 1)
+        yield r.choice([ref[a:b], ref[a:cut] + dna(r.randrange(9)) + ref[cut + r.randrange(4) : b], dna(r.randrange(40))]), ref
+
+
+@pytest.mark.parametrize("scoring", [A.DEFAULT, A.PERMISSIVE, A.TO_BASE, A.HARSH, A.Scoring(1, 100, 100, 100)])
+def test_pairs_aligned_together_are_as_those_aligned_alone(scoring):
+    pairs = list(_texts(7))
+    assert A.align_many([q for q, _ in pairs], [r for _, r in pairs], scoring) == [A.align(q, r, scoring) for q, r in pairs]
+
+
+def test_cases_placed_together_are_as_those_placed_alone():
+    r = random.Random(3)
+    dna = lambda n: "".join(r.choices("ACGT", k=n))
+    cases, wholes = [], []
+    for n in (60, 70, 90):
+        ref, new = dna(150 + n), dna(n)
+        whole = ref[:80] + new + ref[80:]
+        cases += [([whole[10 : len(whole) - 10]], ref), ([whole[20:110], whole[len(whole) - 100 :]], ref), ([], ref), ([whole], "")]
+        wholes.append(whole)
+    found = place_many(cases)
+    assert found == [place(*c) for c in cases]
+    for k, whole in enumerate(wholes):
+        (_, ref), call = cases[4 * k], found[4 * k]
+        assert ref[: call.start + 1] + call.seq + ref[call.end + 1 :] == whole
+        assert found[4 * k + 2] is None and found[4 * k + 3] is None
