@@ -17,7 +17,8 @@ def ops(cigar: Column) -> Column:
 
 def total(cigar: Column, kinds: str) -> Column:
     """Sum of the lengths of the operations of these kinds."""
-    return F.aggregate(ops(cigar), F.lit(0), lambda n, o: n + F.when(o["op"].isin(*kinds), o["len"]).otherwise(0))
+    sizes = F.regexp_extract_all(F.coalesce(cigar, F.lit("")), F.lit(rf"(\d+)[{kinds}]"), F.lit(1))
+    return F.aggregate(sizes, F.lit(0), lambda n, size: n + size.cast("int"))
 
 
 def reference_length(cigar: Column) -> Column:

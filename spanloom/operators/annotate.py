@@ -17,13 +17,12 @@ def flank_depths(calls: DataFrame, reads: DataFrame, width: int = 256) -> DataFr
     """Adds left_depth and right_depth: the median of non-zero depths over each anchor. calls: id, contig, left_anchor and
     right_anchor as `a-b`. Every record counts, secondary ones too."""
     spans = reads.select("contig", F.col("pos").alias("s"), C.end_position(F.col("pos"), F.col("cigar")).alias("e")).where("e > s")
-    out = calls
-    for side in ("left", "right"):
-        cut = F.split(f"{side}_anchor", "-")
-        targets = calls.select("id", "contig", cut[0].cast("long").alias("lo"), cut[1].cast("long").alias("hi"))
-        found = median_covered(targets, spans, ["contig"], ["id"], "lo", "hi", "s", "e", width)
-        out = out.join(found.select("id", F.col("median").alias(f"{side}_depth")), "id", "left")
-    return out
+    cut = F.split("x.anchor", "-")
+    anchors = calls.select("id", "contig", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_anchor").alias("anchor")) for side in ("left", "right")])).alias("x"))
+    targets = anchors.select("id", "contig", "x.side", cut[0].cast("long").alias("lo"), cut[1].cast("long").alias("hi"))
+    found = median_covered(targets, spans, ["contig"], ["id", "side"], "lo", "hi", "s", "e", width)  # depths are counted once for both
+    sides = [F.max(F.when(F.col("side") == side, F.col("median"))).alias(f"{side}_depth") for side in ("left", "right")]
+    return calls.join(found.groupBy("id").agg(*sides), "id", "left")
 
 
 def spanning_counts(calls: DataFrame, reads: DataFrame, read_len: int, least_quality: int = 0) -> DataFrame:

@@ -5,7 +5,10 @@ import random
 import pytest
 
 from spanloom.functions import align as A
+from pyspark.sql import functions as F
+
 from spanloom.operators import annotate
+from spanloom.operators.calls import filters
 from spanloom.operators.clustering import greedy_pairs
 from spanloom.operators.intervals import contained_counts
 from spanloom.operators.overlaps import exact_overlaps, overlap_degrees
@@ -95,3 +98,26 @@ def test_cases_placed_together_are_as_those_placed_alone():
         (_, ref), call = cases[4 * k], found[4 * k]
         assert ref[: call.start + 1] + call.seq + ref[call.end + 1 :] == whole
         assert found[4 * k + 2] is None and found[4 * k + 3] is None
+
+
+def test_depths_of_both_anchors_come_from_one_count(spark, monkeypatch):
+    runs, median = [], annotate.median_covered
+    monkeypatch.setattr(annotate, "median_covered", lambda *a: runs.append(0) or median(*a))
+    calls = spark.createDataFrame([(1, "c", "0-4", "10-14"), (2, "c", "90-99", "12-13")], "id long, contig string, left_anchor string, right_anchor string")
+    reads = spark.createDataFrame([("c", 0, "20M"), ("c", 2, "3S10M2D1I2M9S"), ("c", 3, None)], "contig string, pos long, cigar string")
+    found = annotate.flank_depths(calls, reads, 16).orderBy("id").select("left_depth", "right_depth").collect()
+    assert [tuple(r) for r in found] == [(1, 2), (0, 2)] and len(runs) == 1
+
+
+def test_scores_of_one_cigar_are_worked_out_once(spark, sf_dir):
+    from spanloom.plans.catalogue import QUERIES
+
+    plan = QUERIES["prefix_score_arrays"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("array_max")  # below the join, on distinct CIGARs
+
+
+def test_filters_need_no_lambda(spark):
+    named = {"ONE": F.col("id") > 0, "TWO": F.col("id") > 1, "THREE": F.lit(None).cast("boolean")}
+    df = spark.range(3).select(filters(named).alias("f"))
+    assert [r["f"] for r in df.collect()] == [["PASS"], ["ONE"], ["ONE", "TWO"]]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
