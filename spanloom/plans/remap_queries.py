@@ -267,9 +267,11 @@ select rid, s, cast(list_max(out) as bigint) as best, cast(len(out) as bigint) a
 )
 def prefix_score_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running alignment scores along the reference."""
-    a = alignments(spark, sf_dir)
-    scores = A.prefix_scores(F.translate("cigar", "M", "="))
-    return a.select("rid", "s", scores.alias("x")).select("rid", "s", _long(F.array_max("x")).alias("best"), _long(F.size("x")).alias("n"), F.array_join(F.col("x").cast("array<string>"), ",").alias("scores"))
+    a = alignments(spark, sf_dir).select("rid", "s", F.translate("cigar", "M", "=").alias("cigar"))
+    # many reads have one CIGAR, whose scores are worked out once
+    x = a.select("cigar").distinct().select(F.col("cigar").alias("c"), A.prefix_scores(F.col("cigar")).alias("x"))
+    scores = x.select("c", _long(F.array_max("x")).alias("best"), _long(F.size("x")).alias("n"), F.array_join(F.col("x").cast("array<string>"), ",").alias("scores"))
+    return a.join(scores, F.col("cigar").eqNullSafe(F.col("c"))).select("rid", "s", "best", "n", "scores")
 
 
 @query("cluster_read_union", "with {READS}, c as (select okey, list(rid order by rid) filter (strand = 'F') as r, list(rid order by rid) filter (strand <> 'F') as l from reads group by okey) select okey, array_to_string(list_concat(coalesce(r, []), coalesce(l, [])), ' ') as members from c")
