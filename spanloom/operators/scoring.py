@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.align import DEFAULT, PERMISSIVE, Scoring
+from spanloom.functions.align import DEFAULT, PERMISSIVE, Scoring, gaps_may_pay
 from spanloom.functions.sequences import reverse_complement
 from spanloom.operators.seeds import K, W, align_to_stretches, seed_index
 from spanloom.shared import Scratch
@@ -57,11 +57,13 @@ def score_regions(
     Members that do not align at all have no such row. Results are tables of `tables`."""
     index = seed_index(reference, chunk, k, w) if index is None else index
     rows = tables.table(oriented(members).select("cluster", "rc", "side", "member", "clip", "q"), f"{name}members")
+    # Where no query is so long that a gap may pay, none needs seeds.
+    longest_query = rows.agg(F.max(F.length("q"))).first()[0] or 0
     cases = regions.withColumn("rc", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("side", F.explode(F.array(F.lit("R"), F.lit("L"))))
     asked = rows.join(regions.select("cluster", "region"), "cluster")
 
     def put(stretches: DataFrame, queries: DataFrame, how: Scoring, table: str) -> DataFrame:
-        found = align_to_stretches(stretches, queries.select(*_SIDE, "member", "clip", "q"), _SIDE, ["member", "clip"], reference, index, chunk, how, k, w)
+        found = align_to_stretches(stretches, queries.select(*_SIDE, "member", "clip", "q"), _SIDE, ["member", "clip"], reference, index if gaps_may_pay(longest_query, how) else None, chunk, how, k, w)
         flags = {"accepted": F.col("score") >= least, "left_clipped": F.col("left_clip") >= least_clip, "right_clipped": F.col("right_clip") >= least_clip}
         return tables.table(found.withColumns(flags).drop("left_clip", "right_clip"), f"{name}{table}")
 

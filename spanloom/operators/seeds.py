@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.align import DEFAULT, Scoring, encode, locate, locate_many
+from spanloom.functions.align import DEFAULT, Scoring, encode, gaps_may_pay, letter_codes, locate, locate_many, locate_ungapped
 from spanloom.operators.reference import with_reference
 
 #: Letters of a seed (12 fit in 24 bits), seeds of a window, diagonals that are looked at together, letters around them.
@@ -108,32 +110,59 @@ def locate_by_seeds(queries: list[str], bins: list[list[int]], text: str, scorin
     return out
 
 
-def align_to_stretches(stretches: DataFrame, queries: DataFrame, group: list[str], key: list[str], reference: DataFrame, index: DataFrame, chunk: int, scoring: Scoring = DEFAULT, k: int = K, w: int = W) -> DataFrame:
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts end to end as codes, and where each begins, and the end of all."""
+    texts = texts.cast(pa.large_string())
+    starts = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]] if data is not None else np.empty(0, dtype=np.uint8)
+    if len(data) and data.max() > 127:  # one letter that is none of the four, as encode() has it
+        return _codes(pc.replace_substring_regex(texts, "[^\\x00-\\x7F]", "?"))
+    return letter_codes(data), starts - starts[0]
+
+
+def align_to_stretches(stretches: DataFrame, queries: DataFrame, group: list[str], key: list[str], reference: DataFrame, index: DataFrame | None, chunk: int, scoring: Scoring = DEFAULT, k: int = K, w: int = W) -> DataFrame:
     """stretches: group, contig, low, high (half-open); queries: group, key, q, and any other columns. Adds to the queries that align
     at all score, start, end (inclusive, on the contig), left_clip and right_clip (letters of the query that do not).
 
     A stretch's text is fetched once for all its queries, which are one row with it: the reads of one cluster, of which there are
-    a thousand at most. Seeds are joined with the index by contig, chunk and seed."""
+    a thousand at most. Seeds are joined with the index by contig, chunk and seed. Queries too short for a gap to pay need no seeds:
+    those of many stretches go along the diagonals of their whole stretch together. Without an index no query has seeds."""
     both = [*group, *key]
-    chunks = stretches.where("high > low").select(*group, "contig", "low", "high", F.explode(F.sequence(F.expr(f"greatest(low, 0) div {chunk}"), F.expr(f"(greatest(high, 1) - 1) div {chunk}"))).alias("chunk_id"))
-    hits = _query_seeds(queries, both, k, w).join(chunks, group).join(index, ["contig", "chunk_id", "seed"]).where(f"at >= low and at + {k} <= high")
-    bins = hits.groupBy(*both).agg(F.collect_set(F.floor((F.col("at") - F.greatest("low", F.lit(0)) - F.col("qat")) / DIAGONALS)).alias("__bins"))
-    # Rows of a query may repeat; each is aligned.
-    rows = queries.join(bins, both, "left")
-    entry = F.struct(F.struct(*[c for c in queries.columns if c not in group]).alias("row"), "q", F.coalesce("__bins", F.array().cast("array<bigint>")).alias("bins"))
-    lists = rows.groupBy(*group).agg(F.collect_list(entry).alias("__queries"))
+    queries = queries.where("q is not null")
+    row, bins = F.struct(*[c for c in queries.columns if c not in group]).alias("row"), F.array().cast("array<bigint>")
+    if index is not None:
+        chunks = stretches.where("high > low").select(*group, "contig", "low", "high", F.explode(F.sequence(F.expr(f"greatest(low, 0) div {chunk}"), F.expr(f"(greatest(high, 1) - 1) div {chunk}"))).alias("chunk_id"))
+        long = queries.where(gaps_may_pay(F.length("q"), scoring))
+        hits = _query_seeds(long, both, k, w).join(chunks, group).join(index, ["contig", "chunk_id", "seed"]).where(f"at >= low and at + {k} <= high")
+        found = hits.groupBy(*both).agg(F.collect_set(F.floor((F.col("at") - F.greatest("low", F.lit(0)) - F.col("qat")) / DIAGONALS)).alias("__bins"))
+        # Rows of a query may repeat; each is aligned.
+        queries, bins = queries.join(found, both, "left"), F.coalesce("__bins", bins)
+    lists = queries.groupBy(*group).agg(F.collect_list(F.struct(row, bins.alias("bins"))).alias("__queries"))
     texts = with_reference(stretches.where("high > low"), reference, group, "contig", "low", "high", "__text", chunk)
     work = texts.join(lists, group).select(F.struct(*group).alias("group"), F.greatest("low", F.lit(0)).cast("long").alias("low"), F.col("__text").alias("text"), F.col("__queries").alias("queries"))
     work = work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")  # few bytes, but much work
     kind = work.schema["queries"].dataType.elementType["row"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                some = [x for x in r.queries if x["q"] is not None]
-                places = locate_by_seeds([x["q"] for x in some], [[int(b) for b in x["bins"]] for x in some], r.text, scoring, k, w)
-                out = [(r.group, x["row"], p[0], int(r.low) + p[1], int(r.low) + p[2], p[3], len(x["q"]) - 1 - p[4]) for x, p in zip(some, places, strict=True) if p is not None]
-                yield pd.DataFrame(out, columns=["group", "row", "score", "start", "end", "left_clip", "right_clip"])
-
-    done = work.mapInPandas(run, f"group {work.schema['group'].dataType.simpleString()}, row {kind}, score int, start long, end long, left_clip int, right_clip int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            lists = batch.column("queries")
+            of, entries = lists.value_parent_indices().to_numpy(), lists.flatten()
+            rows = entries.field("row")
+            letters, starts = _codes(rows.field("q"))
+            texts, text_starts = _codes(batch.column("text"))
+            found, sizes = np.zeros((len(rows), 5), dtype=np.int64), np.diff(starts)
+            long = gaps_may_pay(sizes, scoring)
+            found[~long] = locate_ungapped(letters, starts, texts, text_starts, of, scoring, np.flatnonzero(~long))
+            for i in np.unique(of[long]).tolist():
+                some = np.flatnonzero(long & (of == i))
+                places = locate_by_seeds(rows.field("q").take(pa.array(some)).to_pylist(), entries.field("bins").take(pa.array(some)).to_pylist(), batch.column("text")[i].as_py(), scoring, k, w)
+                found[some] = [(0, 0, 0, 0, 0) if p is None else p for p in places]
+            some = np.flatnonzero(found[:, 0] > 0)
+            score, begin, end, first, last = found[some].T
+            low = batch.column("low").to_numpy()[of[some]]
+            numbers = {"score": score.astype(np.int32), "start": low + begin, "end": low + end, "left_clip": first.astype(np.int32), "right_clip": (sizes[some] - 1 - last).astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({"group": batch.column("group").take(pa.array(of[some])), "row": rows.take(pa.array(some))} | {c: pa.array(v) for c, v in numbers.items()})
+
+    done = work.mapInArrow(run, f"group {work.schema['group'].dataType.simpleString()}, row {kind}, score int, start long, end long, left_clip int, right_clip int")
     return done.select("group.*", "row.*", "score", "start", "end", "left_clip", "right_clip")

@@ -1,11 +1,13 @@
 """Region scoring against brute force, and transposed insertions from simulated reads to variant lines."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions.align import DEFAULT, PERMISSIVE, align, locate, locate_many
+from spanloom.functions.align import DEFAULT, PERMISSIVE, Scoring, align, encode, gaps_may_pay, locate, locate_many, locate_ungapped
 from spanloom.operators import scoring, seeds
 from spanloom.plans import transpositions
 from spanloom.plans.config import Config
@@ -40,6 +42,44 @@ def test_many_are_located_as_one():
             assert (f is None) == (a is None) and (a is None or f == (a.score, a.ref_begin, a.ref_end, a.query_begin, a.query_end))
 
 
+def test_queries_for_which_no_gap_pays_are_located_together_as_alone():
+    draw = random.Random(5)
+    for s in (Scoring(1, 100, 100, 100), Scoring(1, 4, 30, 1), Scoring(2, 3, 80, 2), Scoring(1, 0, 30, 1), Scoring(3, 9, 300, 1, True)):
+        texts = [dna(draw, n) for n in (200, 1, 0, 90)] + ["A" * 50, "ACNNNNAC" * 9]
+        of = np.array([draw.randrange(len(texts)) for _ in range(150)])
+        queries = [noisy(draw, (texts[t][draw.randint(0, 60) :] + dna(draw, 9))[: draw.randint(0, 50)], 0.05)[:60] for t in of]
+        ends = lambda parts: np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        assert not any(gaps_may_pay(len(q), s) for q in queries)
+        found = locate_ungapped(encode("".join(queries)), ends(queries), encode("".join(texts)), ends(texts), of, s, np.arange(len(of)))
+        assert [None if not f[0] else tuple(f) for f in found.tolist()] == [locate(q, texts[t], s) for q, t in zip(queries, of, strict=True)]
+
+
+def test_many_short_queries_take_microseconds_each():
+    draw = random.Random(6)
+    queries, texts = dna(draw, 18 * 40_000), dna(draw, 360 * 2_000)
+    begun = time.monotonic()
+    found = locate_ungapped(encode(queries), np.arange(40_001) * 18, encode(texts), np.arange(2_001) * 360, np.repeat(np.arange(2_000), 20), Scoring(1, 100, 100, 100), np.arange(40_000))
+    assert time.monotonic() - begun < 4 and (found[:, 0] > 3).all()  # one at a time they take longer than that
+
+
+def test_stretches_need_no_index_where_no_gap_pays(spark):
+    """Also with long queries and other letters among them."""
+    draw, scoring = random.Random(8), Scoring(1, 3, 20, 2)
+    text = dna(draw, 700)
+    reference = spark.createDataFrame([("c", i, text[i * 256 : (i + 1) * 256]) for i in range(3)], "contig string, chunk_id long, chunk string")
+    queries = [(g, i, q) for g in (0, 1) for i, q in enumerate([text[300:330], text[10:30] + "\u00e9" + text[31:38], text[400:450] + text[455:500], "", None, "\u00e9", dna(draw, 25)])]
+    stretches = spark.createDataFrame([(0, "c", 0, 700), (1, "c", 250, 650)], "g int, contig string, low long, high long")
+    for index in (None, seeds.seed_index(reference, 256)):
+        found = seeds.align_to_stretches(stretches, spark.createDataFrame(queries, "g int, m int, q string"), ["g"], ["m"], reference, index, 256, scoring)
+        got = {(r["g"], r["m"]): (r["score"], r["start"], r["end"], r["left_clip"], r["right_clip"]) for r in found.collect()}
+        want = {}
+        for g, m, q in queries:
+            low, high = ((0, 700), (250, 650))[g]
+            if q and (f := locate(q, text[low:high], scoring)) is not None:
+                want[g, m] = (f[0], low + f[1], low + f[2], f[3], len(q) - 1 - f[4])
+        assert got == want and len(want) == 8
+
+
 @pytest.mark.parametrize("share", [0.0, 0.03, 0.15])
 def test_seeds_find_what_the_whole_stretch_holds(spark, share):
     """Scores and places by seeds equal those of aligning to everything, also where seeds are missing and across chunks."""
