@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 BASES = "ACGT"
 
+#: Columns of a cluster whose consensus is one row.
+_COLUMNS = 512
+
 _CIGAR_OP = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
@@ -19,12 +22,17 @@ def column_votes(reads: DataFrame, keys: list[str], seq: str, offset: str, qual:
     """For each cluster and column the base with most votes: keys, col, base, votes.
 
     Ties go to the larger sum of qualities (Phred+33), then to the first of A, C, G, T. Other letters do not vote."""
-    quality = F.split(F.col(qual), "") if qual else F.transform(F.split(F.col(seq), ""), lambda _: F.lit("!"))
-    chars = reads.select(*keys, F.col(offset).alias("__o"), F.posexplode(F.arrays_zip(F.split(F.upper(seq), "").alias("b"), quality.alias("q"))).alias("__i", "__z"))
-    votes = chars.where(F.col("__z.b").isin(*BASES)).groupBy(*keys, (F.col("__o") + F.col("__i")).cast("long").alias("col"), F.col("__z.b").alias("base"))
-    votes = votes.agg(F.count("*").alias("votes"), F.sum(F.ascii("__z.q") - 33).alias("__q"))
-    w = Window.partitionBy(*keys, "col").orderBy(F.desc("votes"), F.desc("__q"), "base")
-    return votes.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__q")
+    letters = F.split(F.upper(seq), "")
+    if qual:
+        chars = reads.select(*keys, F.col(offset).alias("__o"), F.posexplode(F.arrays_zip(letters.alias("b"), F.split(F.col(qual), "").alias("q"))).alias("__i", "__z")).select(*keys, "__o", "__i", "__z.*")
+    else:
+        chars = reads.select(*keys, F.col(offset).alias("__o"), F.posexplode(letters).alias("__i", "b"))
+    of = lambda value: [F.when(F.col("b") == base, value) for base in BASES]
+    votes = [F.count(x).alias(f"__n{i}") for i, x in enumerate(of(F.lit(1)))]
+    sums = [F.coalesce(F.sum(x), F.lit(-1)).alias(f"__q{i}") for i, x in enumerate(of(F.ascii("q") - 33))] if qual else []
+    counted = chars.where(F.col("b").isin(*BASES)).groupBy(*keys, (F.col("__o") + F.col("__i")).cast("long").alias("col")).agg(*votes, *sums)
+    ranked = [F.struct(F.col(f"__n{i}").alias("votes"), (F.col(f"__q{i}") if qual else F.lit(0)).alias("q"), F.lit(-i).alias("order"), F.lit(base).alias("base")) for i, base in enumerate(BASES)]
+    return counted.select(*keys, "col", F.greatest(*ranked).alias("__best")).select(*keys, "col", "__best.base", "__best.votes")
 
 
 def vote(seqs: list[str], quals: list[str | None], offsets: list[int]) -> str:
@@ -114,11 +122,23 @@ def trim_to_third(df: DataFrame, keys: list[str], start: str, end: str) -> DataF
 
 
 def reject_outliers(reads: DataFrame, keys: list[str], read_id: list[str], seq: str, offset: str, error: float, qual: str | None = None) -> DataFrame:
-    """Reads with their mismatches against their cluster's votes and whether they stay: mismatches <= ceil(error * length)."""
-    votes = column_votes(reads, keys, seq, offset, qual).select(*keys, "col", F.col("base").alias("__v"))
-    chars = reads.select(*keys, *read_id, F.col(offset).alias("__o"), F.posexplode(F.split(F.upper(seq), "")).alias("__i", "__b"))
-    chars = chars.where("__b <> ''").withColumn("col", (F.col("__o") + F.col("__i")).cast("long"))
-    differ = F.sum(F.when(F.col("__b") != F.coalesce("__v", F.lit("A")), 1).otherwise(0))
-    size = votes.groupBy(*keys).agg((F.max("col") + 1).alias("__size"))
-    counted = chars.join(votes, [*keys, "col"], "left").groupBy(*keys, *read_id).agg(differ.alias("mismatches")).join(size, keys)
+    """Reads with their mismatches against their cluster's votes and whether they stay: mismatches <= ceil(error * length).
+
+    Only votes are counted letter by letter. The consensus is then an array for each stretch of columns, which a read meets whole."""
+    reads = reads.where(F.length(seq) > 0)
+    first, last = F.floor(F.col(offset) / _COLUMNS), F.floor((F.col(offset) + F.length(seq) - 1) / _COLUMNS)
+    pieces = reads.select(*keys, *read_id, F.col(seq), *([qual] if qual else []), F.col(offset), F.explode_outer(F.sequence(first, last)).alias("__bin"))
+    start = F.greatest(F.col("__bin") * _COLUMNS - F.col(offset), F.lit(0))  # letters before the piece
+    size = F.least((F.col("__bin") + 1) * _COLUMNS - F.col(offset), F.length(seq)) - start
+    cut = lambda c: F.substring(F.col(c), (start + 1).cast("int"), size.cast("int")).alias(c)
+    pieces = pieces.select(*keys, *read_id, "__bin", cut(seq), *([cut(qual)] if qual else []), (F.col(offset) + start - F.col("__bin") * _COLUMNS).cast("int").alias("__at"))
+    votes = column_votes(pieces, [*keys, "__bin"], seq, "__at", qual)
+    filled = lambda x: F.flatten(F.transform(x, lambda v, i: F.concat(F.array_repeat(F.lit("A"), (v["col"] - F.when(i > 0, F.get(x, i - 1)["col"]).otherwise(-1) - 1).cast("int")), F.array(v["base"]))))
+    texts = votes.groupBy(*keys, "__bin").agg(filled(F.array_sort(F.collect_list(F.struct("col", "base")))).alias("__text"))
+    sizes = texts.groupBy(*keys).agg(F.max(F.col("__bin") * _COLUMNS + F.size("__text")).alias("__size"))
+    letters = F.split(F.upper(seq), "")
+    against = F.slice(F.coalesce("__text", F.array().cast("array<string>")), F.coalesce("__at", F.lit(0)) + 1, F.size(letters))
+    differ = F.size(F.filter(F.zip_with(letters, against, lambda b, v: b != F.coalesce(v, F.lit("A"))), lambda x: x))
+    counted = pieces.join(texts, [*keys, "__bin"], "left").select(*keys, *read_id, differ.cast("long").alias("__m"))
+    counted = counted.groupBy(*keys, *read_id).agg(F.sum("__m").alias("mismatches")).join(sizes, keys)
     return counted.withColumn("kept", F.col("mismatches") <= F.ceil(F.lit(error) * F.col("__size"))).drop("__size")

@@ -1,10 +1,12 @@
 """Cases that went wrong on data that is not tiny."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import clustering
+from spanloom.operators import clustering, consensus
 from spanloom.operators.calls import sequential_ids
 from spanloom.operators.sampling import default_lookup
 from spanloom.sources.text import read_fasta
@@ -133,3 +135,31 @@ def test_greedy_matching_equals_the_stated_rule(spark):
         left = [r for r in left if r[1] != a and r[2] != b]
     found = clustering.greedy_matching(spark.createDataFrame(rows, "k string, a long, b long, w long, at long"), ["k"], "a", "b", "w", "at", 10)
     assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(want)
+
+
+def test_reads_meet_the_consensus_of_their_columns_whole(spark):
+    """Mismatches by stretches of columns are those by columns, across stretches, gaps, other letters and equal ids; no letter of a
+    read but its vote is a row."""
+    draw, rows = random.Random(4), []
+    for c in ("a", "b", None):
+        for i in range(9):
+            n = draw.choice([1, 30, 700])
+            rows.append((c, i % 7, "".join(draw.choices("ACGTacgtN", k=n)), draw.choice([0, 3, 500, 511, 512, 1500]), "".join(draw.choices("!5I", k=n))))
+    rows += [("a", 20, "", 0, ""), ("a", 21, None, 0, None), ("n", 22, "NNN", 0, "III"), ("a", 23, "NN", 5000, "II")]
+    frame = spark.createDataFrame(rows, "c string, id int, q string, o int, u string")
+    for qual in (None, "u"):
+        found = consensus.reject_outliers(frame, ["c"], ["id"], "q", "o", 0.25, qual)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("posexplode") == 2 and "Window" not in plan  # both of them for votes
+        votes, wrong = defaultdict(Counter), Counter()
+        for c, _, q, o, u in rows:
+            for k, b in enumerate((q or "").upper()):
+                if b in "ACGT":
+                    votes[c, o + k][b] += 1000000 + (ord(u[k]) - 33 if qual else 0)
+        best = {at: min("ACGT", key=lambda b: (-n[b], b)) for at, n in votes.items()}
+        for c, i, q, o, _ in rows:
+            if q and c in ("a", "b"):
+                wrong[c, i] += sum(b != best.get((c, o + k), "A") for k, b in enumerate(q.upper()))
+        size = {c: max(col for x, col in votes if x == c) + 1 for c in ("a", "b")}
+        want = {(c, i): (n, n <= math.ceil(0.25 * size[c])) for (c, i), n in wrong.items()}
+        assert {(r["c"], r["id"]): (r["mismatches"], r["kept"]) for r in found.collect()} == want
