@@ -7,7 +7,7 @@ import pytest
 from spanloom.functions import align as A
 from pyspark.sql import functions as F
 
-from spanloom.operators import annotate
+from spanloom.operators import annotate, overlaps
 from spanloom.operators.calls import filters
 from spanloom.operators.clustering import greedy_pairs
 from spanloom.operators.intervals import contained_counts
@@ -58,6 +58,52 @@ def test_overlaps_of_equal_texts_are_those_of_all_pairs(spark):
     assert sorted(tuple(r) for r in exact_overlaps(df, "i", "q", 3).collect()) == want
 
 
+def _shuffled(plan):
+    """Rows that went through the exchanges of a plan that has run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _shuffled(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return _shuffled(plan.plan())
+    below = sum(_shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+    return below + (plan.metrics().get("shuffleRecordsWritten").get().value() if plan.nodeName() == "Exchange" else 0)
+
+
+def test_pairs_of_different_texts_with_equal_ends_are_not_shuffled(spark):
+    middles = ["".join("ACGT"[k >> s & 3] for s in (0, 2, 4, 6)) for k in range(256)]
+    texts = ["GGTGG" + m + "AAACC" for m in middles] + ["AAACC" + m + "TTCTT" for m in middles]
+    found = exact_overlaps(spark.createDataFrame(list(enumerate(texts)), "i long, q string"), "i", "q", 5)
+    want = [(a, b, k) for a, b, k in _all_pairs(list(enumerate(texts)), 5) if a != b]
+    assert len(want) >= 256 * 256 and sorted(tuple(r) for r in found.collect()) == want
+    assert _shuffled(found._jdf.queryExecution().executedPlan()) < len(want) / 2
+
+
+def test_overlaps_in_blocks_and_pieces_are_those_of_all_pairs(spark, monkeypatch):
+    rows, df = _sequences(spark)
+    want = sorted(tuple(r) for r in exact_overlaps(df, "i", "q", 3).collect())
+    for name, value in (("_BLOCK", 2), ("_PARTS", 3), ("_MOST", 4)):
+        monkeypatch.setattr(overlaps, name, value)
+    assert sorted(tuple(r) for r in exact_overlaps(df, "i", "q", 3).collect()) == want
+    # ids that several sequences share, and none
+    again = df.selectExpr("nullif(i % 40, 7) as i", "q")
+    want = sorted((a % 40, b % 40, k) for a, b, k in _all_pairs(rows, 3) if 7 not in (a % 40, b % 40) and a % 40 != b % 40)
+    assert sorted(tuple(r) for r in exact_overlaps(again, "i", "q", 3).collect()) == want
+
+
+def _all_pairs(rows, least):
+    for a, p in rows:
+        for b, q in rows:
+            if fit := [k for k in range(least, min(len(p), len(q)) + 1) if p[-k:] == q[:k]]:
+                yield a, b, max(fit)
+
+
+def test_blocks_of_ids_become_rows_in_pieces(spark):
+    blocks = [(list(range(700)), list(range(300, 901)), 5), ([1, 2], list(range(1000, 1300)), 6), ([3], [4], 7), (list(range(256)), [5], 8)]
+    df = spark.createDataFrame(blocks, "ids_a array<long>, ids_b array<long>, overlap int")
+    pieces = df.mapInArrow(overlaps._pieces, df.schema).collect()
+    assert max(max(len(r["ids_a"]), len(r["ids_b"])) for r in pieces) <= overlaps._PIECE
+    assert sorted((a, b, r["overlap"]) for r in pieces for a in r["ids_a"] for b in r["ids_b"]) == sorted((a, b, k) for x, y, k in blocks for a in x for b in y)
+
+
 def test_degrees_count_proper_overlaps_even_beside_whole_ones(spark):
     rows, df = _sequences(spark)
     fits = lambda p, q: [k for k in range(3, min(len(p), len(q))) if p[-k:] == q[:k]]
